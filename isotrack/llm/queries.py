@@ -9,6 +9,7 @@ from .chat import format_conversations, read_back
 from .common import read_table
 from .exact_dedup import exact_groups
 from .mixing import mixed_documents
+from .ngram_join import near_duplicates
 from .packing import pack
 
 
@@ -18,6 +19,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(r"SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -42,6 +47,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op4_chat": op4_chat,
     "op6_mixing": op6_mixing,
     "op8_packing": op8_packing,
