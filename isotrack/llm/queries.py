@@ -11,6 +11,7 @@ from .exact_dedup import exact_groups
 from .mixing import mixed_documents
 from .ngram_join import near_duplicates
 from .packing import pack
+from .substring_dedup import dedup_substrings
 
 
 def tokenizer_path() -> str:
@@ -46,12 +47,17 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(read_table(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op4_chat": op4_chat,
     "op6_mixing": op6_mixing,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE = {
