@@ -42,7 +42,7 @@ from .kernels import doc_words, mix, runs, signed, slices, sliding_min, window_h
 WORDS, SHINGLE, FANOUT, BATCHES = 50, 10, 3, 4
 NO_ID = -(2**63)
 KEY = ["fp", "c1", "c2"]
-PRINTS = "doc_id long, tkey long, fp array<long>, c1 array<long>, c2 array<long>, start array<int>, n array<int>"
+PRINTS = "doc_id long, tkey long, fp array<long>, c1 array<long>, c2 array<long>, start array<int>, n array<int>, again array<boolean>"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -66,8 +66,10 @@ def fingerprints(docs: DataFrame, words: int = WORDS, shingle: int = SHINGLE) ->
                         own = low[a : b - words + 1]
                         start, n = runs(own)
                         c1, c2 = np.add.reduceat(w1[a : b - words + 1], start), np.add.reduceat(w2[a : b - words + 1], start)
-                        rows.append((pdf.doc_id.iat[i], pdf.tkey.iat[i], signed(own[start]), signed(c1), signed(c2), start.astype(np.int32), n.astype(np.int32)))
-                yield pd.DataFrame(rows, columns=["doc_id", "tkey", "fp", "c1", "c2", "start", "n"])
+                        again = np.ones(len(start), bool)
+                        again[np.unique(c1, return_index=True)[1]] = False
+                        rows.append((pdf.doc_id.iat[i], pdf.tkey.iat[i], signed(own[start]), signed(c1), signed(c2), start.astype(np.int32), n.astype(np.int32), again))
+                yield pd.DataFrame(rows, columns=["doc_id", "tkey", "fp", "c1", "c2", "start", "n", "again"])
 
     return keyed(docs).mapInPandas(scan, PRINTS)
 
@@ -104,10 +106,17 @@ class SubstringIndex:
         return stage(rows.join(again, KEY).where("owner < doc_id").select("doc_id", "tkey", "start", "n"), "repeats")
 
 
-def verified_windows(docs: DataFrame, contexts: DataFrame, words: int = WORDS) -> DataFrame:
+def verified_windows(docs: DataFrame, prints: DataFrame, contexts: DataFrame, words: int = WORDS) -> DataFrame:
     """Spans (doc_id, tkey, start, n=1) of windows in contexts of shared fingerprints that a smaller document starts."""
     mixed = contexts.groupBy("fp").count().where("count > 1").select("fp")
-    wanted = contexts.join(mixed, "fp").groupBy("first.doc_id", "first.tkey").agg(F.collect_list(F.struct("first.start", "first.n")).alias("places"))
+    contexts = stage(contexts.join(mixed, "fp"), "mixed")
+    # a context's first document may hold it again, at another place or in another row of its id
+    ids = prints.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("repeated"))
+    rows = prints.join(ids, "doc_id", "left").where("repeated OR array_contains(again, true)")
+    rows = rows.select("doc_id", "tkey", "repeated", F.inline(F.arrays_zip("fp", "c1", "c2", "start", "n", "again"))).where("repeated OR again")
+    more = rows.join(contexts, KEY).where("first.doc_id = doc_id").select("doc_id", "tkey", "start", "n")
+    wanted = contexts.select("first.*").unionByName(more).distinct()
+    wanted = wanted.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("places"))
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -163,5 +172,5 @@ def dedup_substrings(docs: DataFrame, words: int = WORDS, shingle: int = SHINGLE
         part = part if high is None else part.where(F.col("doc_id") <= high)
         found = index.add(part)
         spans = found if spans is None else spans.unionByName(found)
-    spans = spans.unionByName(stage(verified_windows(docs, index.contexts(), words), "verified"))
+    spans = spans.unionByName(stage(verified_windows(docs, prints, index.contexts(), words), "verified"))
     return remove_spans(docs, spans, words, with_text)
