@@ -11,6 +11,7 @@ from .exact_dedup import exact_groups
 from .mixing import mixed_documents
 from .ngram_join import near_duplicates
 from .packing import pack
+from .quality import score_documents, train
 from .substring_dedup import dedup_substrings
 
 
@@ -24,6 +25,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql(r"SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -53,6 +59,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op3_quality": op3_quality,
     "op4_chat": op4_chat,
     "op6_mixing": op6_mixing,
     "op8_packing": op8_packing,
