@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import search
 from .chat import format_conversations, read_back
 from .common import read_table
 from .exact_dedup import exact_groups
@@ -25,6 +26,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score_documents(docs, train(docs, read_table(spark, sf_dir, "labels")))
@@ -59,6 +64,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_ann": op2_ann,
     "op3_quality": op3_quality,
     "op4_chat": op4_chat,
     "op6_mixing": op6_mixing,
