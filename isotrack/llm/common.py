@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,6 +28,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: what follows survives lost executors without
     repeating what came before.
     """
+    gc.collect()  # frames that are done with let Spark's cleaner drop their shuffle files
     path = f"{scratch_dir(df.sparkSession)}/isotrack-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,6 +12,7 @@ from .exact_dedup import exact_groups
 from .mixing import mixed_documents
 from .ngram_join import near_duplicates
 from .packing import pack
+from .pii import find_personal_data
 from .quality import score_documents, train
 from .substring_dedup import dedup_substrings
 
@@ -50,6 +51,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_chat": op4_chat,
     "op6_mixing": op6_mixing,
+    "op7_pii": op7_pii,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_substring_dedup": op10_substring_dedup,

@@ -3,22 +3,24 @@
 A window is ``words`` consecutive words.  Its fingerprint is the smallest hash
 of its shingles of ``shingle`` words, so equal windows have equal fingerprints
 and neighbouring windows mostly share one.  A maximal run of windows of one
-fingerprint is a context; a 128-bit hash of its windows names it.
+fingerprint is a context; fingerprint and a hash of its windows name it.
 
 The index is log-structured: every batch of documents adds one immutable run,
-its contexts that no earlier run holds, sorted by fingerprint, each with the
-document that had it first.  A batch is joined with the runs on fingerprint and
-context; runs are merged into one when there are more than ``fanout``.
+its fingerprints that no earlier run holds, sorted, each with the document that
+had it first.  A batch is merge-joined with the runs, which tells which
+fingerprints repeat; runs are merged into one when there are more than
+``fanout``.
 
-* A context seen before, in history or in a smaller document of the batch, is
-  removed as a whole.
+Only contexts of repeated fingerprints are compared further:
+
+* A context that a smaller document holds too is removed as a whole.
 * Where different contexts share a fingerprint, their windows may still be
-  equal.  These windows alone are read again from the texts and verified by
-  the MD5 of their words; a window goes if a smaller document starts it too.
+  equal.  These windows alone are read again from the texts, once per distinct
+  context, and verified by the MD5 of their words; a window goes if a smaller
+  document starts it too.
 
-Contexts are reduced to the first document before anything is compared, so a
-passage that a third of all documents share costs each of them one row, and no
-task gathers the documents of one fingerprint.
+A passage that a third of all documents share costs each of them one row, and
+no task gathers the documents of one fingerprint.
 
 Defined results: null text has no words; a null doc_id counts as smaller than
 any other; rows that repeat a doc_id never remove each other's words and each
@@ -39,10 +41,9 @@ from pyspark.sql import functions as F
 from .common import stage
 from .kernels import doc_words, mix, runs, signed, slices, sliding_min, window_hashes
 
-WORDS, SHINGLE, FANOUT, BATCHES = 50, 10, 3, 4
+WORDS, SHINGLE, FANOUT, BATCHES = 50, 10, 4, 3
 NO_ID = -(2**63)
-KEY = ["fp", "c1", "c2"]
-PRINTS = "doc_id long, tkey long, fp array<long>, c1 array<long>, c2 array<long>, start array<int>, n array<int>, again array<boolean>"
+PRINTS = "doc_id long, tkey long, fp array<long>, c array<long>, start array<int>, n array<int>"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -59,64 +60,64 @@ def fingerprints(docs: DataFrame, words: int = WORDS, shingle: int = SHINGLE) ->
             for lo, hi in slices([len(t or "") for t in texts]):
                 _, _, _, hashes, first = doc_words(texts[lo:hi], lower=False)
                 windows, grams = window_hashes(hashes, words, 1), window_hashes(hashes, shingle, 2)
-                w1, w2, low = mix(windows, 11), mix(windows, 12), sliding_min(grams, words - shingle + 1)
+                windows, low = mix(windows, 11), sliding_min(grams, words - shingle + 1)
                 rows = []
                 for i, (a, b) in enumerate(zip(first[:-1], first[1:]), lo):
                     if b - a >= words:
                         own = low[a : b - words + 1]
                         start, n = runs(own)
-                        c1, c2 = np.add.reduceat(w1[a : b - words + 1], start), np.add.reduceat(w2[a : b - words + 1], start)
-                        again = np.ones(len(start), bool)
-                        again[np.unique(c1, return_index=True)[1]] = False
-                        rows.append((pdf.doc_id.iat[i], pdf.tkey.iat[i], signed(own[start]), signed(c1), signed(c2), start.astype(np.int32), n.astype(np.int32), again))
-                yield pd.DataFrame(rows, columns=["doc_id", "tkey", "fp", "c1", "c2", "start", "n", "again"])
+                        c = np.add.reduceat(windows[a : b - words + 1], start)
+                        rows.append((pdf.doc_id.iat[i], pdf.tkey.iat[i], signed(own[start]), signed(c), start.astype(np.int32), n.astype(np.int32)))
+                yield pd.DataFrame(rows, columns=["doc_id", "tkey", "fp", "c", "start", "n"])
 
     return keyed(docs).mapInPandas(scan, PRINTS)
 
 
 class SubstringIndex:
-    """Sorted immutable runs (fp, c1, c2, first document's place) of all batches added so far."""
+    """Sorted immutable runs (fp, owner) of all batches added so far; the owner is the smallest doc_id."""
 
     def __init__(self, fanout: int = FANOUT):
         self.fanout, self.runs = fanout, []
 
-    def _write(self, contexts: DataFrame) -> DataFrame:
-        return stage(contexts.select(*KEY, "first").repartitionByRange("fp").sortWithinPartitions("fp"), "run")
-
-    def contexts(self) -> DataFrame:
-        out = self.runs[0]
-        for run in self.runs[1:]:
-            out = out.unionByName(run)
-        return out
-
     def add(self, prints: DataFrame) -> DataFrame:
-        """Add a batch whose doc_ids are above all earlier ones; gives the contexts (doc_id, tkey, start, n) that repeat as a whole."""
-        rows = prints.select("doc_id", "tkey", F.inline(F.arrays_zip("fp", "c1", "c2", "start", "n")))
-        batch = rows.groupBy(*KEY).agg(F.min(F.struct("doc_id", "tkey", "start", "n")).alias("first"), F.max("doc_id").alias("last"))
+        """Add a batch whose doc_ids are above all earlier ones; gives the fingerprints (fp) that it repeats."""
+        rows = prints.select("doc_id", F.explode("fp").alias("fp"))
+        batch = rows.groupBy("fp").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
         if self.runs:
-            owners = self.contexts().select(*KEY, F.col("first.doc_id").alias("owner"))
-            batch = batch.join(owners.hint("merge"), KEY, "left")
+            held = self.runs[0]
+            for run in self.runs[1:]:
+                held = held.unionByName(run)
+            batch = batch.join(held.select("fp", F.lit(True).alias("held")).hint("merge"), "fp", "left")
         else:
-            batch = batch.withColumn("owner", F.lit(None).cast("long"))
-        batch = stage(batch, "batch")
-        self.runs.append(self._write(batch.where("owner IS NULL")))
+            batch = batch.withColumn("held", F.lit(None).cast("boolean"))
+        batch = stage(batch.sortWithinPartitions("fp"), "batch")
+        self.runs.append(batch.where("held IS NULL").select("fp", "owner"))
         if len(self.runs) > self.fanout:
-            self.runs = [self._write(self.contexts())]
-        again = batch.where("owner IS NOT NULL OR first.doc_id < last").select(*KEY, F.coalesce("owner", "first.doc_id").alias("owner"))
-        return stage(rows.join(again, KEY).where("owner < doc_id").select("doc_id", "tkey", "start", "n"), "repeats")
-
-
-def verified_windows(docs: DataFrame, prints: DataFrame, contexts: DataFrame, words: int = WORDS) -> DataFrame:
-    """Spans (doc_id, tkey, start, n=1) of windows in contexts of shared fingerprints that a smaller document starts."""
-    mixed = contexts.groupBy("fp").count().where("count > 1").select("fp")
-    contexts = stage(contexts.join(mixed, "fp"), "mixed")
-    # a context's first document may hold it again, at another place or in another row of its id
-    ids = prints.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("repeated"))
-    rows = prints.join(ids, "doc_id", "left").where("repeated OR array_contains(again, true)")
-    rows = rows.select("doc_id", "tkey", "repeated", F.inline(F.arrays_zip("fp", "c1", "c2", "start", "n", "again"))).where("repeated OR again")
-    more = rows.join(contexts, KEY).where("first.doc_id = doc_id").select("doc_id", "tkey", "start", "n")
-    wanted = contexts.select("first.*").unionByName(more).distinct()
-    wanted = wanted.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("places"))
+            self.compact()
+        return batch.where("held OR owner < last").select("fp")
+
+    def compact(self) -> None:
+        merged = self.runs[0]
+        for run in self.runs[1:]:
+            merged = merged.unionByName(run)
+        self.runs = [stage(merged.repartition("fp").sortWithinPartitions("fp"), "run")]
+
+
+def repeated_contexts(prints: DataFrame, repeats: DataFrame) -> DataFrame:
+    """Contexts (doc_id, tkey, start, n, whole) of repeated fingerprints that are removed as a
+    whole or, in the first document of theirs, must be compared window by window."""
+    rows = prints.select("doc_id", "tkey", F.inline(F.arrays_zip("fp", "c", "start", "n")))
+    rows = stage(rows.join(repeats.distinct(), "fp", "left_semi"), "occurrences")
+    contexts = rows.groupBy("fp", "c").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+    mixed = contexts.groupBy("fp").agg(F.count("*").alias("forms"))
+    known = contexts.join(mixed, "fp").where("owner < last OR forms > 1").select("fp", "c", "owner", (F.col("forms") > 1).alias("mixed"))
+    found = rows.join(stage(known, "contexts"), ["fp", "c"]).withColumn("whole", F.col("owner") < F.col("doc_id"))
+    return stage(found.where("whole OR mixed").select("doc_id", "tkey", "start", "n", "whole"), "found")
+
+
+def verified_windows(docs: DataFrame, places: DataFrame, words: int = WORDS) -> DataFrame:
+    """Spans (doc_id, tkey, start, n=1) of windows of ``places`` that a smaller document starts."""
+    wanted = places.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("places"))
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -166,11 +167,13 @@ def dedup_substrings(docs: DataFrame, words: int = WORDS, shingle: int = SHINGLE
     """Deduplicate ``docs`` by adding them in ``batches`` ranges of doc_id to a new index."""
     prints = stage(fingerprints(docs, words, shingle), "prints")
     cuts = sorted(set(prints.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))
-    index, spans = SubstringIndex(), None
+    index, repeats = SubstringIndex(), None
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = prints if low is None else prints.where(F.col("doc_id") > low)
         part = part if high is None else part.where(F.col("doc_id") <= high)
-        found = index.add(part)
-        spans = found if spans is None else spans.unionByName(found)
-    spans = spans.unionByName(stage(verified_windows(docs, prints, index.contexts(), words), "verified"))
+        fps = index.add(part)
+        repeats = fps if repeats is None else repeats.unionByName(fps)
+    found = repeated_contexts(prints, repeats)
+    spans = found.where("whole").select("doc_id", "tkey", "start", "n")
+    spans = spans.unionByName(stage(verified_windows(docs, found.where("not whole"), words), "verified"))
     return remove_spans(docs, spans, words, with_text)
