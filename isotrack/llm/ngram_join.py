@@ -6,17 +6,17 @@ have elements apart.  Sets of sizes a and b with Jaccard similarity num/den or
 more are at most d = (a + b)(den - num)/(den + num) elements apart.
 
 Sizes are cut into bands; a set joins its own band and, if a similar set can be
-larger than the band, the next one.  In a band the sketch is cut into d + e
-blocks.  A similar pair then agrees on e blocks at least, and blocks that agree
-become equal join keys (pigeonhole).  Blocks without an odd bit are keys only
-for sets with e or more of them, which keeps the join complete: of two similar
-sets, either one has fewer, and then they share a block with bits, or both emit
-them.
+larger than the band, the next one.  In a band the sketch is cut into groups,
+so many that one group at least has no more than r odd bits that differ
+(pigeonhole).  A group is cut again into m blocks, of which then m - r agree;
+each choice of m - r blocks is a join key.  Small sets take r and m by which a
+key holds most of them, as a passage shared by unlike documents can be half of
+them; large ones take r = 0, where groups are keys themselves.
 
 Equal sets form one class and only its representative is joined.  Members of a
 key are compared with one pivot first; only if members then lie in different
 components are more of them made pivots, until none is left.  Before sets are
-compared, whole sketches are: too large a Hamming distance rules a pair out.
+compared, sketches are: too large a Hamming distance rules a pair out.
 
 Defined results: texts without words have empty sets, which are linked with
 nothing; a text of fewer words than a shingle has the whole sequence as its one
@@ -26,12 +26,12 @@ first and is one document too; an empty table gives no rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, stage
@@ -39,8 +39,9 @@ from .kernels import U, doc_words, mix, signed, slices, window_hashes
 
 NO_ID = -(2**63)
 BAND = 1.3
-PIVOTS = 64  # pivots of a key in later rounds
-SKETCH = 1024  # bits of the whole sketch
+PIVOTS = 256  # pivots of a key in later rounds
+SKETCH = 512  # bits of the whole sketch
+SCHEMES = ((1, 1, 6), (2, 2, 8), (20, 2, 6), (30, 1, 3), (float("inf"), 0, 1))  # (most elements apart, r, m)
 BLOCK_BITS = 256
 SIGNATURE = "doc_id long, n long, f1 long, f2 long, sketch array<long>, keys array<long>"
 SETS = "doc_id long, n long, shingles array<long>"
@@ -53,10 +54,11 @@ def band_edges(top: int) -> list[int]:
     return edges
 
 
-def band_blocks(low: int, high: int, num: int, den: int) -> tuple[int, int]:
-    """(d, e) of the band [low, high): most elements apart, and blocks that must agree."""
+def band_scheme(high: int, num: int, den: int) -> tuple[int, int, int]:
+    """(groups, r, m) of the band below ``high``; no groups if its similar sets are equal ones."""
     d = 2 * (high - 1) * (den - num) // (den + num)
-    return d, 2 + math.ceil(3 * d * math.exp(-0.9 * low / (d + 2)))
+    r, m = next((r, m) for most, r, m in SCHEMES if d <= most)
+    return -(-(d + 1) // (r + 1)) if d else 0, r, m
 
 
 def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
@@ -77,17 +79,15 @@ def join_keys(s: np.ndarray, num: int, den: int, edges: list[int]) -> np.ndarray
     n, out = len(s), []
     band = int(np.searchsorted(edges, n, "right")) - 1
     for k in (band, band + 1):
-        low, high = edges[k], edges[k + 1]
-        d, e = band_blocks(low, high, num, den)
-        if not d or k > band and n * den < num * low:
+        groups, r, m = band_scheme(edges[k + 1], num, den)
+        if not groups or k > band and n * den < num * edges[k]:
             continue
-        blocks = d + e
-        block = ((s >> U(32)) * U(blocks)) >> U(32)
+        block = ((s >> U(32)) * U(groups * m)) >> U(32)
         begin = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1])
-        content = np.zeros(blocks, U)
+        content = np.zeros(groups * m, U)
         content[block[begin].astype(np.int64)] = np.bitwise_xor.reduceat(mix(s % U(BLOCK_BITS), 5), begin)
-        keys = mix(content + mix(np.arange(blocks, dtype=U), 100 + k))
-        out.append(keys if (content == 0).sum() >= e else keys[content != 0])
+        content = mix(content + mix(np.arange(groups * m, dtype=U), 100 + k)).reshape(groups, m)
+        out += [mix(content[:, list(chosen)].sum(axis=1)) for chosen in combinations(range(m), m - r)]
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
@@ -125,12 +125,17 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return rows.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInPandas(build, SETS)
 
 
+def plausible(n_a: str, n_b: str, sketch_a: str, sketch_b: str, num: int, den: int) -> Column:
+    """Whether sizes and the sketches' Hamming distance allow the similarity."""
+    apart = F.aggregate(F.zip_with(sketch_a, sketch_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return (F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num) & (apart * (den + num) <= (F.col(n_a) + F.col(n_b)) * (den - num))
+
+
 def verify(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that are similar: by sketch distance first, then by the sets themselves."""
     side = lambda df, x, *cols: df.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
     near = pairs.join(side(sketches, "a", "n", "sketch"), "a").join(side(sketches, "b", "n", "sketch"), "b")
-    apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = near.where((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)))
+    near = near.where(plausible("n_a", "n_b", "sketch_a", "sketch_b", num, den))
     full = near.select("a", "b").join(side(sets, "b", "n", "shingles"), "b").join(side(sets, "a", "n", "shingles"), "a")
     both = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
     full = full.select("a", "b", "n_a", "n_b", both.alias("both"))
@@ -159,9 +164,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         rest = stage(rest.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("node"))), "rest")
         if rest.isEmpty():
             break
-        heads = rest.where(F.col("r") <= PIVOTS).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("r").alias("ra"))
-        fits = F.least("n", "na") * den >= F.greatest("n", "na") * num
-        pairs = heads.join(rest, "key").where((F.col("r") > F.col("ra")) & (F.col("component") != F.col("ca")) & fits)
+        with_sketch = rest.join(sketches.select(F.col("doc_id").alias("node"), "sketch"), "node")
+        heads = with_sketch.where(F.col("r") <= PIVOTS).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("r").alias("ra"), F.col("sketch").alias("sa"))
+        fits = plausible("n", "na", "sketch", "sa", num, den)
+        pairs = heads.join(with_sketch, "key").where((F.col("r") > F.col("ra")) & (F.col("component") != F.col("ca")) & fits)
         pairs = pairs.select("a", F.col("node").alias("b")).distinct()
         edges = stage(edges.union(verify(pairs, sketches, sets, num, den)), "edges")
         rest = rest.where(F.col("r") > PIVOTS).drop("r", "component")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .kernels import U, byte_table, doc_words, mix, slices, span_hashes
 
-SAMPLE, MIN_DOCS, MIN_CHI2 = 6000, 6, 12.0
+SAMPLE, MIN_DOCS, MIN_CHI2 = 5000, 6, 12.0
 BITS = 18  # of hashed words; shapes follow
 SHAPES = 512
 STEPS, RATE, PENALTY = 200, 0.2, 3e-4
@@ -79,19 +79,22 @@ def features(texts: list[str | None], only: np.ndarray | None = None) -> Iterato
         yield np.concatenate([seen, ((1 << BITS) + on).astype(np.int32)]), np.concatenate([np.ones(len(seen), np.float32), (4 * share[on] / n).astype(np.float32)])
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int) -> tuple[np.ndarray, np.ndarray]:
+def fit(y: np.ndarray, found: list[np.ndarray], shares: list[np.ndarray], grades: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by gradient steps (Adam) on the cumulative-link likelihood."""
     size = (1 << BITS) + SHAPES
-    y = np.array([r[0] for r in rows])
-    at, ids, values = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows]), np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
-    counts = np.stack([np.bincount(ids[y[at] == g], minlength=size) for g in range(grades)]).astype(float)
-    seen, docs = counts.sum(0), np.bincount(y, minlength=grades).astype(float)
-    expected = np.outer(docs / docs.sum(), seen)
-    absent = np.maximum(docs[:, None] - expected, 1e-9)
-    chi2 = ((counts - expected) ** 2 * (1 / np.maximum(expected, 1e-9) + 1 / absent)).sum(0)
+    counts = np.zeros((grades, size), np.float32)
+    for g, ids in zip(y, found):
+        counts[g, ids] += 1
+    seen, docs = counts.sum(0), np.bincount(y, minlength=grades).astype(np.float32)
+    chi2 = np.zeros(size, np.float32)
+    for g in range(grades):
+        expected = docs[g] / docs.sum() * seen
+        chi2 += (counts[g] - expected) ** 2 * (1 / np.maximum(expected, 1e-9) + 1 / np.maximum(docs[g] - expected, 1e-9))
     useful = (seen >= MIN_DOCS) & (chi2 >= MIN_CHI2)
     useful[1 << BITS :] = seen[1 << BITS :] >= MIN_DOCS
-    at, ids, values = at[useful[ids]], ids[useful[ids]], values[useful[ids]]
+    kept = [useful[ids] for ids in found]
+    at = np.repeat(np.arange(len(y), dtype=np.int32), [k.sum() for k in kept])
+    ids, values = np.concatenate([i[k] for i, k in zip(found, kept)]), np.concatenate([v[k] for v, k in zip(shares, kept)])
     used, column = np.unique(ids, return_inverse=True)
     balance = len(y) / (grades * np.maximum(np.bincount(y, minlength=grades), 1))
     weight = np.sqrt(balance)[y] / len(y)
@@ -136,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInPandas(read, "grade int, ids array<int>, values array<float>").toPandas()
     if rows.grade.nunique() < 2:
         return None
-    return fit([(int(g), np.asarray(i, np.int32), np.asarray(v, np.float32)) for g, i, v in zip(rows.grade, rows.ids, rows["values"])], CLEAN + 1)
+    return fit(rows.grade.to_numpy(np.int64), list(rows.ids), list(rows["values"]), CLEAN + 1)
 
 
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, keep: list[str] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
