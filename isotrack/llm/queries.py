@@ -15,6 +15,7 @@ from .packing import pack
 from .pii import find_personal_data
 from .quality import score_documents, train
 from .substring_dedup import dedup_substrings
+from .suffix_dedup import dedup_bytes
 
 
 def tokenizer_path() -> str:
@@ -47,6 +48,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_bytes(read_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_documents(read_table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op2_ann": op2_ann,
     "op3_quality": op3_quality,
     "op4_chat": op4_chat,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
     "op8_packing": op8_packing,
