@@ -39,7 +39,7 @@ from .kernels import U, doc_words, mix, signed, slices, window_hashes
 
 NO_ID = -(2**63)
 BAND = 1.3
-PIVOTS = 256  # pivots of a key in later rounds
+PIVOTS = 2048  # pivots of a key in later rounds
 SKETCH = 512  # bits of the whole sketch
 SCHEMES = ((1, 1, 6), (2, 2, 8), (20, 2, 6), (30, 1, 3), (float("inf"), 0, 1))  # (most elements apart, r, m)
 BLOCK_BITS = 256
@@ -131,11 +131,13 @@ def plausible(n_a: str, n_b: str, sketch_a: str, sketch_b: str, num: int, den: i
     return (F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num) & (apart * (den + num) <= (F.col(n_a) + F.col(n_b)) * (den - num))
 
 
-def verify(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def verify(pairs: DataFrame, sketches: DataFrame | None, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that are similar: by sketch distance first, then by the sets themselves."""
     side = lambda df, x, *cols: df.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
-    near = pairs.join(side(sketches, "a", "n", "sketch"), "a").join(side(sketches, "b", "n", "sketch"), "b")
-    near = near.where(plausible("n_a", "n_b", "sketch_a", "sketch_b", num, den))
+    near = pairs
+    if sketches is not None:
+        near = near.join(side(sketches, "a", "n", "sketch"), "a").join(side(sketches, "b", "n", "sketch"), "b")
+        near = near.where(plausible("n_a", "n_b", "sketch_a", "sketch_b", num, den))
     full = near.select("a", "b").join(side(sets, "b", "n", "shingles"), "b").join(side(sets, "a", "n", "shingles"), "a")
     both = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
     full = full.select("a", "b", "n_a", "n_b", both.alias("both"))
@@ -157,20 +159,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     pairs = rest.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     edges = stage(verify(pairs, sketches, sets, num, den), "edges")
     while True:
-        labels = connected_components(edges)
-        rest = rest.join(labels.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        split = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        # nodes of one pivot need no further comparison with each other
+        both = edges.select(F.col("a").alias("x"), F.col("b").alias("node")).union(edges.select("b", "a"))
+        linked = both.groupBy("node").agg(F.least(F.min("x"), F.col("node")).alias("label"))
+        rest = rest.join(linked, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+        split = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
         rest = rest.join(split, "key", "left_semi").dropDuplicates(["key", "node"])
-        rest = stage(rest.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("node"))), "rest")
+        rest = rest.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("node")))
+        rest = stage(rest.join(sketches.select(F.col("doc_id").alias("node"), "sketch"), "node"), "rest")
         if rest.isEmpty():
             break
-        with_sketch = rest.join(sketches.select(F.col("doc_id").alias("node"), "sketch"), "node")
-        heads = with_sketch.where(F.col("r") <= PIVOTS).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("r").alias("ra"), F.col("sketch").alias("sa"))
-        fits = plausible("n", "na", "sketch", "sa", num, den)
-        pairs = heads.join(with_sketch, "key").where((F.col("r") > F.col("ra")) & (F.col("component") != F.col("ca")) & fits)
-        pairs = pairs.select("a", F.col("node").alias("b")).distinct()
-        edges = stage(edges.union(verify(pairs, sketches, sets, num, den)), "edges")
-        rest = rest.where(F.col("r") > PIVOTS).drop("r", "component")
+        heads = rest.where(F.col("r") <= PIVOTS).select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "r", "sketch")])
+        pairs = heads.join(rest, "key").where((F.col("r") > F.col("r_a")) & (F.col("label") != F.col("label_a")) & plausible("n", "n_a", "sketch", "sketch_a", num, den))
+        pairs = pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
+        edges = stage(edges.union(verify(pairs, None, sets, num, den)), "edges")
+        rest = rest.where(F.col("r") > PIVOTS).select("key", "node", "n")
+        if rest.isEmpty():
+            break
+    labels = connected_components(edges)
     found = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     rows = signed_docs.select("doc_id", "n", "f1", "f2").join(found, ["n", "f1", "f2"], "left")
     component = F.nullif(F.coalesce("component", "doc_id"), F.lit(NO_ID))
