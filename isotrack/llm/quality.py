@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInPandas(read, "grade int, ids array<int>, values array<float>").toPandas()
     if rows.grade.nunique() < 2:
         return None
-    return fit(rows.grade.to_numpy(np.int64), list(rows.ids), list(rows["values"]), CLEAN + 1)
+    return fit(rows.grade.to_numpy(np.int64), [np.asarray(i, np.int32) for i in rows.ids], [np.asarray(v, np.float32) for v in rows["values"]], CLEAN + 1)
 
 
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, keep: list[str] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
