@@ -96,12 +96,12 @@ def curriculum(docs: DataFrame, schedule: Callable[[Column], tuple[Column, Colum
     Keeps the columns of ``docs``.  The one copy of a source that its budget
     cuts is shortened to the words taken, joined by single spaces.
     """
-    plan = allocate(docs, schedule, max_epochs).where("taken > 0").select(F.col("doc_id").alias("__id"), "size", F.explode("copies").alias("__c"))
+    plan = allocate(docs, schedule, max_epochs).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.explode("copies").alias("__c"))
     plan = plan.dropDuplicates(["__id", "__c"])
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.array_join(F.slice(words, 1, F.col("__c.taken").cast("int")), " ")
     mixed = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"]))
-    mixed = mixed.withColumn("text", F.when(F.col("__c.taken") < F.col("size"), cut).otherwise(F.col("text")))
+    mixed = mixed.withColumn("text", F.when(F.col("__c.taken") < F.col("__size"), cut).otherwise(F.col("text")))
     return mixed.orderBy("__c.position", "__id", "__c.epoch").select(*docs.columns)
 
 

@@ -39,6 +39,7 @@ from .common import stage, with_prefix
 LENGTH = 2048
 GROUPS = 24
 SMALL = 1 / 8  # of a sequence: shorter pieces are small
+NO_ID = -(2**63)  # stands for a null doc_id inside tasks
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -80,9 +81,10 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
                 for k, start in enumerate([0, *range(first, len(ids), length)]):
                     part = ids[start : first if not k else start + length]
                     out.append((doc, k, start, len(part), zlib.crc32(part.tobytes())))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    return rows.mapInPandas(cut, PIECES).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def configurations(sizes: list[int], demand: list[int], length: int) -> list[tuple[np.ndarray, float]]:

@@ -44,6 +44,7 @@ NEAR = 64  # characters around a trigger that are segmented
 CUES = {"email": ("mail", "email", "contact"), "ip": ("ip", "host", "server"), "card": ("card", "visa", "credit"), "phone": ("phone", "tel", "call", "fax", "mobile")}
 SENTENCES, STEPS = 500, 40
 PER_KIND = 14
+NO_ID = -(2**63)  # stands for a null doc_id inside tasks
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
@@ -306,6 +307,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
                 base, spans = find_spans(text or "", weights)
                 count = [sum(k == n for _, k, _ in base) for n in range(len(KINDS))]
                 rows.append((doc, *count, hashlib.sha256(show(base).encode()).hexdigest(), show(spans)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(scan, RESULT)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    return rows.mapInPandas(scan, RESULT).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

@@ -26,8 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kernels import U, byte_table, doc_words, mix, slices, span_hashes
 
@@ -142,17 +144,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     return fit(rows.grade.to_numpy(np.int64), [np.asarray(i, np.int32) for i in rows.ids], [np.asarray(v, np.float32) for v in rows["values"]], CLEAN + 1)
 
 
-def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, keep: list[str] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
-    """``keep`` columns and expected_grade, p_clean, selected of every document."""
-    keep = list(keep)
-    names = [f.name for f in docs.select(*keep).schema]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    read_text = "text" in names
+def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, keep: list[str] = ("doc_id",), threshold: float = 0.5, prefix: str = "") -> DataFrame:
+    """``keep`` columns, untouched, and expected_grade, p_clean, selected (with ``prefix``) of every row."""
+    rows = docs.select(F.col("text").alias("__text"), *[docs[c] for c in keep])
+    kept = rows.schema.fields[1:]
+    grade_, tail_, chosen = (f"{prefix}{c}" for c in ("expected_grade", "p_clean", "selected"))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = model[0][: 1 << BITS] != 0 if model else None
-        for pdf in batches:
-            texts, out = list(pdf["text"]), []
+        for batch in batches:
+            texts, out = batch.column(0).to_pylist(), []
             for lo, hi in slices([len(t or "") for t in texts]):
                 for ids, values in features(texts[lo:hi], only):
                     if model is None:
@@ -160,14 +161,13 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None
                         continue
                     tail = 1 / (1 + np.exp(np.clip(model[1] - float(model[0][ids] @ values), -40, 40)))  # P(grade > k) by k
                     out.append((float(tail.sum()), float(tail[-1])))
-            got = pdf[names].copy()
-            got["expected_grade"], got["p_clean"] = [o[0] for o in out], [o[1] for o in out]
-            yield got
+            columns = [*batch.columns[1:], pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[1:], grade_, tail_])
 
-    rows = docs.select(*names, *([] if read_text else ["text"]))
-    return rows.mapInPandas(score, f"{fields}, expected_grade double, p_clean double").withColumn("selected", F.col("p_clean") >= threshold)
+    schema = T.StructType([*kept, T.StructField(grade_, T.DoubleType()), T.StructField(tail_, T.DoubleType())])
+    return rows.mapInArrow(score, schema).withColumn(chosen, F.col(tail_) >= threshold)
 
 
 def select_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that reach the clean grade with the given probability, all columns unchanged."""
-    return score_documents(docs, train(docs, labels), docs.columns, threshold).where("selected").select(*docs.columns)
+    return score_documents(docs, train(docs, labels), docs.columns, threshold, "__").where("__selected").select(*docs.columns)

@@ -6,6 +6,9 @@ stand in.  Each string is therefore filed under its anchor, the smallest hash
 of its ``gram``-byte substrings; neighbouring strings mostly have one anchor in
 common and form a context.
 
+Texts that are equal as a whole are represented by the smallest document; all
+the others' strings start there too.  For the rest:
+
 1. Chunks of documents list their anchors, 38 bits each, as sorted and packed
    differences, dealt out by value; each value's task answers which of them
    occur in more than one document.  Only contexts of such anchors go on.
@@ -40,52 +43,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
-from .kernels import U, byte_table, signed, slices, sliding_min, window_hashes
+from .kernels import U, byte_table, mix, powers, signed, slices, sliding_min
 
 LENGTH, GRAM, HOT_GRAM = 50, 20, 40
-CHUNK, BUCKET, SHARD = 4 << 20, 16 << 20, 2 << 20  # bytes of text, of text again, of contexts
+CHUNK, BUCKET, SHARD = 4 << 20, 16 << 20, 3 << 16  # bytes of text, of text again, of contexts
+SLICE = 1 << 17  # bytes of text that are hashed at a time, which fit the caches
 HOT = 5_000
 NO_ID = -(2**63)
 LISTS = "bucket int, chunk int, packed binary, local binary"
-ANSWERS = "chunk int, bucket int, shared binary"
-DOCS = "doc_id long, tkey long, n_bytes long, sha string, packed binary, fp array<long>, c array<long>, start array<int>, n array<int>"
+ANSWERS = "chunk int, bucket int, shared binary, doc_id long, tkey long"
+DOCS = "doc_id long, tkey long, n_bytes long, copy boolean, sha string, packed binary, fp array<long>, c array<long>, start array<int>, n array<int>"
 SPANS = "doc_id long, tkey long, start int, n int"
 
 
-def contexts_of(texts: list[bytes], length: int, gram: int, named: bool = True) -> tuple[np.ndarray, ...]:
-    """Contexts of a list of texts: text number, anchor, hash of all strings, first string, number of strings."""
+def contexts_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Contexts of a list of texts: text number, anchor, first string, number of strings."""
     buf = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     end = np.cumsum(sizes)
+    none = tuple(np.zeros(0, t) for t in (np.int64, U, np.int64, np.int64))
     if len(buf) < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, U, U, np.int64, np.int64))
-    values = byte_table(False)[buf]
-    anchor = sliding_min(window_hashes(values, gram, 2), length - gram + 1)
-    whole = np.zeros(len(buf) + 1, np.int64)
-    np.add.at(whole, (end - sizes)[sizes >= length], 1)
-    np.add.at(whole, (end - length + 1)[sizes >= length], -1)
-    whole = np.cumsum(whole)[: len(anchor)] > 0  # strings that cross no border
+        return none
+    up, down = powers(len(buf))
+    sums = np.zeros(len(buf) + 1, U)
+    np.cumsum(byte_table(False)[buf] * up, out=sums[1:])
+    grams = (sums[gram:] - sums[:-gram]) * down[: len(buf) - gram + 1]
+    grams = (grams ^ (grams >> U(32))) * U(0xBF58476D1CE4E5B9)
+    anchor = sliding_min(grams ^ (grams >> U(29)), length - gram + 1)
+    edges = np.zeros(len(buf) + 1, np.int8)  # strings that cross no border lie between
+    long = sizes >= length
+    edges[(end - sizes)[long]] += 1
+    edges[(end - length + 1)[long]] -= 1
+    whole = np.cumsum(edges, dtype=np.int8)[: len(anchor)] > 0
     same = np.zeros(len(anchor), bool)
     same[1:] = whole[1:] & whole[:-1] & (anchor[1:] == anchor[:-1])
     first = np.flatnonzero(whole & ~same)
     if not len(first):
-        return tuple(np.zeros(0, t) for t in (np.int64, U, U, np.int64, np.int64))
-    strings = np.where(whole, window_hashes(values, length, 1), U(0)) if named else np.zeros(len(anchor), U)
-    name = np.add.reduceat(strings, first)
-    count = np.add.reduceat(whole.astype(np.int64), first)
+        return none
+    count = np.add.reduceat(whole, first, dtype=np.int64)
     doc = np.searchsorted(end, first, "right")
-    return doc, anchor[first], name, first - (end - sizes)[doc], count
+    return doc, anchor[first], first - (end - sizes)[doc], count
 
 
-def sliced(texts: list[bytes], length: int, gram: int, named: bool = True) -> tuple[np.ndarray, ...]:
+def sliced(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
     """``contexts_of`` by slices, which bounds the memory."""
     parts = []
-    for lo, hi in slices([len(t) for t in texts], 1 << 20):
-        doc, *rest = contexts_of(texts[lo:hi], length, gram, named)
+    for lo, hi in slices([len(t) for t in texts], SLICE):
+        doc, *rest = contexts_of(texts[lo:hi], length, gram)
         parts.append((doc + lo, *rest))
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else contexts_of([], length, gram)
 
 
+def names_of(texts: list[bytes], doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each context; contexts are in the order of their texts."""
+    out = []
+    for lo, hi in slices([len(t) for t in texts], SLICE):
+        a, b = np.searchsorted(doc, [lo, hi])
+        base = np.concatenate([[0], np.cumsum([len(t) for t in texts[lo:hi]])])[doc[a:b] - lo] + start[a:b]
+        up, down = powers(sum(len(t) for t in texts[lo:hi]))
+        sums = np.zeros(len(up) + 1, U)
+        np.cumsum(byte_table(False)[np.frombuffer(b"".join(texts[lo:hi]), np.uint8)] * up, out=sums[1:])
+        out.append(mix((sums[base + size[a:b]] - sums[base]) * np.append(down, U(0))[base], 6))
+    return np.concatenate(out) if out else np.zeros(0, U)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Sorted 32-bit values as byte planes of their differences, compressed."""
     steps = np.diff(values, prepend=np.uint32(0)).astype("<u4")
@@ -110,14 +131,24 @@ def shared_contexts(docs: DataFrame, length: int, gram: int, chunks: int, bucket
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
     )
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tkey"), F.lit(chunks)).cast("int"))
+    brief = rows.select("chunk", "doc_id", "tkey", F.length("text").alias("size"), F.hash("text").alias("check"))
+    first = brief.groupBy("tkey", "size", "check").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
+    copies = stage(brief.join(first, ["tkey", "size", "check"]).where("owner < doc_id").select("chunk", "doc_id", "tkey").distinct(), "copies")
+
+    def without(pdf: pd.DataFrame, drop: pd.DataFrame) -> pd.DataFrame:
+        """The documents in order, with a mark on whole copies."""
+        known = set(zip(drop.doc_id, drop.tkey))
+        pdf = pdf.sort_values(["doc_id", "tkey"])
+        return pdf.assign(copy=[(d, t) in known for d, t in zip(pdf.doc_id, pdf.tkey)])
 
     def anchors_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
         found = sliced(texts, length, gram)
         bucket, value = short(found[1], buckets)
         return bucket, value, (bucket.astype(U) << U(32)) | value.astype(U), found
 
-    def list_anchors(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "tkey"])
+    def list_anchors(pdf: pd.DataFrame, drop: pd.DataFrame) -> pd.DataFrame:
+        pdf = without(pdf, drop)
+        pdf = pdf[~pdf["copy"]]
         _, _, key, found = anchors_of(list(pdf.text))
         doc = pdf.doc_id.to_numpy()[found[0]]
         order = np.lexsort((doc, key))
@@ -138,67 +169,76 @@ def shared_contexts(docs: DataFrame, length: int, gram: int, chunks: int, bucket
             at = np.searchsorted(repeated, held)
             hit = repeated[np.minimum(at, len(repeated) - 1)] == held if len(repeated) else np.zeros(len(held), bool)
             out.append((chunk, pdf.bucket.iloc[0], np.packbits(hit | np.unpackbits(np.frombuffer(local, np.uint8), count=len(held)).astype(bool)).tobytes()))
-        return pd.DataFrame(out, columns=["chunk", "bucket", "shared"])
+        return pd.DataFrame(out, columns=["chunk", "bucket", "shared"]).assign(doc_id=0, tkey=0)
 
     def keep_shared(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "tkey"])
-        texts = list(pdf.text)
-        bucket, _, key, (doc, anchor, name, start, count) = anchors_of(texts)
+        told = answers.bucket < 0
+        pdf, answers = without(pdf, answers[told]), answers[~told]
+        texts = [b"" if c else t for c, t in zip(pdf["copy"], pdf.text)]
+        bucket, _, key, (doc, anchor, start, count) = anchors_of(texts)
         listed = np.unique(key)
         cut = np.searchsorted(listed >> U(32), np.arange(buckets + 1, dtype=U))
         flags = np.zeros(len(listed), bool)
         for b, bits in zip(answers.bucket, answers.shared):
             flags[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=cut[b + 1] - cut[b]).astype(bool)
         keep = flags[np.searchsorted(listed, key)]
-        doc, anchor, name, start, count = (x[keep] for x in (doc, anchor, name, start, count))
+        doc, anchor, start, count = (x[keep] for x in (doc, anchor, start, count))
+        name = names_of(texts, doc, start, count + length - 1)
         at = np.searchsorted(doc, np.arange(len(texts) + 1))
         squeeze, out = zstandard.ZstdCompressor(level=3), []
-        for i, (d, t) in enumerate(zip(pdf.doc_id, pdf.tkey)):
+        for i, (d, t, copy, text) in enumerate(zip(pdf.doc_id, pdf.tkey, pdf["copy"], pdf.text)):
             x, y = at[i], at[i + 1]
-            held = (squeeze.compress(texts[i]), signed(anchor[x:y]), signed(name[x:y]), start[x:y].astype(np.int32), count[x:y].astype(np.int32)) if y > x else (None,) * 5
-            out.append((d, t, len(texts[i]), hashlib.sha256(texts[i]).hexdigest(), *held))
-        return pd.DataFrame(out, columns=["doc_id", "tkey", "n_bytes", "sha", "packed", "fp", "c", "start", "n"])
+            held = (squeeze.compress(text), signed(anchor[x:y]), signed(name[x:y]), start[x:y].astype(np.int32), count[x:y].astype(np.int32)) if y > x else (None,) * 5
+            gone = copy and len(text) >= length
+            out.append((d, t, len(text), gone, hashlib.sha256(b"" if gone else text).hexdigest(), *held))
+        return pd.DataFrame(out, columns=["doc_id", "tkey", "n_bytes", "copy", "sha", "packed", "fp", "c", "start", "n"])
 
-    answers = rows.groupBy("chunk").applyInPandas(list_anchors, LISTS).groupBy("bucket").applyInPandas(answer, ANSWERS)
+    answers = rows.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInPandas(list_anchors, LISTS).groupBy("bucket").applyInPandas(answer, ANSWERS)
+    answers = answers.unionByName(copies.select("chunk", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("shared"), "doc_id", "tkey"))
     return stage(rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(keep_shared, DOCS), "chunked")
 
 
 def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Suffix array by prefix doubling; a suffix ends at its context's separator, ties go by position."""
-    n, longest = len(text), int((ends - np.arange(len(text))).max()) + 1
-    place = np.arange(n)
-    key = np.zeros(n, U)
-    padded = np.concatenate([text, np.zeros(8, np.int64)])
-    for i in range(7):  # nine bits a symbol; nothing beyond the separator
-        key = (key << U(9)) | np.where(place + i <= ends, padded[i : n + i], 0).astype(U)
-    rank, have = key, 7
+    n = len(text)
+    place = np.arange(n, dtype=np.int64)
+    room = ends - place  # symbols before the separator
+    longest = int(room.max()) + 1
+    key, padded = np.zeros(n, U), np.concatenate([text, np.zeros(8, np.uint8)])
+    for i in range(8):  # a byte a symbol; nothing beyond the separator
+        key = (key << U(8)) | (padded[i : n + i] * (room >= i)).astype(U)
+    have = 8
     while True:
-        order = np.argsort(rank)
-        sorted_rank = rank[order]
-        number = np.cumsum(np.concatenate([[0], sorted_rank[1:] != sorted_rank[:-1]]))
+        order = np.argsort(key)
+        ranked = key[order]
+        number = np.zeros(n, np.int64)
+        np.cumsum(ranked[1:] != ranked[:-1], out=number[1:])
         rank = np.empty(n, np.int64)
         rank[order] = number
         if have >= longest or number[-1] == n - 1:
             return np.argsort(rank * n + place)
-        after = np.where(place + have <= ends, rank[np.minimum(place + have, n - 1)] + 1, 0)
-        rank, have = rank * (n + 1) + after, 2 * have
+        after = np.zeros(n, np.int64)
+        after[: n - have] = (rank[have:] + 1) * (room[: n - have] >= have)
+        key, have = rank * (n + 1) + after, 2 * have
 
 
 def common_intervals(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """Borders in the suffix array: True where a suffix shares fewer than ``length`` symbols with the one before."""
     before = text[order - 1]  # the Burrows-Wheeler transform; the text begins after a separator
-    follow = np.argsort(before, kind="stable")  # place of the suffix that is one symbol shorter, by place
+    follow = np.argsort(before, kind="stable").astype(np.int32)  # place of the suffix that is one symbol shorter, by place
     first = text[order]
-    border = np.zeros(len(text), bool)
+    border = first == 0  # separators are all different
     border[0] = True
-    border[1:] = first[1:] != first[:-1]
-    border |= first == 0  # separators are all different
+    border[1:] |= first[1:] != first[:-1]
+    open_ = np.flatnonzero(~border)
+    here, there = follow[open_], follow[open_ - 1]
     for _ in range(1, length):
-        open_ = np.flatnonzero(~border)
-        if not len(open_):
+        borders = np.cumsum(border, dtype=np.int32)
+        found = borders[here] != borders[there]
+        if not found.any():  # a longer common prefix would need one that is shorter by one
             break
-        borders = np.cumsum(border)
-        border[open_[borders[follow[open_]] != borders[follow[open_ - 1]]]] = True
+        border[open_[found]] = True
+        open_, here, there = open_[~found], here[~found], there[~found]
     return border
 
 
@@ -206,7 +246,7 @@ def compare_shard(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     """Spans of the strings of a shard's contexts that a smaller document starts."""
     raw = list(pdf.text)
     sizes = np.array([len(r) + 1 for r in raw])
-    text = np.frombuffer(b"\x00".join([*raw, b""]), np.uint8).astype(np.int64) + 1
+    text = np.frombuffer(b"\x00".join([*raw, b""]), np.uint8) + np.uint8(1)  # UTF-8 has no byte 255
     last = np.cumsum(sizes) - 1
     text[last] = 0
     order = suffix_order(text, np.repeat(last, sizes))
@@ -238,7 +278,7 @@ def expand_shards(chunked: DataFrame, found: DataFrame, length: int) -> DataFram
                     if not p["hot"]:
                         out.append((doc, tkey, p["start"], p["fp"], text))
                         continue
-                    _, anchors, _, starts, counts = contexts_of([text], length, HOT_GRAM, named=False)
+                    _, anchors, starts, counts = contexts_of([text], length, HOT_GRAM)
                     out += [(doc, tkey, p["start"] + s, a, text[s : s + n + length - 1]) for a, s, n in zip(signed(anchors).tolist(), starts.tolist(), counts.tolist())]
             yield pd.DataFrame(out, columns=["doc_id", "tkey", "start", "fp", "text"])
 
@@ -259,9 +299,9 @@ def remove_spans(chunked: DataFrame, spans: DataFrame, length: int, with_text: b
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc, size, sha, packed, starts, ns in zip(pdf.doc_id, pdf.n_bytes, pdf.sha, pdf.packed, pdf.starts, pdf.ns):
+            for doc, size, copy, sha, packed, starts, ns in zip(pdf.doc_id, pdf.n_bytes, pdf["copy"], pdf.sha, pdf.packed, pdf.starts, pdf.ns):
                 if starts is None:
-                    out.append((doc, size, 0, 0, sha, *((None,) if with_text else ())))
+                    out.append((doc, size, size * copy, int(copy), sha, *((b"" if copy else None,) if with_text else ())))
                     continue
                 text = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
                 mark = np.zeros(size + 1, np.int64)
@@ -274,7 +314,7 @@ def remove_spans(chunked: DataFrame, spans: DataFrame, length: int, with_text: b
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    rows = chunked.select("doc_id", "tkey", "n_bytes", "sha", "packed").join(per, ["doc_id", "tkey"], "left")
+    rows = chunked.select("doc_id", "tkey", "n_bytes", "copy", "sha", "packed").join(per, ["doc_id", "tkey"], "left")
     return rows.mapInPandas(cut, schema).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
