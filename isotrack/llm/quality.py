@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stage
 from .kernels import U, byte_table, doc_words, mix, slices, span_hashes
 
 SAMPLE, MIN_DOCS, MIN_CHI2 = 5000, 6, 12.0
@@ -81,22 +82,22 @@ def features(texts: list[str | None], only: np.ndarray | None = None) -> Iterato
         yield np.concatenate([seen, ((1 << BITS) + on).astype(np.int32)]), np.concatenate([np.ones(len(seen), np.float32), (4 * share[on] / n).astype(np.float32)])
 
 
+def useful_features(ids: np.ndarray, counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Mask over all features: shapes, and words whose counts by grade differ enough.  counts: (grade, feature)."""
+    seen, chi2 = counts.sum(0), np.zeros(len(ids))
+    for g in range(len(docs)):
+        expected = docs[g] / docs.sum() * seen
+        chi2 += (counts[g] - expected) ** 2 * (1 / np.maximum(expected, 1e-9) + 1 / np.maximum(docs[g] - expected, 1e-9))
+    mask = np.zeros((1 << BITS) + SHAPES, bool)
+    mask[ids[(chi2 >= MIN_CHI2) | (ids >= 1 << BITS)]] = True
+    return mask
+
+
 def fit(y: np.ndarray, found: list[np.ndarray], shares: list[np.ndarray], grades: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by gradient steps (Adam) on the cumulative-link likelihood."""
     size = (1 << BITS) + SHAPES
-    counts = np.zeros((grades, size), np.float32)
-    for g, ids in zip(y, found):
-        counts[g, ids] += 1
-    seen, docs = counts.sum(0), np.bincount(y, minlength=grades).astype(np.float32)
-    chi2 = np.zeros(size, np.float32)
-    for g in range(grades):
-        expected = docs[g] / docs.sum() * seen
-        chi2 += (counts[g] - expected) ** 2 * (1 / np.maximum(expected, 1e-9) + 1 / np.maximum(docs[g] - expected, 1e-9))
-    useful = (seen >= MIN_DOCS) & (chi2 >= MIN_CHI2)
-    useful[1 << BITS :] = seen[1 << BITS :] >= MIN_DOCS
-    kept = [useful[ids] for ids in found]
-    at = np.repeat(np.arange(len(y), dtype=np.int32), [k.sum() for k in kept])
-    ids, values = np.concatenate([i[k] for i, k in zip(found, kept)]), np.concatenate([v[k] for v, k in zip(shares, kept)])
+    at = np.repeat(np.arange(len(y), dtype=np.int32), [len(f) for f in found])
+    ids, values = np.concatenate(found), np.concatenate(shares)
     used, column = np.unique(ids, return_inverse=True)
     balance = len(y) / (grades * np.maximum(np.bincount(y, minlength=grades), 1))
     weight = np.sqrt(balance)[y] / len(y)
@@ -138,9 +139,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
                 found = list(features(texts[lo:hi]))
                 yield pd.DataFrame({"grade": pdf.grade.iloc[lo:hi], "ids": [f[0] for f in found], "values": [f[1] for f in found]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInPandas(read, "grade int, ids array<int>, values array<float>").toPandas()
-    if rows.grade.nunique() < 2:
+    def filtered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep = [mask[i] for i in pdf.ids]
+            yield pd.DataFrame({"grade": pdf.grade, "ids": [i[k] for i, k in zip(pdf.ids, keep)], "values": [v[k] for v, k in zip(pdf["values"], keep)]})
+
+    schema, grades = "grade int, ids array<int>, values array<float>", range(CLEAN + 1)
+    found = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInPandas(read, schema), "graded")
+    sizes = {r["grade"]: r["count"] for r in found.groupBy("grade").count().collect()}  # a row for each grade
+    if len(sizes) < 2:
         return None
+    # at most one row for each hashed feature
+    counts = found.select("grade", F.explode("ids").alias("id")).groupBy("id").agg(*[F.count(F.when(F.col("grade") == g, 1)).cast("int").alias(f"g{g}") for g in grades])
+    counts = counts.where(" + ".join(f"g{g}" for g in grades) + f" >= {MIN_DOCS}").toPandas()
+    mask = useful_features(counts["id"].to_numpy(), counts[[f"g{g}" for g in grades]].to_numpy().T.astype(float), np.array([sizes.get(g, 0) for g in grades], float))
+    rows = found.mapInPandas(filtered, schema).toPandas()
     return fit(rows.grade.to_numpy(np.int64), [np.asarray(i, np.int32) for i in rows.ids], [np.asarray(v, np.float32) for v in rows["values"]], CLEAN + 1)
 
 

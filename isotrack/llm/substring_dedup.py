@@ -166,7 +166,8 @@ def remove_spans(docs: DataFrame, spans: DataFrame, words: int = WORDS, with_tex
 def dedup_substrings(docs: DataFrame, words: int = WORDS, shingle: int = SHINGLE, batches: int = BATCHES, with_text: bool = True) -> DataFrame:
     """Deduplicate ``docs`` by adding them in ``batches`` ranges of doc_id to a new index."""
     prints = stage(fingerprints(docs, words, shingle), "prints")
-    cuts = sorted(set(prints.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))
+    shares = [i / batches for i in range(1, batches)]
+    cuts = sorted(set(prints.approxQuantile("doc_id", shares, 0.01))) if shares else []
     index, repeats = SubstringIndex(), None
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = prints if low is None else prints.where(F.col("doc_id") > low)
