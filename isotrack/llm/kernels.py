@@ -91,6 +91,12 @@ def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting beats hashing for whole numbers here."""
+    ordered = np.sort(values)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of maximal runs of equal values."""
     if not len(values):

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, stage
-from .kernels import U, doc_words, mix, signed, slices, window_hashes
+from .kernels import U, distinct, doc_words, mix, signed, slices, window_hashes
 
 NO_ID = -(2**63)
 BAND = 1.3
@@ -67,7 +67,7 @@ def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
     grams = window_hashes(words, k)
     for a, b in zip(first[:-1], first[1:]):
         if b - a >= k:
-            yield np.unique(grams[a : b - k + 1])
+            yield distinct(grams[a : b - k + 1])
         elif b > a:
             yield mix(window_hashes(words[a:b], int(b - a)), 1000 + int(b - a))
         else:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stage
-from .kernels import U, byte_table, doc_words, mix, slices, span_hashes
+from .kernels import U, byte_table, distinct, doc_words, mix, slices, span_hashes
 
 SAMPLE, MIN_DOCS, MIN_CHI2 = 5000, 6, 12.0
 BITS = 18  # of hashed words; shapes follow
@@ -75,9 +75,9 @@ def features(texts: list[str | None], only: np.ndarray | None = None) -> Iterato
         if not n:
             yield np.zeros(0, np.int32), np.zeros(0, np.float32)
             continue
-        seen = np.unique(hashed[cut[i] : cut[i + 1]])
+        seen = distinct(hashed[cut[i] : cut[i + 1]])
         share = np.bincount(shape[a:b], minlength=SHAPES) + np.bincount(tail[a:b], minlength=SHAPES)
-        share[320], share[321] = len(np.unique(ids[a:b])), echo[a + 1 : b].sum()
+        share[320], share[321] = len(distinct(ids[a:b])), echo[a + 1 : b].sum()
         on = np.flatnonzero(share)
         yield np.concatenate([seen, ((1 << BITS) + on).astype(np.int32)]), np.concatenate([np.ones(len(seen), np.float32), (4 * share[on] / n).astype(np.float32)])
 

@@ -43,10 +43,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
-from .kernels import U, byte_table, mix, powers, signed, slices, sliding_min
+from .kernels import U, byte_table, distinct, mix, powers, signed, slices, sliding_min
 
 LENGTH, GRAM, HOT_GRAM = 50, 20, 40
-CHUNK, BUCKET, SHARD = 4 << 20, 16 << 20, 3 << 16  # bytes of text, of text again, of contexts
+CHUNK, BUCKET, SHARD = 4 << 20, 16 << 20, 3 << 15  # bytes of text, of text again, of contexts
 SLICE = 1 << 17  # bytes of text that are hashed at a time, which fit the caches
 HOT = 5_000
 NO_ID = -(2**63)
@@ -163,7 +163,7 @@ def shared_contexts(docs: DataFrame, length: int, gram: int, chunks: int, bucket
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         lists = [unpack(p) for p in pdf.packed]
         values = np.sort(np.concatenate(lists))
-        repeated = np.unique(values[1:][values[1:] == values[:-1]])
+        repeated = distinct(values[1:][values[1:] == values[:-1]])
         out = []
         for chunk, held, local in zip(pdf.chunk, lists, pdf.local):
             at = np.searchsorted(repeated, held)
@@ -176,7 +176,7 @@ def shared_contexts(docs: DataFrame, length: int, gram: int, chunks: int, bucket
         pdf, answers = without(pdf, answers[told]), answers[~told]
         texts = [b"" if c else t for c, t in zip(pdf["copy"], pdf.text)]
         bucket, _, key, (doc, anchor, start, count) = anchors_of(texts)
-        listed = np.unique(key)
+        listed = distinct(key)
         cut = np.searchsorted(listed >> U(32), np.arange(buckets + 1, dtype=U))
         flags = np.zeros(len(listed), bool)
         for b, bits in zip(answers.bucket, answers.shared):
@@ -185,7 +185,7 @@ def shared_contexts(docs: DataFrame, length: int, gram: int, chunks: int, bucket
         doc, anchor, start, count = (x[keep] for x in (doc, anchor, start, count))
         name = names_of(texts, doc, start, count + length - 1)
         at = np.searchsorted(doc, np.arange(len(texts) + 1))
-        squeeze, out = zstandard.ZstdCompressor(level=3), []
+        squeeze, out = zstandard.ZstdCompressor(level=1), []
         for i, (d, t, copy, text) in enumerate(zip(pdf.doc_id, pdf.tkey, pdf["copy"], pdf.text)):
             x, y = at[i], at[i + 1]
             held = (squeeze.compress(text), signed(anchor[x:y]), signed(name[x:y]), start[x:y].astype(np.int32), count[x:y].astype(np.int32)) if y > x else (None,) * 5
@@ -204,41 +204,60 @@ def suffix_order(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
     place = np.arange(n, dtype=np.int64)
     room = ends - place  # symbols before the separator
     longest = int(room.max()) + 1
-    key, padded = np.zeros(n, U), np.concatenate([text, np.zeros(8, np.uint8)])
-    for i in range(8):  # a byte a symbol; nothing beyond the separator
-        key = (key << U(8)) | (padded[i : n + i] * (room >= i)).astype(U)
-    have = 8
+    key = np.concatenate([text, np.zeros(8, np.uint8)]).astype(U)
+    for width in (1, 2, 4):  # eight symbols, a byte each
+        key = (key[:-width] << U(8 * width)) | key[width:]
+    beyond = np.array([0, *[(2 ** (8 * r) - 1) << (64 - 8 * r) for r in range(1, 9)]], U)
+    key, have = key[:n] & beyond[np.minimum(room, 8)], 8  # nothing beyond the separator
     while True:
         order = np.argsort(key)
         ranked = key[order]
         number = np.zeros(n, np.int64)
         np.cumsum(ranked[1:] != ranked[:-1], out=number[1:])
+        if number[-1] == n - 1:
+            return order
         rank = np.empty(n, np.int64)
         rank[order] = number
-        if have >= longest or number[-1] == n - 1:
+        if have >= longest:
             return np.argsort(rank * n + place)
         after = np.zeros(n, np.int64)
         after[: n - have] = (rank[have:] + 1) * (room[: n - have] >= have)
         key, have = rank * (n + 1) + after, 2 * have
+        if have >= longest and n < 1 << 20:
+            return np.argsort(key * n + place)
 
 
 def common_intervals(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """Borders in the suffix array: True where a suffix shares fewer than ``length`` symbols with the one before."""
     before = text[order - 1]  # the Burrows-Wheeler transform; the text begins after a separator
-    follow = np.argsort(before, kind="stable").astype(np.int32)  # place of the suffix that is one symbol shorter, by place
+    follow = np.argsort(before, kind="stable")  # place of the suffix that is one symbol shorter, by place
     first = text[order]
     border = first == 0  # separators are all different
     border[0] = True
     border[1:] |= first[1:] != first[:-1]
     open_ = np.flatnonzero(~border)
-    here, there = follow[open_], follow[open_ - 1]
+    here, there = follow.take(open_), follow.take(open_ - 1)
+    single = here - there == 1  # one place lies between: its own border decides
+    wide = np.flatnonzero(~single)
+    wide, low, high = open_.take(wide), there.take(wide), here.take(wide)
+    single = np.flatnonzero(single)
+    narrow, at = open_.take(single), here.take(single)
     for _ in range(1, length):
-        borders = np.cumsum(border, dtype=np.int32)
-        found = borders[here] != borders[there]
-        if not found.any():  # a longer common prefix would need one that is shorter by one
+        hit = border.take(at)
+        found = np.flatnonzero(hit)
+        far = found[:0]
+        if len(wide):
+            borders = np.cumsum(border.astype(np.int32), dtype=np.int32)
+            far = np.flatnonzero(borders.take(high) != borders.take(low))
+        if not len(found) and not len(far):  # a longer common prefix would need one that is shorter by one
             break
-        border[open_[found]] = True
-        open_, here, there = open_[~found], here[~found], there[~found]
+        left, right = ~hit, np.ones(len(wide), bool)
+        right[far] = False
+        border[narrow.take(found)] = True
+        border[wide.take(far)] = True
+        left, right = np.flatnonzero(left), np.flatnonzero(right)
+        narrow, at = narrow.take(left), at.take(left)
+        wide, low, high = wide.take(right), low.take(right), high.take(right)
     return border
 
 
