@@ -13,6 +13,10 @@ each choice of m - r blocks is a join key.  Small sets take r and m by which a
 key holds most of them, as a passage shared by unlike documents can be half of
 them; large ones take r = 0, where groups are keys themselves.
 
+Keys without an odd bit would be common to many sets.  There are spare groups,
+so that several agree; a set with fewer groups that have a bare key than these
+leaves its bare keys out, as one of the groups that agree has none.
+
 Equal sets form one class and only its representative is joined.  Members of a
 key are compared with one pivot first; only if members then lie in different
 components are more of them made pivots, until none is left.  Before sets are
@@ -26,6 +30,7 @@ first and is one document too; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -54,11 +59,15 @@ def band_edges(top: int) -> list[int]:
     return edges
 
 
-def band_scheme(high: int, num: int, den: int) -> tuple[int, int, int]:
-    """(groups, r, m) of the band below ``high``; no groups if its similar sets are equal ones."""
+def band_scheme(low: int, high: int, num: int, den: int) -> tuple[int, int, int, int]:
+    """(groups, spare, r, m) of the band [low, high): ``spare`` groups at least have no more than r bits
+    that differ.  No groups if the band's similar sets are equal ones."""
     d = 2 * (high - 1) * (den - num) // (den + num)
     r, m = next((r, m) for most, r, m in SCHEMES if d <= most)
-    return -(-(d + 1) // (r + 1)) if d else 0, r, m
+    groups = d // (r + 1) + 1
+    empty = groups * math.comb(m, r) * math.exp(-0.9 * low * (m - r) / m / (groups + 1))  # keys without bits to expect
+    spare = 1 if empty < 1e-3 else 2 + math.ceil(2 * empty)
+    return groups - 1 + spare if d else 0, spare, r, m
 
 
 def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
@@ -79,15 +88,19 @@ def join_keys(s: np.ndarray, num: int, den: int, edges: list[int]) -> np.ndarray
     n, out = len(s), []
     band = int(np.searchsorted(edges, n, "right")) - 1
     for k in (band, band + 1):
-        groups, r, m = band_scheme(edges[k + 1], num, den)
+        groups, spare, r, m = band_scheme(edges[k], edges[k + 1], num, den)
         if not groups or k > band and n * den < num * edges[k]:
             continue
         block = ((s >> U(32)) * U(groups * m)) >> U(32)
         begin = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1])
         content = np.zeros(groups * m, U)
         content[block[begin].astype(np.int64)] = np.bitwise_xor.reduceat(mix(s % U(BLOCK_BITS), 5), begin)
+        blank = (content == 0).reshape(groups, m)
         content = mix(content + mix(np.arange(groups * m, dtype=U), 100 + k)).reshape(groups, m)
-        out += [mix(content[:, list(chosen)].sum(axis=1)) for chosen in combinations(range(m), m - r)]
+        choices = [list(c) for c in combinations(range(m), m - r)]
+        keys = np.stack([mix(content[:, c].sum(axis=1)) for c in choices])
+        bare = np.stack([blank[:, c].all(axis=1) for c in choices])
+        out.append(keys.ravel() if bare.any(axis=0).sum() >= spare else keys[~bare])
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
