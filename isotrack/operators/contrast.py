@@ -65,3 +65,22 @@ def three_term(segs: DataFrame, early: tuple[int, int], late: tuple[int, int], y
     band = band.join(F.broadcast(n)).select((F.col("fe") / F.col("ne")).alias("fe"), (F.col("fl") / F.col("nl")).alias("fl"), F.coalesce("ve", "vl").alias("ve"), F.coalesce("vl", "ve").alias("vl"))
     band = band.na.fill(0.0)
     return band.agg(F.sum((F.col("fl") - F.col("fe")) * F.col("ve")).alias("shift"), F.sum(F.col("fe") * (F.col("vl") - F.col("ve"))).alias("regional"), F.sum((F.col("fl") - F.col("fe")) * (F.col("vl") - F.col("ve"))).alias("joint"), F.sum(F.col("fl") * F.col("vl") - F.col("fe") * F.col("ve")).alias("total"))
+
+
+def shapley(rows: DataFrame, early: tuple[int, int], late: tuple[int, int], bin_col: str = "bin", year: str = "season", least: int = 3) -> DataFrame:
+    """Change of each cell's mean share as change of starting bins plus change of what follows from a bin.
+
+    Only bins with ``least`` entities in both periods take part; the two orders of replacing are averaged.
+    """
+    period = F.when(F.col(year).between(*early), "e").when(F.col(year).between(*late), "l")
+    rows = rows.withColumn("p", period).where("p IS NOT NULL")
+    bins = rows.groupBy(bin_col).agg(*[F.countDistinct(F.when(F.col("p") == k, F.struct("sid", year))).alias(f"n{k}") for k in "el"]).where((F.col("ne") >= least) & (F.col("nl") >= least))
+    total = bins.agg(F.sum("ne").alias("te"), F.sum("nl").alias("tl"))
+    bins = bins.join(F.broadcast(total)).select(bin_col, (F.col("ne") / F.col("te")).alias("ge"), (F.col("nl") / F.col("tl")).alias("gl"))
+    cells = rows.join(bins, bin_col, "left_semi").groupBy(bin_col, "cell_id").agg(*[F.count(F.when(F.col("p") == k, 1)).alias(f"c{k}") for k in "el"])
+    own = Window.partitionBy(bin_col)
+    cells = cells.withColumns({f"s{k}": F.col(f"c{k}") / F.sum(f"c{k}").over(own) for k in "el"}).join(bins, bin_col)
+    return cells.groupBy("cell_id").agg(
+        F.sum((F.col("gl") - F.col("ge")) * (F.col("se") + F.col("sl")) / 2).alias("genesis"), F.sum((F.col("ge") + F.col("gl")) / 2 * (F.col("sl") - F.col("se"))).alias("propagation"),
+        F.sum(F.col("gl") * F.col("sl") - F.col("ge") * F.col("se")).alias("change"),
+    )

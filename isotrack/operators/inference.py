@@ -105,3 +105,20 @@ def fuzzy_membership(df: DataFrame, vector: str, centers: list[list[float]], m:
     df = df.withColumn("__d", F.transform(dist, lambda d: F.pow(F.greatest(d, F.lit(1e-12)), -2.0 / (m - 1.0))))
     total = F.aggregate("__d", F.lit(0.0), lambda t, x: t + x)
     return df.withColumn("membership", F.transform("__d", lambda d: d / total)).drop("__d")
+
+
+def block_bootstrap(series: DataFrame, y: str, length: int, block: int, replicates: int, seed: int, early: tuple[int, int], late: tuple[int, int], year: str = "season") -> DataFrame:
+    """Interval of the late minus early mean from circular blocks of years, drawn by a hash per period and replicate.
+
+    ``length`` years of each period are drawn; a replicate is rows of its own, so work spreads over replicates.
+    """
+    spark = series.sparkSession
+    place = Window.partitionBy("period").orderBy(year)
+    own = series.withColumn("period", F.when(F.col(year).between(*early), "e").when(F.col(year).between(*late), "l")).where("period IS NOT NULL")
+    own = own.select("period", (F.row_number().over(place) - 1).alias("i"), F.count("*").over(Window.partitionBy("period")).alias("n"), y)
+    draws = spark.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("k"))
+    draws = draws.crossJoin(F.broadcast(own.select("period", "n").distinct()))
+    start = F.conv(F.substring(F.md5(F.concat_ws("_", F.lit(seed), "period", "rep", F.floor(F.col("k") / block))), 1, 8), 16, 10).cast("long")
+    draws = draws.withColumn("i", ((start + F.col("k") % block) % F.col("n")).cast("int"))
+    means = draws.join(F.broadcast(own.select("period", "i", y)), ["period", "i"]).groupBy("rep").agg((F.avg(F.when(F.col("period") == "l", F.col(y))) - F.avg(F.when(F.col("period") == "e", F.col(y)))).alias("d"))
+    return means.agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"))

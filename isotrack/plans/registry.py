@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import annual, contrast, density, fields, inference, joins, tracks
+from ..operators import annual, contrast, density, fields, inference, joins, models, tracks
 from ..sources.adapters import AGENCIES, points, table
 from ..sources.adapters import tracks as smooth
 
@@ -450,6 +450,44 @@ def rank_remap(spark, d):
     return r6(tracks.rank_remap(n.where("agency = 'USA'"), n.where("agency = 'CMA'"), "v"), "remapped")
 
 
+@query("shapley", f"""WITH {PTS}, {CELLS}, b AS (SELECT *, floor(min(lat) OVER (PARTITION BY sid, season) / 10)::BIGINT AS bin, CASE WHEN season <= 15 THEN 'e' ELSE 'l' END AS p FROM cells),
+k AS (SELECT bin, count(DISTINCT (sid, season)) FILTER (p = 'e') AS ne, count(DISTINCT (sid, season)) FILTER (p = 'l') AS nl FROM b GROUP BY bin HAVING ne >= 3 AND nl >= 3),
+g AS (SELECT bin, ne / sum(ne) OVER ()::DOUBLE AS ge, nl / sum(nl) OVER ()::DOUBLE AS gl FROM k), c AS (SELECT bin, cell_id, count(*) FILTER (p = 'e') AS ce, count(*) FILTER (p = 'l') AS cl FROM b JOIN g USING (bin) GROUP BY bin, cell_id),
+s AS (SELECT c.bin, cell_id, ge, gl, ce / sum(ce) OVER (PARTITION BY c.bin)::DOUBLE AS se, cl / sum(cl) OVER (PARTITION BY c.bin)::DOUBLE AS sl FROM c JOIN g USING (bin))
+SELECT cell_id, round(sum((gl - ge) * (se + sl) / 2), 9) + 0 AS genesis, round(sum((ge + gl) / 2 * (sl - se)), 9) + 0 AS propagation, round(sum(gl * sl - ge * se), 9) + 0 AS change FROM s GROUP BY cell_id""")
+def shapley(spark, d):
+    p = density.with_cell(points(spark, d))
+    p = p.withColumn("bin", F.floor(F.min("lat").over(Window.partitionBy("sid", "season")) / 10))
+    return contrast.shapley(p, EARLY, LATE).select("cell_id", *[(F.round(c, 9) + 0.0).alias(c) for c in ("genesis", "propagation", "change")])
+
+
+@query("block_bootstrap", f"WITH {PTS}, {DAILY}, own AS (SELECT CASE WHEN season <= 15 THEN 'e' ELSE 'l' END AS period, lat, season FROM daily), o AS (SELECT period, lat, row_number() OVER (PARTITION BY period ORDER BY season) - 1 AS i, count(*) OVER (PARTITION BY period) AS n FROM own), dr AS (SELECT rep, k, period, n, ((('0x' || substr(md5('5_' || period || '_' || rep || '_' || (k // 3)), 1, 8))::BIGINT + k % 3) % n) AS i FROM (SELECT unnest(range(200)) AS rep), (SELECT unnest(range(15)) AS k), (SELECT DISTINCT period, n FROM o)), m AS (SELECT rep, avg(lat) FILTER (dr.period = 'l') - avg(lat) FILTER (dr.period = 'e') AS d FROM dr JOIN o ON o.period = dr.period AND o.i = dr.i GROUP BY rep) SELECT round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM m")
+def block_bootstrap(spark, d):
+    return r6(inference.block_bootstrap(daily(spark, d), "lat", 15, 3, 200, 5, EARLY, LATE), "low", "high")
+
+
+@query("vif", f"WITH {PTS} SELECT unnest(['lat', 'lon']) AS term, round(1 / (1 - corr(lat, lon) ** 2), 6) AS vif FROM pts")
+def vif(spark, d):
+    return r6(models.vif(points(spark, d), ["lat", "lon"]), "vif")
+
+
+@query("adjusted_rand", f"WITH {PTS}, c AS (SELECT agency, nature, count(*)::DOUBLE AS n FROM pts GROUP BY ALL), a AS (SELECT sum(n * (n - 1) / 2) AS sa FROM (SELECT sum(n) AS n FROM c GROUP BY agency)), b AS (SELECT sum(n * (n - 1) / 2) AS sb FROM (SELECT sum(n) AS n FROM c GROUP BY nature)), t AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS t FROM c) SELECT round((s - sa * sb / (t * (t - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (t * (t - 1) / 2)), 9) + 0 AS ari FROM a, b, t")
+def adjusted_rand(spark, d):
+    return models.adjusted_rand(points(spark, d), "agency", "nature").withColumn("ari", F.round("ari", 9) + 0.0)
+
+
+@query("wavelet_spectrum")
+def wavelet_spectrum(spark, d):
+    m = points(spark, d).groupBy("agency", "season").agg(F.avg("lat").alias("v"))
+    return models.wavelet_spectrum(m, ["agency"], "season", "v")
+
+
+@query("hac_regression")
+def hac_regression(spark, d):
+    m = points(spark, d).groupBy("agency", "season").agg(F.avg("lat").alias("lat"), F.avg("wind").alias("wind"))
+    return models.hac_regression(m, ["agency"], "season", "wind", ["lat"])
+
+
 @query("fuzzy_membership")
 def fuzzy_membership(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))

@@ -2,11 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from isotrack.functions import geo
-from isotrack.operators import contrast, inference, joins, tracks
+from isotrack.operators import contrast, inference, joins, models, tracks
 from isotrack.sources import readers
 
 
@@ -91,3 +92,32 @@ def test_readers(spark, tmp_path):
     assert readers.read_monthly_index(spark, str(tmp_path / "i.txt"), [6, 7, 8, 9, 10], "pdo").first()["pdo"] == 8.0
     with pytest.raises(ValueError):
         readers.require_columns(df, ["nope"])
+
+
+def test_glm_recovers_coefficients(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal(4000)
+    rows = [(float(a), float(rng.random() < 1 / (1 + np.exp(0.5 - a))), float(rng.poisson(np.exp(0.2 + 0.3 * a)))) for a in x]
+    df = spark.createDataFrame(rows, "x double, b double, c double")
+    logit, log = models.glm(df, "b", ["x"]), models.glm(df, "c", ["x"], "poisson")
+    assert logit["const"] == pytest.approx(-0.5, abs=0.15) and logit["x"] == pytest.approx(1, abs=0.15)
+    assert log["const"] == pytest.approx(0.2, abs=0.1) and log["x"] == pytest.approx(0.3, abs=0.1)
+
+
+def test_fuzzy_centers_find_two_heaps(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in rng.normal(5.0 * (i % 2), 0.2, 3)]) for i in range(200)]
+    centers = models.fuzzy_centers(spark.createDataFrame(rows, "id int, v array<double>"), "v", np.array([[1.0] * 3, [4.0] * 3]))
+    assert np.allclose(sorted(centers[:, 0]), [0, 5], atol=0.2)
+
+
+def test_wavelet_peak(spark):
+    rows = [("a", t, float(np.sin(2 * np.pi * t / 4))) for t in range(256)]
+    power = models.wavelet_spectrum(spark.createDataFrame(rows, "k string, t int, v double"), ["k"], "t", "v", dj=0.125).collect()
+    assert abs(max(power, key=lambda r: r["power"])["period"] - 4) <= 1
+
+
+def test_hac_of_an_exact_line(spark):
+    rows = [("a", t, float(t % 5), 2.0 + 3.0 * (t % 5)) for t in range(30)]
+    out = {r["term"]: r for r in models.hac_regression(spark.createDataFrame(rows, "k string, t int, x double, y double"), ["k"], "t", "y", ["x"]).collect()}
+    assert out["x"]["coef"] == pytest.approx(3) and out["x"]["se"] == pytest.approx(0, abs=1e-8)
