@@ -124,14 +124,17 @@ def short(anchors: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((anchors >> U(32)) % U(buckets)).astype(np.int64), (anchors & U(0xFFFFFFFF)).astype(np.uint32)
 
 
-def shared_contexts(docs: DataFrame, length: int, gram: int, chunks: int, buckets: int) -> DataFrame:
+def shared_contexts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """One row per document: size, digest, and its contexts of anchors that several documents have, with the compressed text."""
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("tkey"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
     )
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "tkey"), F.lit(chunks)).cast("int"))
-    brief = rows.select("chunk", "doc_id", "tkey", F.length("text").alias("size"), F.hash("text").alias("check"))
+    brief = stage(rows.select("doc_id", "tkey", F.length("text").alias("size"), F.hash("text").alias("check")), "brief")
+    total = brief.agg(F.sum("size")).first()[0] or 0
+    chunks, buckets = max(1, -(-total // CHUNK)), max(1, min(1 << 20, -(-total // BUCKET)))
+    in_chunk = F.pmod(F.xxhash64("doc_id", "tkey"), F.lit(chunks)).cast("int")
+    rows, brief = rows.withColumn("chunk", in_chunk), brief.withColumn("chunk", in_chunk)
     first = brief.groupBy("tkey", "size", "check").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
     copies = stage(brief.join(first, ["tkey", "size", "check"]).where("owner < doc_id").select("chunk", "doc_id", "tkey").distinct(), "copies")
 
@@ -301,7 +304,7 @@ def expand_shards(chunked: DataFrame, found: DataFrame, length: int) -> DataFram
                     out += [(doc, tkey, p["start"] + s, a, text[s : s + n + length - 1]) for a, s, n in zip(signed(anchors).tolist(), starts.tolist(), counts.tolist())]
             yield pd.DataFrame(out, columns=["doc_id", "tkey", "start", "fp", "text"])
 
-    rows = chunked.select("doc_id", "tkey", "packed").join(wanted, ["doc_id", "tkey"]).dropDuplicates(["doc_id", "tkey"])
+    rows = chunked.select("doc_id", "tkey", "packed").join(wanted, ["doc_id", "tkey"])
     rows = stage(rows.mapInPandas(extract, "doc_id long, tkey long, start int, fp long, text binary"), "contexts")
     several = rows.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("fp")
     rows = stage(rows.join(several, "fp", "left_semi"), "compared")
@@ -340,8 +343,7 @@ def remove_spans(chunked: DataFrame, spans: DataFrame, length: int, with_text: b
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with_text adds the remaining
     bytes (``kept``) of documents that lose some."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunked = shared_contexts(docs, length, gram, max(1, -(-total // CHUNK)), max(1, min(1 << 20, -(-total // BUCKET))))
+    chunked = shared_contexts(docs, length, gram)
     rows = chunked.select("doc_id", "tkey", F.inline(F.arrays_zip("fp", "c", "start", "n")))
     contexts = rows.groupBy("fp", "c").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
     forms = contexts.groupBy("fp").agg(F.count("*").alias("forms"))
