@@ -151,7 +151,11 @@ def verify(pairs: DataFrame, sketches: DataFrame | None, sets: DataFrame, num: i
     if sketches is not None:
         near = near.join(side(sketches, "a", "n", "sketch"), "a").join(side(sketches, "b", "n", "sketch"), "b")
         near = near.where(plausible("n_a", "n_b", "sketch_a", "sketch_b", num, den))
-    full = near.select("a", "b").join(side(sets, "b", "n", "shingles"), "b").join(side(sets, "a", "n", "shingles"), "a")
+    # few pairs pass: as a table their size is known, and where it is small they go to the sets
+    near = stage(near.select("a", "b"), "near")
+    need = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
+    sets = stage(sets.join(need, "doc_id", "left_semi"), "compared")
+    full = near.join(side(sets, "b", "n", "shingles"), "b").join(side(sets, "a", "n", "shingles"), "a")
     both = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
     full = full.select("a", "b", "n_a", "n_b", both.alias("both"))
     return full.where(F.col("both") * den >= (F.col("n_a") + F.col("n_b") - F.col("both")) * num).select("a", "b").distinct()
