@@ -67,16 +67,19 @@ def moment(demand: Column, w0: Column, w1: Column) -> Column:
     return F.when(F.abs(slope) < 1e-12, demand).otherwise((F.sqrt(start * start + 4 * slope * demand) - start) / (2 * slope))
 
 
-def allocate(docs: DataFrame, schedule: Callable[[Column], tuple[Column, Column]] = cycle_123, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies: one row per document.
+def n_words() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
-    ``copies`` lists (epoch, taken, position) of every copy that takes words.
-    """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sizes = docs.select("doc_id", source_key(F.col("source")).alias("source_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("order_key"))
+
+def streams(sizes: DataFrame, order: list[str], schedule: Callable[[Column], tuple[Column, Column]], max_epochs: int) -> DataFrame:
+    """``sizes`` with ``before``, the words ahead of each document in its source's stream, and the columns of ``targets``."""
     sizes = stage(sizes, "sizes")
-    rows = with_prefix(sizes, ["source_key"], F.substring("order_key", 1, 3), ["order_key", "size"], "size", "before")
-    rows = rows.join(stage(targets(sizes, schedule, max_epochs), "targets"), "source_key")
+    rows = with_prefix(sizes, ["source_key"], F.substring("order_key", 1, 3), order, "size", "before")
+    return rows.join(stage(targets(sizes, schedule, max_epochs), "targets"), "source_key")
+
+
+def budgeted(rows: DataFrame, max_epochs: int) -> DataFrame:
+    """``rows`` of ``streams`` with ``copies``: (epoch, taken, position) of every copy that takes words."""
     budget = F.round("target").cast("long")
 
     def copy(e: int) -> Column:
@@ -84,8 +87,17 @@ def allocate(docs: DataFrame, schedule: Callable[[Column], tuple[Column, Column]
         taken = F.greatest(F.lit(0), F.least(F.col("size"), budget - start))
         return F.struct(F.lit(e).alias("epoch"), taken.cast("long").alias("taken"), F.when(taken > 0, moment(start / F.col("target"), F.col("w0"), F.col("w1"))).alias("position"))
 
-    copies = F.filter(F.array(*[copy(e) for e in range(max_epochs)]), lambda c: c["taken"] > 0)
-    rows = rows.withColumn("copies", copies)
+    return rows.withColumn("copies", F.filter(F.array(*[copy(e) for e in range(max_epochs)]), lambda c: c["taken"] > 0))
+
+
+def allocate(docs: DataFrame, schedule: Callable[[Column], tuple[Column, Column]] = cycle_123, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies: one row per document.
+
+    ``copies`` lists (epoch, taken, position) of every copy that takes words.
+    """
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rows = streams(docs.select("doc_id", source_key(F.col("source")).alias("source_key"), n_words().alias("size"), key.alias("order_key")), ["order_key", "size"], schedule, max_epochs)
+    rows = budgeted(rows, max_epochs)
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda total, c: total + c["taken"])
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "copies")
 
@@ -93,16 +105,20 @@ def allocate(docs: DataFrame, schedule: Callable[[Column], tuple[Column, Column]
 def curriculum(docs: DataFrame, schedule: Callable[[Column], tuple[Column, Column]] = cycle_123, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself: every copy of every document in training order.
 
-    Keeps the columns of ``docs``.  The one copy of a source that its budget
+    Keeps the columns of ``docs``.  Rows are numbered first, so that each meets
+    only its own copies, whatever ids are null or repeated; the order of a
+    stream comes from ids and texts, so that such rows spread too.  The one copy of a source that its budget
     cuts is shortened to the words taken, joined by single spaces.
     """
-    plan = allocate(docs, schedule, max_epochs).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.explode("copies").alias("__c"))
-    plan = plan.dropDuplicates(["__id", "__c"])
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.md5(F.coalesce("text", F.lit("")))))
+    numbered = stage(docs.select("*", F.monotonically_increasing_id().alias("__row"), key.alias("__key")), "numbered")
+    sizes = numbered.select(F.col("__row").alias("row"), source_key(F.col("source")).alias("source_key"), n_words().alias("size"), F.col("__key").alias("order_key"))
+    plan = budgeted(streams(sizes, ["order_key", "size", "row"], schedule, max_epochs), max_epochs)
+    plan = plan.select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.explode("copies").alias("__c"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.array_join(F.slice(words, 1, F.col("__c.taken").cast("int")), " ")
-    mixed = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"]))
-    mixed = mixed.withColumn("text", F.when(F.col("__c.taken") < F.col("__size"), cut).otherwise(F.col("text")))
-    return mixed.orderBy("__c.position", "__id", "__c.epoch").select(*docs.columns)
+    mixed = numbered.join(plan, "__row").withColumn("text", F.when(F.col("__c.taken") < F.col("__size"), cut).otherwise(F.col("text")))
+    return mixed.orderBy("__c.position", "__key", "__row", "__c.epoch").select(*docs.columns)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

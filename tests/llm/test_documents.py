@@ -214,6 +214,21 @@ def test_mixing(docs, empty):
     assert mixing.allocate(empty).count() == 0
 
 
+def test_mixing_of_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    texts = [f"t{i} " + words(rng, rng.randint(3, 40)) for i in range(60)]
+    ids = [None if i % 3 == 0 else 7 if i % 3 == 1 else i for i in range(60)]
+    rows = [(ids[i], t, "en", "ab"[i % 2], 0, 7, "k", True) for i, t in enumerate(texts)]
+    mixed = mixing.curriculum(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    times, held = {}, dict(zip((t.split()[0] for t in texts), rows))
+    for r in mixed:
+        name = r.text.split()[0]
+        assert (r.doc_id, r.source) == (held[name][0], held[name][3])
+        times[name] = times.get(name, 0) + 1
+    assert max(times.values()) <= 3
+    assert abs(sum(len(r.text.split()) for r in mixed) - sum(len(t.split()) for t in texts)) <= 4
+
+
 def test_schedules_are_inverted(spark):
     for w0, w1 in ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0), (0.0, 2.0)):
         for t in (0.0, 0.3, 1.0):
