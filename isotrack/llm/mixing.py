@@ -10,8 +10,9 @@ by that moment is the training order.  Only DataFrame functions are used.
 
 Defined results: null text has size 0; null sources form one source, last in
 order; a document of size 0 takes 0; repeated rows are separate documents of
-the stream; no documents, no rows.  The copy at which a source's budget ends is
-taken in part, so that sources meet their targets to the word.
+the stream; no documents, no rows.  ``allocate`` counts the copy at which a source's budget
+ends in part, so that sources meet their targets to the word; ``curriculum``
+takes whole copies only (``whole_copies``).
 """
 
 from __future__ import annotations
@@ -102,23 +103,66 @@ def allocate(docs: DataFrame, schedule: Callable[[Column], tuple[Column, Column]
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "copies")
 
 
+def whole_copies(rows: DataFrame, max_epochs: int) -> DataFrame:
+    """row, copies: ``rows`` of ``streams`` with (epoch, position) of every copy, all of them whole.
+
+    Every document is taken as often as its source fits into the budget as a
+    whole, and those at the beginning of the stream once more.  The gap before
+    the first that does not fit is filled with later ones, longest first; one
+    more follows if that leaves the source nearer its target, or if nothing of
+    the source was taken.  All that decides is the number of later documents of
+    each size; a filling document is found by its rank among those of its size.
+    """
+    budget = F.round("target").cast("long")
+    rows = rows.where("size > 0").withColumn("times", F.least(F.lit(max_epochs), F.floor(budget / F.col("source_size")).cast("int")))
+    rows = rows.withColumn("room", budget - F.col("times") * F.col("source_size")).withColumn("fits", F.col("before") + F.col("size") <= F.col("room"))
+    rows = stage(rows, "streams")
+    inside = F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0))
+    gaps = rows.groupBy("source_key").agg((F.first("room") - inside).alias("gap"), (inside + F.first("times") == 0).alias("nothing"))
+    later = rows.where("not fits and times < %d" % max_epochs)
+    counts = later.groupBy("source_key", "size").agg(F.count("*").alias("n")).join(stage(gaps, "gaps"), "source_key")
+    over = F.min(F.when(F.col("size") > F.col("gap"), F.col("size"))).over(Window.partitionBy("source_key"))
+    counts = counts.withColumn("over", over).where("size <= gap or size = over")
+    per = counts.groupBy("source_key").agg(F.first("gap").alias("gap"), F.first("nothing").alias("nothing"), F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+    # Fold over the sizes: ``left`` of the gap, ``picks`` (documents ``first`` to ``first + n - 1`` of a size, from the word ``at`` of the gap on), ``spare``: the least size that is not used up.
+    walked = F.expr("""aggregate(sizes,
+      named_struct('left', gap, 'picks', cast(array() as array<struct<size: bigint, first: bigint, n: bigint, at: bigint>>), 'spare', cast(null as struct<size: bigint, first: bigint>)),
+      (acc, s) -> named_struct(
+        'left', acc.left - least(s.n, acc.left div s.size) * s.size,
+        'picks', if(acc.left >= s.size, concat(acc.picks, array(named_struct('size', s.size, 'first', 0L, 'n', least(s.n, acc.left div s.size), 'at', gap - acc.left))), acc.picks),
+        'spare', if(s.n > acc.left div s.size, named_struct('size', s.size, 'first', acc.left div s.size), acc.spare)))""")
+    one_more = "walked.spare is not null and (walked.spare.size < 2 * walked.left or (nothing and size(walked.picks) = 0))"
+    last = "array(named_struct('size', walked.spare.size, 'first', walked.spare.first, 'n', 1L, 'at', gap - walked.left))"
+    picks = per.withColumn("walked", walked).selectExpr("source_key", f"inline(if({one_more}, concat(walked.picks, {last}), walked.picks))")
+    picks = stage(picks.join(gaps, "source_key"), "picks")
+    used = later.select("row", "source_key", "size", "order_key").join(picks.select("source_key", "size").distinct(), ["source_key", "size"], "left_semi")
+    used = with_prefix(used.withColumn("one", F.lit(1)), ["source_key", "size"], F.substring("order_key", 1, 3), ["order_key", "row"], "one", "rank")
+    used = used.join(picks, ["source_key", "size"]).where("rank >= first and rank < first + n").select("row", (F.col("at") - F.col("gap") + (F.col("rank") - F.col("first")) * F.col("size")).alias("late"))
+    rows = rows.join(used, "row", "left")
+
+    def copy(e: Column, start: Column) -> Column:
+        return F.struct(e.alias("epoch"), moment(start / F.col("target"), F.col("w0"), F.col("w1")).alias("position"))
+
+    extra = F.when(F.col("fits"), F.col("before") + F.col("times") * F.col("source_size")).otherwise(budget + F.col("late"))
+    whole = F.transform(F.filter(F.array(*[F.lit(e) for e in range(max_epochs)]), lambda e: e < F.col("times")), lambda e: copy(e, F.col("before") + e * F.col("source_size")))
+    return rows.select("row", F.when(extra.isNull(), whole).otherwise(F.concat(whole, F.array(copy(F.col("times"), extra)))).alias("copies"))
+
+
 def curriculum(docs: DataFrame, schedule: Callable[[Column], tuple[Column, Column]] = cycle_123, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself: every copy of every document in training order.
 
-    Keeps the columns of ``docs``.  Rows are numbered first, so that each meets
-    only its own copies, whatever ids are null or repeated; the order of a
-    stream comes from ids and texts, so that such rows spread too.  The one copy of a source that its budget
-    cuts is shortened to the words taken, joined by single spaces.
+    Keeps the columns of ``docs``, and texts as they are.  Rows are numbered
+    first, so that each meets only its own copies, whatever ids are null or
+    repeated; a null id is ordered by a hash of the text, so that such rows
+    spread too, and the rows of a repeated id follow each other.
     """
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.md5(F.coalesce("text", F.lit("")))))
+    by_text = F.md5(F.coalesce("text", F.lit("")))
+    key = F.concat(F.coalesce(F.md5(F.col("doc_id").cast("string")), by_text), by_text)
     numbered = stage(docs.select("*", F.monotonically_increasing_id().alias("__row"), key.alias("__key")), "numbered")
     sizes = numbered.select(F.col("__row").alias("row"), source_key(F.col("source")).alias("source_key"), n_words().alias("size"), F.col("__key").alias("order_key"))
-    plan = budgeted(streams(sizes, ["order_key", "size", "row"], schedule, max_epochs), max_epochs)
-    plan = plan.select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.explode("copies").alias("__c"))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.array_join(F.slice(words, 1, F.col("__c.taken").cast("int")), " ")
-    mixed = numbered.join(plan, "__row").withColumn("text", F.when(F.col("__c.taken") < F.col("__size"), cut).otherwise(F.col("text")))
-    return mixed.orderBy("__c.position", "__key", "__row", "__c.epoch").select(*docs.columns)
+    plan = whole_copies(streams(sizes, ["order_key", "size", "row"], schedule, max_epochs), max_epochs)
+    plan = plan.select(F.col("row").alias("__row"), F.explode("copies").alias("__c"))
+    return numbered.join(plan, "__row").orderBy("__c.position", "__key", "__row", "__c.epoch").select(*docs.columns)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

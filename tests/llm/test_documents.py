@@ -229,6 +229,27 @@ def test_mixing_of_null_and_repeated_ids(spark):
     assert abs(sum(len(r.text.split()) for r in mixed) - sum(len(t.split()) for t in texts)) <= 4
 
 
+def test_mixing_takes_whole_texts(spark):
+    rng = random.Random(13)
+    small = [(100 + i, "a\n\nb  " + words(rng, rng.randint(1, 90)), f"s{i % 25:02}") for i in range(100)]
+    long = [(500, words(rng, 3000).replace(" ", "\n"), "one long text"), (501, "x y", None)]
+    rows = [(i, t, "en", s, 0, 7, "k", True) for i, t, s in small + long]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    mixed = mixing.curriculum(frame).collect()
+    assert {(r.doc_id, r.text) for r in mixed} <= {(r[0], r[1]) for r in rows}
+    assert {r.source for r in mixed} == {r[3] for r in rows}
+    times, size, target = {}, {}, {}
+    for r in mixed:
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    assert max(times.values()) <= 3
+    source = {r[0]: r[3] for r in rows}
+    for r in mixing.allocate(frame).collect():
+        size.setdefault(source[r.doc_id], {})[r.doc_id], target[source[r.doc_id]] = r.size, r.target
+    for s, own in size.items():
+        total = sum(times.get(i, 0) * n for i, n in own.items())
+        assert abs(total - target[s]) <= max(own.values()) / 2 + 1 or len([i for i in own if i in times]) == 1
+
+
 def test_schedules_are_inverted(spark):
     for w0, w1 in ((1.5, 0.5), (0.5, 1.5), (1.0, 1.0), (0.0, 2.0)):
         for t in (0.0, 0.3, 1.0):
