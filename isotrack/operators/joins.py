@@ -61,16 +61,19 @@ def paired_contrast(df: DataFrame, identity: list[str], factor: str, a: str, b:
     return side(a, "value_a").join(side(b, "value_b"), identity).withColumn("shift", F.col("value_b") - F.col("value_a"))
 
 
-def nearest_cell_join(points: DataFrame, cells: DataFrame, point_id: str, max_km: float, width: float) -> DataFrame:
+def nearest_cell_join(points: DataFrame, cells: DataFrame, point_id: str, max_km: float, width: float, itself: bool = True) -> DataFrame:
     """Each point with the nearest cell within max_km, by bins at least as wide as the radius.
 
+    Without ``itself``, a point is not matched to the cell of its own id.
     Cells are copied to the nine bins around theirs; the east-west copies wrap.
     """
     n = int(360 // width)
     near = cells.withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
     near = near.withColumns({"by": F.floor(F.col("cell_lat") / width) + F.col("dy"), "bx": F.pmod(F.floor(F.col("cell_lon") / width) + F.col("dx"), F.lit(n))}).drop("dx", "dy")
     at = points.withColumns({"by": F.floor(F.col("lat") / width), "bx": F.pmod(F.floor(F.col("lon") / width), F.lit(n))})
-    out = at.join(near, ["by", "bx"]).withColumn("match_km", great_circle_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"))).where(F.col("match_km") <= max_km)
+    out = at.join(near, ["by", "bx"])
+    out = out if itself else out.where(F.col(point_id) != F.col("cell_id"))
+    out = out.withColumn("match_km", great_circle_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"))).where(F.col("match_km") <= max_km)
     return out.withColumn("__r", F.row_number().over(Window.partitionBy(point_id).orderBy("match_km", "cell_id"))).where("__r = 1").drop("__r", "by", "bx")
 
 

@@ -400,8 +400,8 @@ def robust_z(spark, d):
 FIELD = f"{PTS}, fld AS (SELECT season, 2.5::DOUBLE + 5 * floor(lat / 5) AS lat, 102.5::DOUBLE + 5 * floor((lon - 100) / 5) AS lon, avg(wind) - 60 AS v FROM pts WHERE season <= 5 AND lat < 40 AND lon < 180 GROUP BY ALL)"
 
 
-def field(spark, d):
-    p = points(spark, d).where("season <= 5 AND lat < 40 AND lon < 180")
+def field(spark, d, seasons="season <= 5"):
+    p = points(spark, d).where(f"{seasons} AND lat < 40 AND lon < 180")
     return p.groupBy("season", (F.lit(2.5) + 5 * F.floor(F.col("lat") / 5)).alias("lat"), (F.lit(102.5) + 5 * F.floor((F.col("lon") - 100) / 5)).alias("lon")).agg((F.avg("wind") - 60).alias("v"))
 
 
@@ -433,6 +433,70 @@ def composite_difference(spark, d):
     return r6(fields.composite_difference(f, ["lat", "lon"], "v", "label", "1", "2"), "difference")
 
 
+# The same over whole tables: all seasons, and every point against every other.
+FIELD_ALL = FIELD.replace("season <= 5 AND ", "")
+BLOCKS_ALL = BLOCKS.replace(" WHERE season NOT BETWEEN 11 AND 13", "")
+
+
+def field_all(spark, d):
+    return field(spark, d, "true")
+
+
+def blocks_all(spark, d):
+    return tracks.year_blocks(seasons(spark, d), 3)
+
+
+@query("field_weighted_mean_all", ORACLE["field_weighted_mean"].replace(FIELD, FIELD_ALL))
+def field_weighted_mean_all(spark, d):
+    return r6(fields.weighted_mean(field_all(spark, d), ["season"], "v"), "mean")
+
+
+@query("field_above_contour_all", ORACLE["field_above_contour"].replace(FIELD, FIELD_ALL))
+def field_above_contour_all(spark, d):
+    return r6(fields.above_contour(field_all(spark, d), ["season"], "v", 10.0, 5.0, 5.0, 5.0), "intensity").withColumn("area_km2", F.round("area_km2", 3))
+
+
+@query("ridge_latitude_all", ORACLE["ridge_latitude"].replace(FIELD, FIELD_ALL))
+def ridge_latitude_all(spark, d):
+    return r6(fields.ridge_latitude(field_all(spark, d), ["season"], "v"), "ridge_lat")
+
+
+@query("layer_mean_all", ORACLE["layer_mean"].replace(FIELD, FIELD_ALL))
+def layer_mean_all(spark, d):
+    f = field_all(spark, d)
+    several = f.groupBy("season", "lon").count().where("count > 1")
+    return r6(fields.layer_mean(f.join(several, ["season", "lon"], "left_semi"), ["season", "lon"], "lat", "v"), "layer_mean")
+
+
+@query("composite_difference_all", f"WITH {FIELD_ALL} SELECT lat, lon, round(avg(v) FILTER (season > 15) - avg(v) FILTER (season <= 15), 6) AS difference FROM fld GROUP BY lat, lon")
+def composite_difference_all(spark, d):
+    f = field_all(spark, d).withColumn("label", F.when(F.col("season") > 15, "late").otherwise("early"))
+    return r6(fields.composite_difference(f, ["lat", "lon"], "v", "label", "late", "early"), "difference")
+
+
+@query("nearest_cell_all", f"WITH {PTS}, c AS (SELECT event_id AS cell_id, lat AS clat, lon AS clon FROM pts), j AS (SELECT event_id, cell_id, {dist('lat', 'lon', 'clat', 'clon')} AS km FROM pts JOIN c ON abs(lat - clat) < 1 AND abs(lon - clon) < 1.5 AND event_id <> cell_id) SELECT event_id, cell_id, round(km, 5) AS match_km FROM j WHERE km <= 75 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY km, cell_id) = 1")
+def nearest_cell_all(spark, d):
+    p = points(spark, d)
+    cells = p.select(F.col("event_id").alias("cell_id"), F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"))
+    out = joins.nearest_cell_join(p.select("event_id", "lat", "lon"), cells, "event_id", 75.0, 1.0, itself=False)
+    return out.select("event_id", "cell_id", F.round("match_km", 5).alias("match_km"))
+
+
+@query("year_blocks_all", f"WITH {PTS}, {BLOCKS_ALL} SELECT season, block FROM blk")
+def year_blocks_all(spark, d):
+    return blocks_all(spark, d)
+
+
+@query("permutation_difference_all", ORACLE["permutation_difference"].replace(BLOCKS, BLOCKS_ALL).replace("position >= 14", "position >= 15").replace("position < 14", "position < 15"))
+def permutation_difference_all(spark, d):
+    return r6(inference.permutation_difference(daily(spark, d), blocks_all(spark, d), 15, 199, 11, "lat"), "difference", "p_value")
+
+
+@query("permutation_tv_all", ORACLE["permutation_tv"].replace(BLOCKS, BLOCKS_ALL).replace("position >= 14", "position >= 15").replace("position < 14", "position < 15").replace("any_value(n - 14)", "any_value(n - 15)").replace("/ 14 AS d", "/ 15 AS d"))
+def permutation_tv_all(spark, d):
+    return r6(inference.permutation_tv(density.composition(points(spark, d)), blocks_all(spark, d), 15, 199, 11), "tv", "p_value")
+
+
 @query("pivot_counts", f"WITH {PTS} SELECT season, count(*) FILTER (agency = 'USA') AS usa, count(*) FILTER (agency = 'TOKYO') AS tokyo, count(*) FILTER (agency = 'CMA') AS cma FROM pts GROUP BY season")
 def pivot_counts(spark, d):
     p = points(spark, d).groupBy("season").pivot("agency", list(AGENCIES)).count().na.fill(0)

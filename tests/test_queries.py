@@ -42,3 +42,25 @@ def test_entry_has_rows(spark):
 
 def test_registries_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_tables_are_read(spark):
+    from isotrack.plans.registry import field_all, points
+
+    seasons = {r.season for r in points(spark, DATA).select("season").distinct().collect()}
+    assert len(seasons) > 27
+    assert {r.season for r in field_all(spark, DATA).select("season").distinct().collect()} == seasons
+    assert {r.season for r in QUERIES["year_blocks_all"](spark, DATA).collect()} == seasons
+    assert QUERIES["field_weighted_mean_all"](spark, DATA).count() == len(seasons)
+    pairs = QUERIES["nearest_cell_all"](spark, DATA).collect()
+    assert {r.event_id % 5 for r in pairs} == {r.cell_id % 5 for r in pairs} == set(range(5))
+    assert all(r.event_id != r.cell_id for r in pairs)
+
+
+def test_nearest_cell_without_itself(spark):
+    from isotrack.operators import joins
+
+    p = spark.createDataFrame([(1, 10.0, 120.0), (2, 10.1, 120.0), (3, 30.0, 150.0)], "event_id long, lat double, lon double")
+    cells = p.toDF("cell_id", "cell_lat", "cell_lon")
+    assert {(r.event_id, r.cell_id) for r in joins.nearest_cell_join(p, cells, "event_id", 75.0, 1.0, itself=False).collect()} == {(1, 2), (2, 1)}
+    assert {(r.event_id, r.cell_id) for r in joins.nearest_cell_join(p, cells, "event_id", 75.0, 1.0).collect()} == {(1, 1), (2, 2), (3, 3)}
