@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import stage
 from .kernels import doc_words, mix, runs, signed, slices, sliding_min, window_hashes
 
-WORDS, SHINGLE, FANOUT, BATCHES = 50, 10, 4, 3
+WORDS, SHINGLE, FANOUT, BATCHES = 50, 10, 2, 3
 NO_ID = -(2**63)
 PRINTS = "doc_id long, tkey long, fp array<long>, c array<long>, start array<int>, n array<int>"
 

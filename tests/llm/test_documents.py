@@ -197,6 +197,13 @@ def test_dedup_of_nothing(empty):
     assert suffix_dedup.dedup_bytes(empty).count() == 0
 
 
+def test_substring_index_compacts_as_registered(docs, monkeypatch):
+    compacted, compact = [], substring_dedup.SubstringIndex.compact
+    monkeypatch.setattr(substring_dedup.SubstringIndex, "compact", lambda self: (compacted.append(len(self.runs)), compact(self)))
+    assert substring_dedup.dedup_substrings(docs, with_text=False).count() == docs.count()
+    assert compacted == [substring_dedup.FANOUT + 1]
+
+
 def test_mixing(docs, empty):
     rows = mixing.allocate(docs).collect()
     sizes = {i: len((t or "").encode().split()) for i, t in corpus()}
