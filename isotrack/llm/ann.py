@@ -17,7 +17,9 @@ the sample, its neighbours are nearer, so this errs on the side of recall.
 
 A list is cut into parts of about ``PART`` vectors by a hash of the id, and
 queries go to each part of the lists they probe, so a list that holds a third
-of all vectors is scanned by many tasks.  The number of lists grows with the
+of all vectors is scanned by many tasks; the queries of a list are cut into
+blocks of about ``PART`` likewise.  A query whose lists hold fewer than k others
+probes on until they do.  The number of lists grows with the
 square root of the table up to ``MAX_LISTS``, which bounds the centroids that
 tasks carry along.
 
@@ -107,7 +109,8 @@ def scan(query: np.ndarray, vectors: np.ndarray, rotated: np.ndarray, turned: np
         if bound is None:  # the whole distances of the k most promising give the distance to beat
             first = alive[np.argpartition(partial, k - 1)[:k]]
             bound = ((rotated[first] - turned) ** 2).sum(1).max()
-        keep = partial * dim / hi <= bound * (1 + EPSILON / np.sqrt(hi)) ** 2 + 1e-12
+            sure = np.isin(np.arange(len(ids)), first)  # these k stay, so no part gives fewer than it could
+        keep = sure[alive] | (partial * dim / hi <= bound * (1 + EPSILON / np.sqrt(hi)) ** 2 + 1e-12)
         alive, partial = alive[keep], partial[keep]
     exact = np.sqrt(((vectors[alive] - query) ** 2).sum(1))
     best = np.lexsort((ids[alive], exact))[:k]
@@ -126,6 +129,7 @@ def search(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_i
     fitted = np.stack(sample.vector) if total else np.zeros((1, dim))
     centers = centroids(fitted, lists)
     probes = min(lists, probes_needed(fitted, centers, k))
+    sizes = np.zeros(lists, np.int64)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -136,14 +140,28 @@ def search(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_i
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                near = nearest_lists(np.stack(pdf.vector), centers, probes)
-                yield pd.DataFrame({"id": np.repeat(pdf.id.to_numpy(), probes), "vector": [v for v in pdf.vector for _ in range(probes)], "list": near.ravel(), "part": 0})
+                vectors, asks, lists_of, own = np.stack(pdf.vector), [], [], pdf.part.to_numpy()
+                near = nearest_lists(vectors, centers, probes)
+                for i in range(len(pdf)):
+                    row = near[i]
+                    if sizes[row].sum() < k + own[i]:
+                        row = nearest_lists(vectors[i : i + 1], centers, lists)[0]
+                        row = row[: max(probes, int(np.searchsorted(np.cumsum(sizes[row]), k + own[i])) + 1)]
+                    asks += [i] * len(row)
+                    lists_of.append(row)
+                yield pd.DataFrame({"id": pdf.id.to_numpy()[asks], "vector": [pdf.vector.iat[i] for i in asks], "list": np.concatenate(lists_of), "part": 0})
 
     listed = stage(rows.select("id", "vector").mapInPandas(assign, LISTED), "listed").drop("part")
-    parts = stage(listed.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "parts")  # one row per list, at most MAX_LISTS
-    listed = listed.join(F.broadcast(parts), "list").selectExpr("id", "vector", "list", "cast(pmod(xxhash64(id), parts) as int) AS part")
-    asked = rows.where("is_query").select("id", "vector").mapInPandas(probe, LISTED).drop("part")
-    asked = asked.join(F.broadcast(parts), "list").selectExpr("id", "vector", "list", "explode(sequence(0, parts - 1)) AS part")
+    counts = stage(listed.groupBy("list").agg(F.count("*").alias("n"), F.ceil(F.count("*") / PART).cast("int").alias("parts")), "parts")  # one row per list, at most MAX_LISTS
+    for row in counts.collect():
+        sizes[row["list"]] = row["n"]
+    queries = rows.where("is_query").select("id", "vector")
+    copies = rows.join(queries.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count("*").cast("int").alias("part"))  # rows that a query may not find
+    asked = stage(queries.join(copies, "id").select("id", "vector", F.lit(0).alias("list"), "part").mapInPandas(probe, LISTED).drop("part"), "asked")
+    blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("blocks"))
+    parts = stage(counts.join(blocks, "list", "left").select("list", "parts", F.coalesce("blocks", F.lit(0)).alias("blocks")), "blocks")
+    listed = listed.join(F.broadcast(parts.where("blocks > 0")), "list").selectExpr("id", "vector", "list", "cast(pmod(xxhash64(id), parts) as int) AS part", "explode(sequence(0, blocks - 1)) AS block")
+    asked = asked.join(F.broadcast(parts), "list").selectExpr("id", "vector", "list", "cast(pmod(xxhash64(id), blocks) as int) AS block", "explode(sequence(0, parts - 1)) AS part")
     turn = rotation(dim)
 
     def scan_part(held: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -156,7 +174,7 @@ def search(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_i
             out.append(pd.DataFrame({"query_id": q, "vec_id": found, "score": score}))
         return pd.concat(out)
 
-    found = listed.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(scan_part, FOUND)
+    found = listed.groupBy("list", "part", "block").cogroup(asked.groupBy("list", "part", "block")).applyInPandas(scan_part, FOUND)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

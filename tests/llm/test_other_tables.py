@@ -73,6 +73,29 @@ def test_neighbours(spark):
     assert ann.search(table.where("vec_id in (0, 1, 2)"), F.col("vec_id") == 0).count() == 2
 
 
+def test_outliers_find_as_many_as_there_are(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 0.01, (500, 8)), 100 * np.eye(8)[:6] + rng.normal(0, 0.01, (6, 8))])
+    monkeypatch.setattr(ann, "probes_needed", lambda *_: 1)
+    monkeypatch.setattr(ann, "PART", 64)
+    table = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(len(x))], "vec_id long, embedding array<double>")
+    rows = ann.search(table, F.col("vec_id") % 2 == 0).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == set(range(0, len(x), 2))
+    assert all(len(set(v)) == len(v) == 10 and q not in v for q, v in got.items())
+
+
+def test_no_part_gives_fewer_than_it_could():
+    vectors = np.zeros((30, 64))
+    vectors[:, 0] = 10
+    vectors[0] = 0
+    vectors[0, 63] = 1
+    found, _ = ann.scan(np.zeros(64), vectors, vectors, np.zeros(64), np.arange(30), -1, 10)
+    assert len(found) == 10
+
+
 def brute_base(text):
     out = []
     for k, kind in enumerate(pii.KINDS):
