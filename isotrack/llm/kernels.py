@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
 
 U = np.uint64
 BASE, BASE_INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 2**64)
 BLOCK = 1 << 21
+PIECE = 1 << 14  # values that are hashed at a time, which fit the caches
+WORDS_KEPT = 200_000
+SPACE = re.compile(rb"[\x20\x09-\x0d]")
 _STATE: dict = {}
 
 
@@ -52,7 +58,10 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span: a polynomial over random byte values, then mixed."""
+    """A 64-bit hash of each span: a polynomial over random byte values, then mixed.
+
+    Texts made for it can collide, so equal hashes only say where to look.
+    """
     out, i = np.empty(len(starts), U), 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
@@ -66,19 +75,59 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np
 
 
 def window_hashes(values: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """A hash of every k consecutive 64-bit values."""
+    """A hash of every k consecutive 64-bit values.
+
+    Spans double: a span's hash is a mix of its halves' hashes, so no sum over
+    positions is left in which chosen words could cancel out.
+    """
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, U)
     out = np.empty(n, U)
-    for lo in range(0, n, BLOCK):
-        part = values[lo : min(lo + BLOCK, n) + k - 1]
-        up, down = powers(len(part))
-        sums = np.zeros(len(part) + 1, U)
-        np.cumsum(mix(part, seed) * up, out=sums[1:])
-        m = len(part) - k + 1
-        out[lo : lo + m] = (sums[k:] - sums[:m]) * down[:m]
-    return mix(out)
+    for lo in range(0, n, PIECE):
+        have, span, done, length = mix(values[lo : min(lo + PIECE, n) + k - 1], seed), 1, None, 0
+        while True:
+            if k & span:
+                done, length = (have, span) if done is None else (_join(done, have[length:]), length + span)
+            if length == k:
+                break
+            have, span = _join(have, have[span:]), 2 * span
+        out[lo : lo + PIECE] = done[: min(PIECE, n - lo)]
+    return out
+
+
+def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    m = min(len(left), len(right))
+    return mix(left[:m] * U(BASE) + right[:m], 1)
+
+
+class WordDigests(dict):
+    """64-bit BLAKE2 digests of words, kept for the words that a worker meets again."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return value
+
+
+_DIGESTS = WordDigests()
+
+
+def word_digests(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of a list of texts: a digest of every word, and each text's first word (one more at the end)."""
+    parts, first = [], [0]
+    for t in texts:
+        raw, n, at = (t or "").encode("utf-8", "surrogatepass"), 0, 0
+        raw = raw.lower() if lower else raw  # of bytes, A-Z alone
+        while at < len(raw):
+            cut = SPACE.search(raw, at + BLOCK)  # long texts by pieces, which bounds the list of words
+            end = cut.start() if cut else len(raw)
+            said = raw[at:end].split()
+            parts.append(np.fromiter(map(_DIGESTS.__getitem__, said), U, len(said)))
+            n, at = n + len(said), end + 1
+        first.append(first[-1] + n)
+    return np.concatenate(parts) if parts else np.zeros(0, U), np.array(first)
 
 
 def sliding_min(values: np.ndarray, w: int) -> np.ndarray:

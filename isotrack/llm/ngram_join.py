@@ -17,15 +17,25 @@ Keys without an odd bit would be common to many sets.  There are spare groups,
 so that several agree; a set with fewer groups that have a bare key than these
 leaves its bare keys out, as one of the groups that agree has none.
 
-Equal sets form one class and only its representative is joined.  Members of a
-key are compared with one pivot first; only if members then lie in different
-components are more of them made pivots, until none is left.  Before sets are
-compared, sketches are: too large a Hamming distance rules a pair out.
+Equal sets form one class and only its representative, a node, is joined.  Keys
+never cross the network one by one: chunks of nodes list theirs sorted and
+packed, dealt out by value; each value's task answers which are shared, and
+only shared ones become rows.
+
+Members of a key are compared with one pivot first; only if members then lie in
+different components are more of them made pivots, until none is left.  Before
+sets are compared, sketches are: too large a Hamming distance rules a pair out.
+Members of a key that many nodes have are spread by a salt, and so are pairs of
+a pivot that many keys have.
+
+Words are told apart by BLAKE2 digests, shingles by hashes of these.
 
 Defined results: texts without words have empty sets, which are linked with
 nothing; a text of fewer words than a shingle has the whole sequence as its one
-element; rows that repeat a doc_id count as one document; a null doc_id sorts
-first and is one document too; an empty table gives no rows.
+element; texts of any length are read whole, long ones by pieces; rows that
+repeat a doc_id are linked as each one's own text is; a null doc_id sorts first;
+equal sets are linked whatever their size; other columns, whatever their names,
+are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,20 +46,27 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, stage
-from .kernels import U, distinct, doc_words, mix, signed, slices, window_hashes
+from .common import connected_components, discard, stage
+from .kernels import U, distinct, mix, signed, slices, window_hashes, word_digests
 
 NO_ID = -(2**63)
 BAND = 1.3
 PIVOTS = 2048  # pivots of a key in later rounds
+SPREAD = 16  # parts that the pairs of one pivot are dealt to
+SALT = 8192  # members of a key in one part
 SKETCH = 512  # bits of the whole sketch
 SCHEMES = ((1, 1, 6), (2, 2, 8), (20, 2, 6), (30, 1, 3), (float("inf"), 0, 1))  # (most elements apart, r, m)
 BLOCK_BITS = 256
-SIGNATURE = "doc_id long, n long, f1 long, f2 long, sketch array<long>, keys array<long>"
-SETS = "doc_id long, n long, shingles array<long>"
+CHUNK_BITS, BUCKET = 14, 1_000_000  # nodes of a chunk, as bits of their number; keys of a bucket
+SIGNATURE = "row long, doc_id long, n long, f1 long, f2 long, sketch array<long>, keys array<long>"
+LISTS = "bucket long, chunk long, packed binary, owner binary, more binary, node long, doc_id long, n long, f1 long, f2 long, sketch array<long>"
+ANSWERS = "bucket long, chunk long, shared binary, pivots array<long>"
+SETS = "doc_id long, f1 long, f2 long, shingles array<long>"
 
 
 def band_edges(top: int) -> list[int]:
@@ -72,7 +89,7 @@ def band_scheme(low: int, high: int, num: int, den: int) -> tuple[int, int, int,
 
 def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of every text."""
-    _, _, _, words, first = doc_words(texts, lower=True)
+    words, first = word_digests(texts, lower=True)
     grams = window_hashes(words, k)
     for a, b in zip(first[:-1], first[1:]):
         if b - a >= k:
@@ -87,9 +104,11 @@ def join_keys(s: np.ndarray, num: int, den: int, edges: list[int]) -> np.ndarray
     """The block keys of a sorted set in every band that it joins."""
     n, out = len(s), []
     band = int(np.searchsorted(edges, n, "right")) - 1
-    for k in (band, band + 1):
+    for k in range(band, len(edges) - 1):
+        if k > band and n * den < num * edges[k]:  # no set of that band is similar
+            break
         groups, spare, r, m = band_scheme(edges[k], edges[k + 1], num, den)
-        if not groups or k > band and n * den < num * edges[k]:
+        if not groups:
             continue
         block = ((s >> U(32)) * U(groups * m)) >> U(32)
         begin = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1])
@@ -111,31 +130,139 @@ def whole_sketch(s: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        edges = band_edges(1 << 12)
+        edges, row = band_edges((1 << 12) * den // num), TaskContext.get().partitionId() << 36
         for pdf in batches:
             texts, ids = list(pdf.text), pdf.doc_id.to_numpy()
             for lo, hi in slices([len(t or "") for t in texts]):
                 rows = []
                 for doc, s in zip(ids[lo:hi], shingle_sets(texts[lo:hi], k)):
-                    if len(s) >= edges[-2]:
-                        edges = band_edges(2 * len(s))
+                    if len(s) * den >= num * edges[-2]:
+                        edges = band_edges(2 * len(s) * den // num)
                     keys = join_keys(s, num, den, edges) if len(s) else s
-                    rows.append((doc, len(s), int(signed(mix(s, 3).sum(keepdims=True))[0]), int(signed(mix(s, 4).sum(keepdims=True))[0]), whole_sketch(s), signed(keys)))
-                yield pd.DataFrame(rows, columns=["doc_id", "n", "f1", "f2", "sketch", "keys"])
+                    rows.append((row + len(rows), doc, len(s), int(signed(mix(s, 3).sum(keepdims=True))[0]), int(signed(mix(s, 4).sum(keepdims=True))[0]), whole_sketch(s), signed(keys)))
+                row += len(rows)
+                yield pd.DataFrame(rows, columns=["row", "doc_id", "n", "f1", "f2", "sketch", "keys"])
 
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").mapInPandas(sign, SIGNATURE)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Sorted 32-bit values as byte planes of their differences, compressed."""
+    steps = np.diff(values, prepend=np.uint32(0)).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
+
+
+def key_lists(reps: DataFrame, buckets: int) -> DataFrame:
+    """Rows of two kinds: nodes (node, doc_id, n, f1, f2, sketch), and per chunk of nodes and bucket the
+    sorted distinct keys, the first node of each, and (key's place, node) of the others."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, most = TaskContext.get().partitionId() << 28, 1 << CHUNK_BITS
+        for batch in batches:
+            for lo, hi in slices([len(k) for k in batch["keys"]], 1 << 20):
+                for at in range(lo, hi, most):
+                    pdf = batch.iloc[at : min(at + most, hi)]
+                    yield pdf.drop(columns="keys").assign(node=(chunk << CHUNK_BITS) + np.arange(len(pdf)))
+                    owner = np.repeat(np.arange(len(pdf), dtype=np.uint16), [len(k) for k in pdf["keys"]])
+                    key = np.concatenate([np.asarray(k, np.int64) for k in pdf["keys"]]).view(U)
+                    key = ((key >> U(32)) % U(buckets) << U(32)) | (key & U(0xFFFFFFFF))
+                    order = np.argsort(key, kind="stable")
+                    key, owner = key[order], owner[order]
+                    fresh = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+                    place = np.cumsum(fresh) - 1
+                    begin = np.flatnonzero(np.concatenate([[True], key[1:] >> U(32) != key[:-1] >> U(32)])) if len(key) else np.zeros(0, np.int64)
+                    out = []
+                    for x, y in zip(begin, np.append(begin[1:], len(key))):
+                        first, others = x + np.flatnonzero(fresh[x:y]), x + np.flatnonzero(~fresh[x:y])
+                        more = (place[others] - place[x]).astype("<u4").tobytes() + owner[others].astype("<u2").tobytes()
+                        out.append((int(key[x] >> U(32)), chunk, pack(key[first].astype(np.uint32)), owner[first].tobytes(), more))
+                    yield pd.DataFrame(out, columns=["bucket", "chunk", "packed", "owner", "more"])
+                    chunk += 1
+
+    columns = [c.split()[0] for c in LISTS.split(", ")]
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        types = {c: "Int64" for c in ("bucket", "chunk", "node", "doc_id", "n", "f1", "f2")}
+        for pdf in build(batches):
+            yield pdf.assign(**{c: None for c in columns if c not in pdf})[columns].astype(types)
+
+    return reps.mapInPandas(whole, LISTS)
+
+
+def others(more: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(more) // 6
+    return np.frombuffer(more, "<u4", n), np.frombuffer(more, "<u2", n, 4 * n)
+
+
+def shared_keys(lists: DataFrame) -> DataFrame:
+    """(key, node, pivot) of every key that several nodes have; the pivot is the smallest of them."""
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        lists = [unpack(p) for p in pdf.packed]
+        value = np.concatenate(lists)
+        node = np.concatenate([(c << CHUNK_BITS) + np.frombuffer(o, np.uint16).astype(np.int64) for c, o in zip(pdf.chunk, pdf.owner)])
+        own = np.zeros(len(value), bool)  # shared inside its chunk
+        ends = np.cumsum([len(x) for x in lists])
+        for end, held, local in zip(ends, lists, pdf.local):
+            own[end - len(held) : end] = np.unpackbits(np.frombuffer(local, np.uint8), count=len(held)).astype(bool)
+        order = np.argsort(value, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], value[order][1:] != value[order][:-1]]))
+        size = np.diff(np.append(begin, len(order)))
+        shared, pivot = np.empty(len(value), bool), np.empty(len(value), np.int64)
+        shared[order] = np.repeat((size > 1) | np.logical_or.reduceat(own[order], begin), size)
+        pivot[order] = np.repeat(np.minimum.reduceat(node[order], begin), size)
+        out = []
+        for end, chunk, held in zip(ends, pdf.chunk, lists):
+            part = slice(end - len(held), end)
+            if shared[part].any():
+                out.append((pdf.bucket.iloc[0], chunk, np.packbits(shared[part]).tobytes(), pivot[part][shared[part]]))
+        return pd.DataFrame(out, columns=["bucket", "chunk", "shared", "pivots"])
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            local = []
+            for owner, more in zip(pdf.owner, pdf.more):
+                bits = np.zeros(len(owner) // 2, bool)
+                bits[others(more)[0]] = True
+                local.append(np.packbits(bits).tobytes())
+            yield pdf.drop(columns="more").assign(local=local)
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for bucket, chunk, packed, owner, more, shared, pivots in zip(pdf.bucket, pdf.chunk, pdf.packed, pdf.owner, pdf.more, pdf.shared, pdf.pivots):
+                value, owner = unpack(packed), np.frombuffer(owner, np.uint16).astype(np.int64)
+                on = np.unpackbits(np.frombuffer(shared, np.uint8), count=len(value)).astype(bool)
+                pivot = np.zeros(len(value), np.int64)
+                pivot[on] = pivots
+                place, extra = others(more)
+                place = np.concatenate([np.flatnonzero(on), place])
+                nodes = (chunk << CHUNK_BITS) + np.concatenate([owner[on], extra.astype(np.int64)])
+                yield pd.DataFrame({"key": (bucket << 32) | value[place].astype(np.int64), "node": nodes, "pivot": pivot[place]})
+
+    held = lists.where("bucket IS NOT NULL").select("bucket", "chunk", "packed", "owner", "more")
+    told = held.mapInPandas(mark, "bucket long, chunk long, packed binary, owner binary, local binary").groupBy("bucket").applyInPandas(answer, ANSWERS)
+    return held.join(stage(told, "answers"), ["bucket", "chunk"]).mapInPandas(expand, "key long, node long, pivot long")
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of ``nodes`` (node, doc_id, f1, f2), read again from the texts."""
+
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts, ids = list(pdf.text), pdf.doc_id.to_numpy()
             for lo, hi in slices([len(t or "") for t in texts]):
-                found = [signed(s) for s in shingle_sets(texts[lo:hi], k)]
-                yield pd.DataFrame({"doc_id": ids[lo:hi], "n": [len(s) for s in found], "shingles": found})
+                found = list(shingle_sets(texts[lo:hi], k))
+                marks = [[int(signed(mix(s, seed).sum(keepdims=True))[0]) for s in found] for seed in (3, 4)]
+                yield pd.DataFrame({"doc_id": ids[lo:hi], "f1": marks[0], "f2": marks[1], "shingles": [signed(s) for s in found]})
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    return rows.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInPandas(build, SETS)
+    rows = rows.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(build, SETS)
+    return rows.join(nodes.select("node", "doc_id", "f1", "f2"), ["doc_id", "f1", "f2"]).dropDuplicates(["node"]).select("node", "shingles")
 
 
 def plausible(n_a: str, n_b: str, sketch_a: str, sketch_b: str, num: int, den: int) -> Column:
@@ -144,64 +271,76 @@ def plausible(n_a: str, n_b: str, sketch_a: str, sketch_b: str, num: int, den: i
     return (F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num) & (apart * (den + num) <= (F.col(n_a) + F.col(n_b)) * (den - num))
 
 
-def verify(pairs: DataFrame, sketches: DataFrame | None, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that are similar: by sketch distance first, then by the sets themselves."""
-    side = lambda df, x, *cols: df.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
-    near = pairs
-    if sketches is not None:
-        near = near.join(side(sketches, "a", "n", "sketch"), "a").join(side(sketches, "b", "n", "sketch"), "b")
-        near = near.where(plausible("n_a", "n_b", "sketch_a", "sketch_b", num, den))
-    # few pairs pass: as a table their size is known, and where it is small they go to the sets
-    near = stage(near.select("a", "b"), "near")
-    need = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    sets = stage(sets.join(need, "doc_id", "left_semi"), "compared")
-    full = near.join(side(sets, "b", "n", "shingles"), "b").join(side(sets, "a", "n", "shingles"), "a")
-    both = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long")
-    full = full.select("a", "b", "n_a", "n_b", both.alias("both"))
-    return full.where(F.col("both") * den >= (F.col("n_a") + F.col("n_b") - F.col("both")) * num).select("a", "b").distinct()
+def sketched(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow the similarity; those of one node a are dealt to ``SPREAD`` parts."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    first = side("a").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    near = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int")).join(first, ["a", "part"]).join(side("b"), "b")
+    return near.where(plausible("n_a", "n_b", "sketch_a", "sketch_b", num, den)).select("a", "b")
+
+
+def verify(near: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of ``near`` whose sets are similar."""
+    near = stage(near.distinct(), "near")  # few pairs: their sets alone are read again
+    need = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    sets = stage(sets_of(docs, nodes.join(need, "node", "left_semi"), k), "sets")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"shingles_{x}"))
+    full = near.join(side("b"), "b").join(side("a"), "a")
+    both, all_ = F.size(F.array_intersect("shingles_a", "shingles_b")).cast("long"), F.size("shingles_a") + F.size("shingles_b")
+    edges = stage(full.select("a", "b", both.alias("both"), all_.alias("n")).where(F.col("both") * den >= (F.col("n") - F.col("both")) * num).select("a", "b"), "edges")
+    discard(sets)
+    return edges
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; the component is the smallest doc_id over links."""
     signed_docs = stage(signatures(docs, k, num, den), "signatures")
-    classes = stage(signed_docs.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = signed_docs.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "f1", "f2"], "left_semi")
-    member = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "n")
-    shared = member.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot <> top").select("key", "pivot")
-    member = stage(member.join(shared, "key"), "members")
-    nodes = stage(member.select("node").distinct(), "nodes")
-    sets = stage(sets_of(docs, nodes, k), "sets")
-    sketches = stage(reps.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "n", "sketch"), "sketches")
-    rest = member.where("node <> pivot").select("key", "node", "n", "pivot")
-    pairs = rest.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    edges = stage(verify(pairs, sketches, sets, num, den), "edges")
+    rows = stage(signed_docs.select("row", "doc_id", "n", "f1", "f2"), "rows")
+    classes = stage(rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min_by("row", F.struct("doc_id", "row")).alias("row")), "classes")
+    reps = signed_docs.join(classes.select("row"), "row", "left_semi").select("doc_id", "n", "f1", "f2", "sketch", "keys")
+    total = signed_docs.agg(F.sum(F.size("keys"))).first()[0] or 0
+    lists = stage(key_lists(reps, max(1, -(-total // BUCKET))), "lists")
+    discard(signed_docs)
+    nodes = stage(lists.where("node IS NOT NULL").select("node", "doc_id", "n", "f1", "f2", "sketch"), "nodes")
+    member = stage(shared_keys(lists), "members")
+    discard(lists)
+    rest = member.where("node <> pivot").select("key", "node")
+    pairs = member.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    edges = verify(sketched(pairs, nodes, num, den), docs, nodes, k, num, den)
+    held = [member]
     while True:
         # nodes of one pivot need no further comparison with each other
         both = edges.select(F.col("a").alias("x"), F.col("b").alias("node")).union(edges.select("b", "a"))
         linked = both.groupBy("node").agg(F.least(F.min("x"), F.col("node")).alias("label"))
-        rest = rest.join(linked, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-        split = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        rest = rest.join(split, "key", "left_semi").dropDuplicates(["key", "node"])
-        rest = rest.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("node")))
-        rest = stage(rest.join(sketches.select(F.col("doc_id").alias("node"), "sketch"), "node"), "rest")
+        rest = rest.join(linked, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        split = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("least"), F.count("*").alias("members"))
+        split = split.where("lo <> hi").select("key", "least", F.ceil(F.col("members") / PIVOTS).alias("every"), F.ceil(F.col("members") / SALT).cast("int").alias("parts"))
+        rest = rest.join(split, "key").dropDuplicates(["key", "node"])
+        head = (F.pmod(F.xxhash64("node"), F.col("every")) == 0) | (F.col("node") == F.col("least"))
+        rest = stage(rest.withColumn("head", head).withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")).join(nodes.select("node", "n", "sketch"), "node"), "rest")
+        discard(*held)
+        held = [rest]
         if rest.isEmpty():
             break
-        heads = rest.where(F.col("r") <= PIVOTS).select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "r", "sketch")])
-        pairs = heads.join(rest, "key").where((F.col("r") > F.col("r_a")) & (F.col("label") != F.col("label_a")) & plausible("n", "n_a", "sketch", "sketch_a", num, den))
-        pairs = pairs.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
-        edges = stage(edges.union(verify(pairs, None, sets, num, den)), "edges")
-        rest = rest.where(F.col("r") > PIVOTS).select("key", "node", "n")
+        heads = rest.where("head").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        heads = heads.select("key", "part", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "sketch")])
+        pairs = heads.join(rest, ["key", "part"]).where((F.col("label") != F.col("label_a")) & (~F.col("head") | (F.col("node") > F.col("node_a"))))
+        pairs = pairs.where(plausible("n", "n_a", "sketch", "sketch_a", num, den)).select(F.col("node_a").alias("a"), F.col("node").alias("b"))
+        edges = stage(edges.union(verify(pairs, docs, nodes, k, num, den)), "edges")
+        rest = rest.where("not head").select("key", "node")
         if rest.isEmpty():
             break
+    discard(*held)
     labels = connected_components(edges)
-    found = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
-    rows = signed_docs.select("doc_id", "n", "f1", "f2").join(found, ["n", "f1", "f2"], "left")
-    component = F.nullif(F.coalesce("component", "doc_id"), F.lit(NO_ID))
-    return rows.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    marks = nodes.select("node", "doc_id", "n", "f1", "f2").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = marks.groupBy("component").agg(F.min("doc_id").alias("least"))
+    found = stage(marks.join(least, "component").select("n", "f1", "f2", "least"), "found")
+    component = F.nullif(F.coalesce("least", "doc_id"), F.lit(NO_ID))
+    return rows.join(found, ["n", "f1", "f2"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, all columns unchanged."""
     groups = near_duplicates(docs, k, num, den)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]), "left_semi")
+    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
