@@ -57,14 +57,14 @@ from .kernels import U, distinct, mix, signed, slices, window_hashes, word_diges
 NO_ID = -(2**63)
 BAND = 1.3
 PIVOTS = 2048  # pivots of a key in later rounds
-SPREAD = 16  # parts that the pairs of one pivot are dealt to
+SPREAD = 8  # parts that the pairs of one pivot are dealt to
 SALT = 8192  # members of a key in one part
-SKETCH = 512  # bits of the whole sketch
+SKETCH = 512  # bits of the short sketch of the whole set; the wide one has as many as the set has elements
 SCHEMES = ((1, 1, 6), (2, 2, 8), (20, 2, 6), (30, 1, 3), (float("inf"), 0, 1))  # (most elements apart, r, m)
 BLOCK_BITS = 256
 CHUNK_BITS, BUCKET = 14, 1_000_000  # nodes of a chunk, as bits of their number; keys of a bucket
-SIGNATURE = "row long, doc_id long, n long, f1 long, f2 long, sketch array<long>, keys array<long>"
-LISTS = "bucket long, chunk long, packed binary, owner binary, more binary, node long, doc_id long, n long, f1 long, f2 long, sketch array<long>"
+SIGNATURE = "row long, doc_id long, n long, f1 long, f2 long, sketch array<long>, wide array<long>, keys array<long>"
+LISTS = "bucket long, chunk long, packed binary, owner binary, more binary, node long, doc_id long, n long, f1 long, f2 long, sketch array<long>, wide array<long>"
 ANSWERS = "bucket long, chunk long, shared binary, pivots array<long>"
 SETS = "doc_id long, f1 long, f2 long, shingles array<long>"
 
@@ -123,11 +123,16 @@ def join_keys(s: np.ndarray, num: int, den: int, edges: list[int]) -> np.ndarray
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-def whole_sketch(s: np.ndarray) -> np.ndarray:
-    odd = np.bincount((mix(s, 9) % U(SKETCH)).astype(np.int64), minlength=SKETCH) % 2
+def whole_sketch(s: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    odd = np.bincount((mix(s, 9) % U(bits)).astype(np.int64), minlength=bits) % 2
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(s: np.ndarray) -> np.ndarray:
+    """Of a power of two of bits, so that the longer of two folds to the shorter."""
+    return whole_sketch(s, max(SKETCH, 1 << (len(s) - 1).bit_length()))
+
+
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edges, row = band_edges((1 << 12) * den // num), TaskContext.get().partitionId() << 36
@@ -139,9 +144,9 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     if len(s) * den >= num * edges[-2]:
                         edges = band_edges(2 * len(s) * den // num)
                     keys = join_keys(s, num, den, edges) if len(s) else s
-                    rows.append((row + len(rows), doc, len(s), int(signed(mix(s, 3).sum(keepdims=True))[0]), int(signed(mix(s, 4).sum(keepdims=True))[0]), whole_sketch(s), signed(keys)))
+                    rows.append((row + len(rows), doc, len(s), int(signed(mix(s, 3).sum(keepdims=True))[0]), int(signed(mix(s, 4).sum(keepdims=True))[0]), whole_sketch(s), wide_sketch(s) if len(s) else [], signed(keys)))
                 row += len(rows)
-                yield pd.DataFrame(rows, columns=["row", "doc_id", "n", "f1", "f2", "sketch", "keys"])
+                yield pd.DataFrame(rows, columns=["row", "doc_id", "n", "f1", "f2", "sketch", "wide", "keys"])
 
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").mapInPandas(sign, SIGNATURE)
 
@@ -267,21 +272,26 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 def plausible(n_a: str, n_b: str, sketch_a: str, sketch_b: str, num: int, den: int) -> Column:
     """Whether sizes and the sketches' Hamming distance allow the similarity."""
-    apart = F.aggregate(F.zip_with(sketch_a, sketch_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    half = lambda x, i: F.slice(x, F.lit(1) + i * F.floor(F.size(x) / 2).cast("int"), F.floor(F.size(x) / 2).cast("int"))
+    fold = lambda x: F.zip_with(half(x, 0), half(x, 1), lambda u, v: u.bitwiseXOR(v))
+    a, b = F.col(sketch_a), F.col(sketch_b)
+    for _ in range(math.ceil(math.log2(den / num)) + 1 if "wide" in sketch_a else 0):  # sizes that allow it differ no more
+        a, b = F.when(F.size(a) > F.size(b), fold(a)).otherwise(a), F.when(F.size(b) > F.size(a), fold(b)).otherwise(b)
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     return (F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num) & (apart * (den + num) <= (F.col(n_a) + F.col(n_b)) * (den - num))
 
 
-def sketched(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sketches allow the similarity; those of one node a are dealt to ``SPREAD`` parts."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+def sketched(pairs: DataFrame, nodes: DataFrame, num: int, den: int, sketch: str = "sketch") -> DataFrame:
+    """The ``pairs`` (a, b, ...) whose sketches allow the similarity; those of one node a are dealt to ``SPREAD`` parts."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col(sketch).alias(f"{sketch}_{x}"))
     first = side("a").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     near = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int")).join(first, ["a", "part"]).join(side("b"), "b")
-    return near.where(plausible("n_a", "n_b", "sketch_a", "sketch_b", num, den)).select("a", "b")
+    return near.where(plausible("n_a", "n_b", f"{sketch}_a", f"{sketch}_b", num, den)).select(*pairs.columns)
 
 
 def verify(near: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of ``near`` whose sets are similar."""
-    near = stage(near.distinct(), "near")  # few pairs: their sets alone are read again
+    near = stage(near.select("a", "b").distinct(), "near")  # few pairs: their sets alone are read again
     need = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     sets = stage(sets_of(docs, nodes.join(need, "node", "left_semi"), k), "sets")
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"shingles_{x}"))
@@ -292,27 +302,38 @@ def verify(near: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: int,
     return edges
 
 
+def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components."""
+    side = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"label_{x}"))
+    apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(apart).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; the component is the smallest doc_id over links."""
     signed_docs = stage(signatures(docs, k, num, den), "signatures")
     rows = stage(signed_docs.select("row", "doc_id", "n", "f1", "f2"), "rows")
     classes = stage(rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min_by("row", F.struct("doc_id", "row")).alias("row")), "classes")
-    reps = signed_docs.join(classes.select("row"), "row", "left_semi").select("doc_id", "n", "f1", "f2", "sketch", "keys")
+    reps = signed_docs.join(classes.select("row"), "row", "left_semi").select("doc_id", "n", "f1", "f2", "sketch", "wide", "keys")
     total = signed_docs.agg(F.sum(F.size("keys"))).first()[0] or 0
     lists = stage(key_lists(reps, max(1, -(-total // BUCKET))), "lists")
     discard(signed_docs)
-    nodes = stage(lists.where("node IS NOT NULL").select("node", "doc_id", "n", "f1", "f2", "sketch"), "nodes")
+    nodes = stage(lists.where("node IS NOT NULL").select("node", "doc_id", "n", "f1", "f2", "sketch", "wide"), "nodes")
     member = stage(shared_keys(lists), "members")
     discard(lists)
     rest = member.where("node <> pivot").select("key", "node")
-    pairs = member.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    edges = verify(sketched(pairs, nodes, num, den), docs, nodes, k, num, den)
+    pairs = member.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("keys"))
+    pairs = stage(sketched(pairs, nodes, num, den), "pairs")
+    near = stage(sketched(pairs, nodes, num, den, "wide"), "near")
+    # each node is compared with the pivot of most of its keys first, then with those of other components
+    first = near.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a"))
+    edges = verify(first, docs, nodes, k, num, den)
+    labels = connected_components(edges)
+    edges = stage(edges.union(verify(between(near, labels), docs, nodes, k, num, den)), "edges")
     held = [member]
     while True:
-        # nodes of one pivot need no further comparison with each other
-        both = edges.select(F.col("a").alias("x"), F.col("b").alias("node")).union(edges.select("b", "a"))
-        linked = both.groupBy("node").agg(F.least(F.min("x"), F.col("node")).alias("label"))
-        rest = rest.join(linked, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        labels = connected_components(edges).select(F.col("id").alias("node"), F.col("component").alias("label"))
+        rest = rest.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         split = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("least"), F.count("*").alias("members"))
         split = split.where("lo <> hi").select("key", "least", F.ceil(F.col("members") / PIVOTS).alias("every"), F.ceil(F.col("members") / SALT).cast("int").alias("parts"))
         rest = rest.join(split, "key").dropDuplicates(["key", "node"])
@@ -326,7 +347,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         heads = heads.select("key", "part", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "sketch")])
         pairs = heads.join(rest, ["key", "part"]).where((F.col("label") != F.col("label_a")) & (~F.col("head") | (F.col("node") > F.col("node_a"))))
         pairs = pairs.where(plausible("n", "n_a", "sketch", "sketch_a", num, den)).select(F.col("node_a").alias("a"), F.col("node").alias("b"))
-        edges = stage(edges.union(verify(pairs, docs, nodes, k, num, den)), "edges")
+        near = sketched(stage(pairs.distinct(), "pairs"), nodes, num, den, "wide")
+        edges = stage(edges.union(verify(near, docs, nodes, k, num, den)), "edges")
         rest = rest.where("not head").select("key", "node")
         if rest.isEmpty():
             break

@@ -123,6 +123,43 @@ def test_sketch_distance_is_a_lower_bound():
         assert bits <= len(np.setxor1d(a, b))
 
 
+def test_wide_sketches_fold(spark):
+    rng = np.random.default_rng(4)
+    a = np.unique(rng.integers(0, 2**63, 1100).astype(np.uint64))
+    b = a[:900]
+    rows = [(len(a), len(b), ngram_join.wide_sketch(a).tolist(), ngram_join.wide_sketch(b).tolist())]
+    frame = spark.createDataFrame(rows, "n_a long, n_b long, wide_a array<long>, wide_b array<long>")
+    assert len(rows[0][2]) == 2 * len(rows[0][3])
+    assert frame.where(ngram_join.plausible("n_a", "n_b", "wide_a", "wide_b", 80, 100)).count() == 1
+    assert frame.where(ngram_join.plausible("n_a", "n_b", "wide_a", "wide_b", 90, 100)).count() == 0
+
+
+def test_chosen_words_do_not_collide(spark):
+    odd = "a"
+    for _ in range(11):
+        odd += odd.translate(str.maketrans("ab", "ba"))  # sums of powers modulo 2^64 take both for equal
+    twin = odd.translate(str.maketrans("ab", "ba"))
+    one, two = ([w if i != 30 else x for i, w in enumerate(f"w{j}" for j in range(60))] for x in (odd, twin))
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (3, f"x {odd} y"), (4, f"x {twin} y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.n_removed) for r in substring_dedup.dedup_substrings(frame).collect()} == {(i, 0) for i in range(1, 5)}
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(frame, 3, 99, 100).collect()}
+    assert got == {i: i for i in range(1, 5)}
+
+
+@pytest.mark.parametrize("num", [50, 60])
+def test_near_duplicates_of_unequal_sizes(spark, num):
+    rng = random.Random(num)
+    rows = []
+    for i in range(20):
+        w = words(rng, 150 + 7 * i).split()
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w + words(rng, int(len(w) * (95 / num - 1))).split()))]
+    want = components(rows, 5, num)
+    assert sum(c != i for i, (_, c) in want.items()) >= 15
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, num, 100).collect()}
+    assert got == want
+
+
 def test_one_per_group_keeps_columns(docs):
     kept = ngram_join.one_per_group(docs)
     assert kept.columns == docs.columns
