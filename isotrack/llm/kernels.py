@@ -163,6 +163,19 @@ def doc_words(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.ndar
     return buf, starts, ends, span_hashes(buf, starts, ends, byte_table(lower)), first
 
 
+def single_spaced(texts: list[str | None]) -> list[str]:
+    """The texts' words joined by one space."""
+    return [b" ".join((t or "").encode("utf-8", "surrogatepass").split()).decode("utf-8", "surrogatepass") for t in texts]
+
+
+def digests(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit BLAKE2 digests of byte ranges, as two arrays."""
+    whole = buf.tobytes()
+    joined = b"".join([hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    both = np.frombuffer(joined, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

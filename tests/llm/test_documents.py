@@ -189,14 +189,21 @@ def test_substring_dedup(docs, batches):
     assert got == want and sum(n for _, n, _ in want.values()) > 500
 
 
-def test_fingerprint_runs_compact(docs):
-    prints = substring_dedup.fingerprints(docs)
-    index = substring_dedup.SubstringIndex(fanout=1)
-    index.add(prints.where("doc_id < 30"))
-    index.add(prints.where("doc_id >= 30"))
-    assert len(index.runs) == 1
-    once = prints.select(F.explode("fp").alias("fp")).distinct().count()
-    assert index.runs[0].count() == once
+def test_substring_index_is_opened_again(spark, docs, tmp_path):
+    want = {i: (len(u), sum(g), hashlib.sha256(b" ".join(w for w, x in zip(u, g) if not x)).hexdigest()) for i, (u, g) in removed(corpus(), lambda t: t.encode().split(), 50).items()}
+    cuts, got = [(0, 30), (30, 70), (70, 1000)], {}
+    for low, high in cuts:
+        root = str(tmp_path / "index")
+        index = substring_dedup.SubstringIndex(spark, root, fanout=1) if not low else substring_dedup.SubstringIndex.open(spark, root, fanout=1)
+        part = docs.where((docs.doc_id >= low) & (docs.doc_id < high))
+        got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_batch(index, part, docs.where(docs.doc_id < low)).collect()}
+        assert len(index.runs) == 1
+        index.close()
+    assert got == want
+    index = substring_dedup.SubstringIndex.open(spark, root)
+    once = substring_dedup.fingerprints(docs).select(F.inline(F.arrays_zip("fp", "c1", "c2"))).distinct().count()
+    assert index.tables()[0].count() == once
+    index.close()
 
 
 @pytest.mark.parametrize("hot", [1, 5000])
