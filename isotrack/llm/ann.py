@@ -25,8 +25,9 @@ tasks carry along.
 
 Defined results: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part; ties go to the smaller id;
-repeated rows of an id are candidates once each for others and never for
-themselves; with fewer candidates than asked for, all are returned; an empty
+repeated rows of an id are one query, that of the smallest vector, and
+candidates once each for others and never for themselves; a null id takes no
+part; columns besides the two named are not read; with fewer candidates than asked for, all are returned; an empty
 table gives no rows.
 """
 
@@ -106,10 +107,11 @@ def scan(query: np.ndarray, vectors: np.ndarray, rotated: np.ndarray, turned: np
         partial = partial + np.einsum("ij,ij->i", step, step)
         if len(alive) <= k or hi == dim:
             continue
-        if bound is None:  # the whole distances of the k most promising give the distance to beat
+        if bound is None or lo // COLUMNS % 2 == 0:  # the whole distances of the k most promising give the distance to beat
             first = alive[np.argpartition(partial, k - 1)[:k]]
-            bound = ((rotated[first] - turned) ** 2).sum(1).max()
-            sure = np.isin(np.arange(len(ids)), first)  # these k stay, so no part gives fewer than it could
+            reach = ((rotated[first] - turned) ** 2).sum(1).max()
+            if bound is None or reach < bound:
+                bound, sure = reach, np.isin(np.arange(len(ids)), first)  # these k stay, so no part gives fewer than it could
         keep = sure[alive] | (partial * dim / hi <= bound * (1 + EPSILON / np.sqrt(hi)) ** 2 + 1e-12)
         alive, partial = alive[keep], partial[keep]
     exact = np.sqrt(((vectors[alive] - query) ** 2).sum(1))
@@ -155,7 +157,7 @@ def search(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_i
     counts = stage(listed.groupBy("list").agg(F.count("*").alias("n"), F.ceil(F.count("*") / PART).cast("int").alias("parts")), "parts")  # one row per list, at most MAX_LISTS
     for row in counts.collect():
         sizes[row["list"]] = row["n"]
-    queries = rows.where("is_query").select("id", "vector")
+    queries = rows.where("is_query").groupBy("id").agg(F.min("vector").alias("vector"))
     copies = rows.join(queries.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.count("*").cast("int").alias("part"))  # rows that a query may not find
     asked = stage(queries.join(copies, "id").select("id", "vector", F.lit(0).alias("list"), "part").mapInPandas(probe, LISTED).drop("part"), "asked")
     blocks = asked.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("blocks"))
@@ -171,8 +173,8 @@ def search(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_i
         rotated, out = vectors @ turn, []
         for q, v in zip(queries.id, queries.vector):
             found, score = scan(v, vectors, rotated, v @ turn, ids, q, k)
-            out.append(pd.DataFrame({"query_id": q, "vec_id": found, "score": score}))
-        return pd.concat(out)
+            out.append((np.full(len(found), q), found, score))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out)))))
 
     found = listed.groupBy("list", "part", "block").cogroup(asked.groupBy("list", "part", "block")).applyInPandas(scan_part, FOUND)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
