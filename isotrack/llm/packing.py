@@ -18,8 +18,11 @@ The plan lists ranges: pieces of one length, by rank, go to consecutive
 sequences.  Each piece gets its rank among those of its length by a prefix sum
 over hash buckets, and finds its sequence in the range of the plan.
 
-Defined results: null text is empty and becomes the single token 0; repeated
-rows are packed as often as they occur; an empty table gives no rows.
+Defined results: null text is empty and becomes the single token 0; a null
+doc_id stays null; repeated rows are packed as often as they occur; pieces of
+one length are interchangeable, ties go by a hash of document and piece; long
+texts are tokenized whole; other columns, whatever their names, are not read;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,12 +46,13 @@ NO_ID = -(2**63)  # stands for a null doc_id inside tasks
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def encoder(path: str):
-    """A function from text to token ids of the byte-level vocabulary in ``path``.
+def encoder(file: str):
+    """A function from text to token ids of the byte-level vocabulary whose file reads ``file``.
 
     The vocabulary file names tokens in printable characters, one for each
     byte; ranks of the same tokens as bytes drive the encoder, which gives the
-    ids of the file's own library (tests hold them against each other).
+    ids of the file's own library, those of added tokens that stand in a text
+    included (tests hold them against each other).
     """
     import json
 
@@ -57,22 +61,31 @@ def encoder(path: str):
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(printable)]
     byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)
-    special = {t["content"] for t in model.get("added_tokens", [])}
+    model = json.loads(file)
+    special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
     ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    own = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(text: str) -> list[int]:
+        if any(token in text for token in special):
+            return own.encode(text, allowed_special="all")
+        return own.encode_ordinary(text)
+
+    return encode
 
 
 _ENCODERS: dict = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece."""
+    """doc_id, piece, start, length, ids_crc32 of every piece; the driver's file ``tokenizer`` is shipped to the tasks."""
+    with open(tokenizer, encoding="utf-8") as f:
+        shipped = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, encoder(tokenizer))
+        name = zlib.crc32(shipped.value.encode())
+        encode = _ENCODERS.get(name) or _ENCODERS.setdefault(name, encoder(shipped.value))
         for pdf in batches:
             out = []
             for doc, text in zip(pdf.doc_id, pdf.text):
@@ -129,14 +142,20 @@ def plan(histogram: dict[int, int], length: int = LENGTH, groups: int = GROUPS)
         given[n] += count
 
     if total:
+        # groups of ``each`` pieces; a frequent length can fill several, which then have one size and count as one
         each, members, lists = -(-total // groups), 0, [[]]
         for n in large:
-            if members >= each * len(lists):
-                lists.append([])
-            lists[-1].append(n)
-            members += histogram[n]
-        sizes = [g[-1] for g in lists]
-        stock = [[[n, histogram[n]] for n in reversed(g)] for g in lists]
+            todo = histogram[n]
+            while todo:
+                if members == each:
+                    if lists[-1][-1][0] != n:
+                        lists.append([])
+                    members = 0
+                take = min(todo, each - members)
+                lists[-1].append([n, take])
+                members, todo = members + take, todo - take
+        sizes = [g[-1][0] for g in lists]
+        stock = [g[::-1] for g in lists]
         left = [sum(c for _, c in g) for g in stock]
         for config, use in sorted(configurations(sizes, left, length), key=lambda x: -x[1]):
             count = min([int(use + 1e-9), *(left[j] // c for j, c in enumerate(config) if c)])
