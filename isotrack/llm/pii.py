@@ -1,8 +1,8 @@
 """Personal data: base patterns, and a semi-Markov conditional random field that adds to them.
 
-The field segments the surroundings of digits and ``@`` signs.  A segment is
-one token outside entities, or an entity of at most ``MOST`` tokens of one
-type; its features describe the whole span (digit count, checksum, grouping,
+The field segments the tokens around digits and ``@`` signs, as many as an
+entity can have.  A segment is one token outside entities, or an entity of at
+most ``MOST`` tokens of one type (20 digits, 80 characters if no address); its features describe the whole span (digit count, checksum, grouping,
 separators, domain, borders, word before).  Dynamic programming over segment
 ends picks boundaries and types jointly; entity lengths are bounded, so it is
 linear in the text.  Weights maximise the conditional likelihood of sentences
@@ -13,8 +13,11 @@ Base matches always stay.  Of the field's segments, those that overlap no base
 match are added.
 
 Defined results: null text is empty; texts without personal data give zero
-counts and an empty list; repeated rows each give a row; an empty table gives
-no rows.  Positions are code points, ends exclusive.
+counts and an empty list; a null doc_id stays null; repeated rows each give a
+row; spans that begin together go by kind as listed, and of equally good
+segmentations the one with fewer entities stands; base matches and regions take
+time linear in the text; other columns, whatever their names, are not read; an
+empty table gives no rows.  Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -32,15 +35,16 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),  # a match begins where digits do
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-TRIGGER = re.compile(r"[0-9@]")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"  # of addresses, before the @
+HOST = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++")
+TRIGGER = re.compile(r"[\d@]")
 TOKEN = re.compile(r"\d+|[^\W\d_]+|[^\w\s]|_")
 MOST = {"email": 16, "ip": 7, "card": 11, "phone": 13}  # tokens
-NEAR = 64  # characters around a trigger that are segmented
+REACH = max(MOST.values())  # tokens: an entity has no more, and a trigger among them
 CUES = {"email": ("mail", "email", "contact"), "ip": ("ip", "host", "server"), "card": ("card", "visa", "credit"), "phone": ("phone", "tel", "call", "fax", "mobile")}
 SENTENCES, STEPS = 500, 40
 PER_KIND = 14
@@ -69,32 +73,58 @@ def valid(kind: str, text: str) -> bool:
     return 14 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 10 <= len(digits) <= 15
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, leftmost first, in linear time: from each ``@`` both ways."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        before = text[free:at]
+        own = len(before) - len(before.rstrip(LOCAL))
+        host = HOST.match(text, at + 1) if own else None
+        if host:
+            yield at - own, host.end()
+        free = host.end() if host else at + 1
+        at = text.find("@", free)
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, kind number, end) of the base matches, in order."""
-    found = []
-    for number, kind in enumerate(KINDS):
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
-            continue
-        found += [(m.start(), number, m.end()) for m in BASE[kind].finditer(text) if valid(kind, m.group())]
+    found = [(s, 0, e) for s, e in addresses(text)]
+    for number, kind in enumerate(KINDS[1:], 1):
+        if kind != "phone" or "+" in text:
+            found += [(m.start(), number, m.end()) for m in BASE[kind].finditer(text) if valid(kind, m.group())]
     return sorted(found)
 
 
+def tokens_before(text: str, at: int, free: int) -> int:
+    """Where the ``REACH`` tokens before ``at`` begin, not before ``free``."""
+    width = 8 * REACH
+    while True:
+        low = max(free, at - width)
+        starts = [m.start() for m in TOKEN.finditer(text, low, at)]
+        if low == free or len(starts) > REACH:  # the first may be the rest of a token
+            return starts[-REACH] if len(starts) > REACH else low
+        width *= 4
+
+
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches within ``NEAR`` characters of a digit or ``@``."""
-    low = high = None
-    for m in TRIGGER.finditer(text):
-        if low is not None and m.start() - NEAR <= high:
-            high = m.end() + NEAR
-            continue
-        if low is not None:
-            yield low, min(high, len(text))
-        low, high = max(0, m.start() - NEAR), m.end() + NEAR
-    if low is not None:
-        yield low, min(high, len(text))
+    """Stretches of tokens that have a digit or ``@`` within ``REACH`` tokens."""
+    m, free = TRIGGER.search(text), 0
+    while m:
+        low, room, high = tokens_before(text, m.start(), free), REACH, m.start()
+        for token in TOKEN.finditer(text, m.start()):
+            room = REACH if text[token.start()] == "@" or text[token.start()].isdigit() else room - 1
+            if room < 0:
+                break
+            high = token.end()
+        yield low, high
+        free = high
+        m = TRIGGER.search(text, high)
 
 
 def describe(kind: str, span: str, before: str, after: str, cue: str) -> list[float] | None:
     """Features of a whole span as an entity of the kind; None if it can't be one."""
+    if kind != "email" and len(span) > 80:  # more than any of their 20 digits need
+        return None
     digits, spaces = plain_digits(span), span.count(" ")
     edges = [1.0, float(before in " \n\t([{<\"',:;="), float(after[0] in " \n\t)]}>\"',.;!?"), float(cue in CUES[kind])]
     if kind == "email":
@@ -107,7 +137,7 @@ def describe(kind: str, span: str, before: str, after: str, cue: str) -> list[fl
         own = [float(top.isalpha() and 2 <= len(top) <= 6), float(spaces), float(bool(re.fullmatch(r"[\w.%+-]+", user))), float(bool(re.fullmatch(r"[\w-]+(\.[\w-]+)+", host))), float(before.isalnum() or before in "._%+-"), float(after[0].isalnum()), float(after[0] in ".-" and after[1].isalnum())]
     elif kind == "ip":
         parts = span.split(".")
-        if len(parts) != 4 or not all(p.isdigit() and p.isascii() for p in parts):
+        if len(parts) != 4 or len(digits) > 20 or not all(p.isdigit() and p.isascii() for p in parts):
             return None
         own = [float(valid("ip", span)), float(all(len(p) <= 3 for p in parts)), float(before in ".-" or before.isalnum()), float(after[0] == "-"), float(len(digits) >= 7), 0.0]
     elif len(digits) < 7 or len(digits) > 20 or any(c.isalpha() or c in "@_" for c in span):
@@ -261,11 +291,6 @@ def field_spans(text: str, weights: np.ndarray) -> list[tuple[int, int, str]]:
     """(start, kind number, end) of the entities that the field finds."""
     out = []
     for low, high in regions(text):
-        first, last = max(0, low - NEAR), min(len(text), high + NEAR)  # to the next white space, if it is near
-        while low > first and not text[low - 1].isspace():
-            low -= 1
-        while high < last and not text[high].isspace():
-            high += 1
         tokens, ends = candidates(text, low, high)
         if any(ends):
             out += [(tokens[i][0], k, tokens[j][1]) for i, j, k in decode(scored(ends, weights))]
