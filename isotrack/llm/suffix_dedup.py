@@ -24,11 +24,17 @@ the others' strings start there too.  For the rest:
 
 Anchors of more than ``HOT`` different contexts are cut again, by longer grams,
 before they are dealt to shards, so a string that a third of all documents go
-on from in their own ways is spread out too.
+on from in their own ways is spread out too.  Where even a longer gram has more,
+the strings are filed one by one and reduced by digest, whole all the same.
+
+Whole copies are equal by SHA-256, contexts by a 128-bit digest of their bytes;
+anchors only say where to look.
 
 Defined results: null text is empty; null doc_ids are smaller than any other;
 rows that repeat a doc_id never remove each other's bytes and each get a row;
-documents under ``length`` bytes lose nothing; an empty table gives no rows.
+equal strings inside one document stay; documents under ``length`` bytes lose
+nothing; texts of any length are read whole; other columns, whatever their
+names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,16 +49,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
-from .kernels import U, byte_table, distinct, mix, powers, signed, slices, sliding_min
+from .kernels import U, byte_table, distinct, powers, runs, signed, slices, sliding_min
 
 LENGTH, GRAM, HOT_GRAM = 50, 20, 40
 CHUNK, BUCKET, SHARD = 4 << 20, 16 << 20, 3 << 15  # bytes of text, of text again, of contexts
 SLICE = 1 << 17  # bytes of text that are hashed at a time, which fit the caches
 HOT = 5_000
 NO_ID = -(2**63)
-LISTS = "bucket int, chunk int, packed binary, local binary"
-ANSWERS = "chunk int, bucket int, shared binary, doc_id long, tkey long"
-DOCS = "doc_id long, tkey long, n_bytes long, copy boolean, sha string, packed binary, fp array<long>, c array<long>, start array<int>, n array<int>"
+LISTS = "bucket long, chunk int, packed binary, local binary"
+ANSWERS = "chunk int, bucket long, shared binary, doc_id long, tkey long"
+DOCS = "doc_id long, tkey long, n_bytes long, copy boolean, sha string, packed binary, fp array<long>, c1 array<long>, c2 array<long>, start array<int>, n array<int>"
 SPANS = "doc_id long, tkey long, start int, n int"
 
 
@@ -94,17 +100,11 @@ def sliced(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else contexts_of([], length, gram)
 
 
-def names_of(texts: list[bytes], doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each context; contexts are in the order of their texts."""
-    out = []
-    for lo, hi in slices([len(t) for t in texts], SLICE):
-        a, b = np.searchsorted(doc, [lo, hi])
-        base = np.concatenate([[0], np.cumsum([len(t) for t in texts[lo:hi]])])[doc[a:b] - lo] + start[a:b]
-        up, down = powers(sum(len(t) for t in texts[lo:hi]))
-        sums = np.zeros(len(up) + 1, U)
-        np.cumsum(byte_table(False)[np.frombuffer(b"".join(texts[lo:hi]), np.uint8)] * up, out=sums[1:])
-        out.append(mix((sums[base + size[a:b]] - sums[base]) * np.append(down, U(0))[base], 6))
-    return np.concatenate(out) if out else np.zeros(0, U)
+def names_of(texts: list[bytes], doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit digest of the bytes of each context, as two arrays."""
+    joined = b"".join([hashlib.blake2b(texts[d][s : s + n], digest_size=16).digest() for d, s, n in zip(doc.tolist(), start.tolist(), size.tolist())])
+    both = np.frombuffer(joined, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -130,13 +130,13 @@ def shared_contexts(docs: DataFrame, length: int, gram: int) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("tkey"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
     )
-    brief = stage(rows.select("doc_id", "tkey", F.length("text").alias("size"), F.hash("text").alias("check")), "brief")
+    brief = stage(rows.select("doc_id", "tkey", F.length("text").alias("size"), F.unhex(F.sha2("text", 256)).alias("digest")), "brief")
     total = brief.agg(F.sum("size")).first()[0] or 0
-    chunks, buckets = max(1, -(-total // CHUNK)), max(1, min(1 << 20, -(-total // BUCKET)))
+    chunks, buckets = max(1, -(-total // CHUNK)), max(1, -(-total // BUCKET))
     in_chunk = F.pmod(F.xxhash64("doc_id", "tkey"), F.lit(chunks)).cast("int")
     rows, brief = rows.withColumn("chunk", in_chunk), brief.withColumn("chunk", in_chunk)
-    first = brief.groupBy("tkey", "size", "check").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
-    copies = stage(brief.join(first, ["tkey", "size", "check"]).where("owner < doc_id").select("chunk", "doc_id", "tkey").distinct(), "copies")
+    first = brief.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
+    copies = stage(brief.join(first, "digest").where("owner < doc_id").select("chunk", "doc_id", "tkey").distinct(), "copies")
 
     def without(pdf: pd.DataFrame, drop: pd.DataFrame) -> pd.DataFrame:
         """The documents in order, with a mark on whole copies."""
@@ -159,8 +159,8 @@ def shared_contexts(docs: DataFrame, length: int, gram: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         last = np.append(first[1:], len(key)) - 1
         local, key = doc[first] != doc[last], key[first]
-        cut = np.searchsorted(key >> U(32), np.arange(buckets + 1, dtype=U))
-        out = [(b, pdf.chunk.iloc[0], pack(key[x:y].astype(np.uint32)), np.packbits(local[x:y]).tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:])) if y > x]
+        begin, size = runs(key >> U(32))
+        out = [(int(key[x] >> U(32)), pdf.chunk.iloc[0], pack(key[x : x + n].astype(np.uint32)), np.packbits(local[x : x + n]).tobytes()) for x, n in zip(begin, size)]
         return pd.DataFrame(out, columns=["bucket", "chunk", "packed", "local"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -180,24 +180,26 @@ def shared_contexts(docs: DataFrame, length: int, gram: int) -> DataFrame:
         texts = [b"" if c else t for c, t in zip(pdf["copy"], pdf.text)]
         bucket, _, key, (doc, anchor, start, count) = anchors_of(texts)
         listed = distinct(key)
-        cut = np.searchsorted(listed >> U(32), np.arange(buckets + 1, dtype=U))
         flags = np.zeros(len(listed), bool)
+        begin, size = runs(listed >> U(32))
+        cut = {int(listed[x] >> U(32)): (x, x + n) for x, n in zip(begin, size)}
         for b, bits in zip(answers.bucket, answers.shared):
-            flags[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=cut[b + 1] - cut[b]).astype(bool)
+            x, y = cut[b]
+            flags[x:y] = np.unpackbits(np.frombuffer(bits, np.uint8), count=y - x).astype(bool)
         keep = flags[np.searchsorted(listed, key)]
         doc, anchor, start, count = (x[keep] for x in (doc, anchor, start, count))
-        name = names_of(texts, doc, start, count + length - 1)
+        c1, c2 = names_of(texts, doc, start, count + length - 1)
         at = np.searchsorted(doc, np.arange(len(texts) + 1))
         squeeze, out = zstandard.ZstdCompressor(level=1), []
         for i, (d, t, copy, text) in enumerate(zip(pdf.doc_id, pdf.tkey, pdf["copy"], pdf.text)):
             x, y = at[i], at[i + 1]
-            held = (squeeze.compress(text), signed(anchor[x:y]), signed(name[x:y]), start[x:y].astype(np.int32), count[x:y].astype(np.int32)) if y > x else (None,) * 5
+            held = (squeeze.compress(text), signed(anchor[x:y]), c1[x:y], c2[x:y], start[x:y].astype(np.int32), count[x:y].astype(np.int32)) if y > x else (None,) * 6
             gone = copy and len(text) >= length
             out.append((d, t, len(text), gone, hashlib.sha256(b"" if gone else text).hexdigest(), *held))
-        return pd.DataFrame(out, columns=["doc_id", "tkey", "n_bytes", "copy", "sha", "packed", "fp", "c", "start", "n"])
+        return pd.DataFrame(out, columns=["doc_id", "tkey", "n_bytes", "copy", "sha", "packed", "fp", "c1", "c2", "start", "n"])
 
     answers = rows.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInPandas(list_anchors, LISTS).groupBy("bucket").applyInPandas(answer, ANSWERS)
-    answers = answers.unionByName(copies.select("chunk", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("shared"), "doc_id", "tkey"))
+    answers = answers.unionByName(copies.select("chunk", F.lit(-1).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("shared"), "doc_id", "tkey"))
     return stage(rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(keep_shared, DOCS), "chunked")
 
 
@@ -306,12 +308,30 @@ def expand_shards(chunked: DataFrame, found: DataFrame, length: int) -> DataFram
 
     rows = chunked.select("doc_id", "tkey", "packed").join(wanted, ["doc_id", "tkey"])
     rows = stage(rows.mapInPandas(extract, "doc_id long, tkey long, start int, fp long, text binary"), "contexts")
-    several = rows.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("fp")
-    rows = stage(rows.join(several, "fp", "left_semi"), "compared")
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    anchors = rows.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("contexts")).where("lo <> hi")
+    rows = stage(rows.join(anchors.select("fp", (F.col("contexts") > HOT).alias("hot")), "fp"), "compared")
+    total = rows.where("not hot").agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(shards)).cast("int"))
-    return rows.groupBy("shard").applyInPandas(lambda pdf: compare_shard(pdf, length), SPANS)
+    dealt = rows.where("not hot").withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(shards)).cast("int"))
+    found = dealt.groupBy("shard").applyInPandas(lambda pdf: compare_shard(pdf, length), SPANS)
+    return found.unionByName(compare_strings(rows.where("hot"), length))
+
+
+def compare_strings(rows: DataFrame, length: int) -> DataFrame:
+    """Spans of the strings, filed one by one by a 128-bit digest, that a smaller document starts: for
+    anchors whose contexts would still make too large a transform."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc, tkey, start, text in zip(pdf.doc_id, pdf.tkey, pdf.start, pdf.text):
+                n = len(text) - length + 1
+                d = np.frombuffer(b"".join([hashlib.blake2b(text[i : i + length], digest_size=16).digest() for i in range(n)]), np.int64).reshape(-1, 2)
+                yield pd.DataFrame({"doc_id": doc, "tkey": tkey, "start": np.arange(start, start + n, dtype=np.int32), "d1": d[:, 0], "d2": d[:, 1]})
+
+    strings = rows.select("doc_id", "tkey", "start", "text").mapInPandas(cut, "doc_id long, tkey long, start int, d1 long, d2 long")
+    strings = stage(strings, "strings")
+    first = strings.groupBy("d1", "d2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
+    return strings.join(first, ["d1", "d2"]).where("owner < doc_id").select("doc_id", "tkey", "start", F.lit(1).alias("n"))
 
 
 def remove_spans(chunked: DataFrame, spans: DataFrame, length: int, with_text: bool) -> DataFrame:
@@ -331,8 +351,8 @@ def remove_spans(chunked: DataFrame, spans: DataFrame, length: int, with_text: b
                 np.add.at(mark, starts + ns + length - 1, -1)
                 gone = np.cumsum(mark[:-1]) > 0
                 kept = text[~gone].tobytes()
-                runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((doc, size, int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), *((kept,) if with_text else ())))
+                n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                out.append((doc, size, int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), *((kept,) if with_text else ())))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
@@ -344,11 +364,11 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_te
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with_text adds the remaining
     bytes (``kept``) of documents that lose some."""
     chunked = shared_contexts(docs, length, gram)
-    rows = chunked.select("doc_id", "tkey", F.inline(F.arrays_zip("fp", "c", "start", "n")))
-    contexts = rows.groupBy("fp", "c").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+    rows = chunked.select("doc_id", "tkey", F.inline(F.arrays_zip("fp", "c1", "c2", "start", "n")))
+    contexts = rows.groupBy("fp", "c1", "c2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
     forms = contexts.groupBy("fp").agg(F.count("*").alias("forms"))
-    known = contexts.join(forms, "fp").where("owner < last OR forms > 1").select("fp", "c", "owner", "forms")
-    found = rows.join(stage(known, "known"), ["fp", "c"]).withColumn("whole", F.col("owner") < F.col("doc_id"))
+    known = contexts.join(forms, "fp").where("owner < last OR forms > 1").select("fp", "c1", "c2", "owner", "forms")
+    found = rows.join(stage(known, "known"), ["fp", "c1", "c2"]).withColumn("whole", F.col("owner") < F.col("doc_id"))
     found = stage(found.where("whole OR forms > 1").select("doc_id", "tkey", "start", "n", "fp", "whole", (F.col("forms") > HOT).alias("hot")), "found")
     spans = stage(expand_shards(chunked, found.where("not whole"), length), "expanded")
     spans = spans.unionByName(found.where("whole").select("doc_id", "tkey", "start", "n"))
