@@ -18,7 +18,8 @@ the whole, in code points.
 Defined results: null text or role is empty; null kind is ``message``; events
 without conversation belong to one conversation with null id; equal sequence
 numbers are ordered by turn, kind and text; repeated rows are separate events;
-an empty log gives no rows.
+texts of any length stay whole; other columns, whatever their names, are not
+read; an empty log gives no rows.
 """
 
 from __future__ import annotations

@@ -7,6 +7,14 @@ The rank of a key's bit is its slot, and slots hold the full 32-byte digest,
 the locator of the winning row and the number of rows.  A new batch, reduced to
 its distinct digests, looks up its slot and compares all bytes there: a repeat
 updates the slot's winner, a nonmember forms a group of its own.
+
+Rows meet their verdict by digest; the partition of a text that a third of all
+rows have is split by Spark's adaptive execution.
+
+Defined results: null text is empty; a null doc_id never stays unless its whole
+group lacks ids; repeated rows are counted each; texts of any length are hashed
+whole; ties cannot be, as rows that share the winning id all win; other
+columns, whatever their names, stay as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stage
+from .common import ascii_lower, stage, unused
 
 GAMMA = 2.0
 KEYS_PER_SHARD = 100_000
@@ -142,7 +150,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns unchanged, one per distinct text."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    own_id, own_sha = unused(docs, "own_id", "own_sha")
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_sha)).distinct()
     sha = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]) & (sha == kept["__sha"]))
-    return rows.dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept[own_id]) & (sha == kept[own_sha]))
+    return rows.dropDuplicates([own_id, own_sha]).drop(own_id, own_sha)

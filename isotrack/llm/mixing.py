@@ -10,7 +10,9 @@ by that moment is the training order.  Only DataFrame functions are used.
 
 Defined results: null text has size 0; null sources form one source, last in
 order; a document of size 0 takes 0; repeated rows are separate documents of
-the stream; no documents, no rows.  ``allocate`` counts the copy at which a source's budget
+the stream; equal places of the stream go by id, text and row; texts of any
+length count whole; other columns, whatever their names, stay as they are; no
+documents, no rows.  The table of sources, one row each, is walked in one task.  ``allocate`` counts the copy at which a source's budget
 ends in part, so that sources meet their targets to the word; ``curriculum``
 takes whole copies only (``whole_copies``).
 """
@@ -22,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage, with_prefix
+from .common import WORD, stage, unused, with_prefix
 
 MAX_EPOCHS = 3
 
@@ -156,13 +158,14 @@ def curriculum(docs: DataFrame, schedule: Callable[[Column], tuple[Column, Colum
     repeated; a null id is ordered by a hash of the text, so that such rows
     spread too, and the rows of a repeated id follow each other.
     """
+    row, key, copy = unused(docs, "row", "key", "copy")
     by_text = F.md5(F.coalesce("text", F.lit("")))
-    key = F.concat(F.coalesce(F.md5(F.col("doc_id").cast("string")), by_text), by_text)
-    numbered = stage(docs.select("*", F.monotonically_increasing_id().alias("__row"), key.alias("__key")), "numbered")
-    sizes = numbered.select(F.col("__row").alias("row"), source_key(F.col("source")).alias("source_key"), n_words().alias("size"), F.col("__key").alias("order_key"))
+    order = F.concat(F.coalesce(F.md5(F.col("doc_id").cast("string")), by_text), by_text)
+    numbered = stage(docs.select("*", F.monotonically_increasing_id().alias(row), order.alias(key)), "numbered")
+    sizes = numbered.select(F.col(row).alias("row"), source_key(F.col("source")).alias("source_key"), n_words().alias("size"), F.col(key).alias("order_key"))
     plan = whole_copies(streams(sizes, ["order_key", "size", "row"], schedule, max_epochs), max_epochs)
-    plan = plan.select(F.col("row").alias("__row"), F.explode("copies").alias("__c"))
-    return numbered.join(plan, "__row").orderBy("__c.position", "__key", "__row", "__c.epoch").select(*docs.columns)
+    plan = plan.select(F.col("row").alias(row), F.explode("copies").alias(copy))
+    return numbered.join(plan, row).orderBy(f"{copy}.position", key, row, f"{copy}.epoch").select(*docs.columns)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

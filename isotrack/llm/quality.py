@@ -17,7 +17,10 @@ Defined results: null and empty texts have no features and get the score 0
 from which no grade differs but by its thresholds; labels without a document,
 and null grades, are ignored; repeated label rows count as often as they occur;
 without labels of two grades there is nothing to fit and every document is
-selected.
+selected; ties in the order of labelled documents go by id and grade; texts of
+any length are read whole; null ids are scored like others; rows that repeat
+are scored each; other columns, whatever their names, stay as they are; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import stage, unused
 from .kernels import U, byte_table, distinct, doc_words, mix, slices, span_hashes
 
 SAMPLE, MIN_DOCS, MIN_CHI2 = 5000, 6, 12.0
@@ -159,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
 def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, keep: list[str] = ("doc_id",), threshold: float = 0.5, prefix: str = "") -> DataFrame:
     """``keep`` columns, untouched, and expected_grade, p_clean, selected (with ``prefix``) of every row."""
-    rows = docs.select(F.col("text").alias("__text"), *[docs[c] for c in keep])
+    rows = docs.select(F.col("text").alias(unused(docs.select(*keep), "text")[0]), *[docs[c] for c in keep])
     kept = rows.schema.fields[1:]
     grade_, tail_, chosen = (f"{prefix}{c}" for c in ("expected_grade", "p_clean", "selected"))
 
@@ -183,4 +186,7 @@ def score_documents(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None
 
 def select_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that reach the clean grade with the given probability, all columns unchanged."""
-    return score_documents(docs, train(docs, labels), docs.columns, threshold, "__").where("__selected").select(*docs.columns)
+    prefix = "by_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return score_documents(docs, train(docs, labels), docs.columns, threshold, prefix).where(f"{prefix}selected").select(*docs.columns)

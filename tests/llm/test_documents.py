@@ -313,7 +313,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(tokenizer_path())
-    own.encode_special_tokens = True
     rows = packing.pack(docs, tokenizer_path(), length=64).collect()
     by, seqs = {}, {}
     for r in rows:
@@ -343,10 +342,10 @@ def test_encoder_agrees_with_the_vocabulary_library():
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(tokenizer_path())
-    own.encode_special_tokens = True
-    encode = packing.encoder(tokenizer_path())
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        encode = packing.encoder(f.read())
     rng = random.Random(8)
-    odd = ["<|endoftext|>", "it's we'LL  don't x", "a\r\n\tb  \n", "日本語 текст 🙂🏽", "x" * 500, "  lead", "1234 ½ ²", "\x1c\x85 a"]
+    odd = ["<|endoftext|>", "<|endoftext|> a <|endoftext|>", "x<|endoftext|><|endof", "it's we'LL  don't x", "a\r\n\tb  \n", "日本語 текст 🙂🏽", "x" * 500, "  lead", "1234 ½ ²", "\x1c\x85 a"]
     texts = odd + ["".join(rng.choice("ab 'sé\n\t1.,-🙂 ") for _ in range(60)) for _ in range(300)]
     assert [encode(t) for t in texts] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
 
@@ -367,6 +366,90 @@ def test_plan_places_every_rank_once():
         assert all(v <= 64 for v in fill.values()) and set(fill) == set(range(len(fill)))
 
 
+def fewest(lengths, size):
+    """The least number of sequences, by trying every set of pieces that can share one."""
+    from functools import cache
+
+    @cache
+    def least(left):
+        if not left:
+            return 0
+        first, rest = left[0], left[1:]
+        best = len(left)
+        for mask in range(1 << len(rest)):
+            taken = [rest[i] for i in range(len(rest)) if mask >> i & 1]
+            if first + sum(taken) <= size:
+                best = min(best, 1 + least(tuple(rest[i] for i in range(len(rest)) if not mask >> i & 1)))
+        return best
+
+    return least(tuple(sorted(lengths, reverse=True)))
+
+
+def test_plan_is_near_the_fewest_sequences():
+    rng = random.Random(14)
+    for _ in range(40):
+        lengths = [rng.randint(1, 64) for _ in range(rng.randint(1, 9))]
+        histogram = {n: lengths.count(n) for n in lengths}
+        used = max(s + c for _, _, s, c in packing.plan(histogram, 64))
+        assert used <= fewest(lengths, 64) + 1
+
+
+CLASH = ["row", "key", "copy", "own_id", "own_sha", "by_selected", "text_", "__c", "__text", "__id", "__sha", "kept_id", "size", "order_key"]
+
+
+def test_columns_of_any_name_stay(spark):
+    rng = random.Random(15)
+    texts = [None, "", *[words(rng, 30) for _ in range(12)]]
+    texts += [texts[4], texts[5] + " more"]
+    rows = [(i if i % 5 else None, t, "ab"[i % 2], *[f"{c}{i}" for c in CLASH]) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASH)).repartition(2)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(16)], "doc_id long, quality int, toxic int")
+    held = set(rows)
+    for out in (quality.select_documents(frame, labels), exact_dedup.drop_repeats(frame), ngram_join.one_per_group(frame), mixing.curriculum(frame)):
+        assert out.columns == frame.columns
+        got = [tuple(r) for r in out.collect()]
+        assert got and set(got) <= held
+    assert suffix_dedup.dedup_bytes(frame).count() == substring_dedup.dedup_substrings(frame).count() == packing.pack(frame, tokenizer_path()).count() == len(rows)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(16)
+    long = words(rng, 120_000)
+    rows = [(1, long), (2, long + " end"), (3, words(rng, 5)), (None, long), (4, "9" * 300_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(frame, with_text=False).collect()}
+    assert (got[None].n_removed, got[1].n_removed, got[2].n_removed, got[3].n_removed) == (0, 120_000, 120_000, 0)
+    got = {r.doc_id: r for r in suffix_dedup.dedup_bytes(frame).collect()}
+    assert (got[None].n_removed, got[1].n_removed, got[2].n_removed, got[4].n_removed) == (0, len(long), len(long), 0)
+    near = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(frame).collect()}
+    assert near == {None: None, 1: None, 2: None, 3: 3, 4: 4}
+    pieces = packing.pieces(frame.where("doc_id <= 2 or doc_id is null"), tokenizer_path()).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert len({r.n for r in pieces if r.doc_id != 2}) == 1
+
+
+def test_pipeline_stages(spark, docs):
+    """Each stage against brute force, on what the one before kept."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, int(len((t or "").split()) > 3), 0) for i, t in corpus()], "doc_id long, quality int, toxic int")
+    kept = docs.join(quality.score_documents(docs, quality.train(docs, labels)).where("selected").select("doc_id"), "doc_id", "left_semi")
+    assert sorted(map(str, quality.select_documents(docs, labels).collect())) == sorted(map(str, kept.select(*docs.columns).collect()))
+    held = {r.doc_id: r.text for r in docs.collect()}
+    once = {lower(t): i for i, t in sorted(held.items())}
+    frame = corpus_pipeline.exact(spark, docs, "")
+    assert {r.doc_id for r in frame.collect()} == set(once.values())
+    held = {i: held[i] for i in once.values()}
+    frame = corpus_pipeline.near(spark, frame.repartition(2), "")
+    want = {c for _, c in components(sorted(held.items()), 5, 80).values()}
+    assert {r.doc_id for r in frame.collect()} == want
+    mixed = corpus_pipeline.mix(spark, frame, "").collect()
+    sizes = {i: len((held[i] or "").split()) for i in want}
+    assert {r.doc_id for r in mixed} <= want and abs(sum(sizes[r.doc_id] for r in mixed) - sum(sizes.values())) <= max(sizes.values())
+    packed = corpus_pipeline.packing(spark, spark.createDataFrame(mixed, docs.schema), "").collect()
+    assert len({(r.doc_id, r.piece) for r in packed}) <= len(packed) and {r.doc_id for r in packed} == {r.doc_id for r in mixed}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "ngram_join", "mixing", "packing"]
+
+
 def test_quality_on_held_out_texts(spark):
     rng = random.Random(6)
     rows, labels = [], []

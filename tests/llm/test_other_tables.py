@@ -1,6 +1,7 @@
 """Chat logs, vectors, personal data and the pipeline."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from isotrack.llm import ann, chat, pii
 from isotrack.llm.exact_dedup import exact_groups
-from isotrack.llm.queries import QUERIES
+from isotrack.llm.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 LOG = "conv_id long, seq long, kind string, turn long, role string, text string, key string"
@@ -87,6 +88,53 @@ def test_outliers_find_as_many_as_there_are(spark, monkeypatch):
     assert all(len(set(v)) == len(v) == 10 and q not in v for q, v in got.items())
 
 
+def test_repeated_query_rows_are_one_query(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in rng.normal(0, 1, 8)]) for i in range(300)]
+    table = spark.createDataFrame([*rows, rows[0], (0, [9.0] * 8), (None, [1.0] * 8)], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in ann.search(table, F.col("vec_id") % 100 == 0).collect()]
+    assert sorted((q, k) for q, k, _ in got) == [(q, k) for q in (0, 100, 200) for k in range(1, 11)]
+    assert len({v for q, _, v in got if q == 0}) == 10 and 0 not in {v for q, _, v in got if q == 0}
+
+
+def test_base_matches_take_linear_time(spark):
+    import time
+
+    weights = pii.train()
+    for text in ("1" * 1_000_000, "a" * 1_000_000 + " @", "a" * 1_000_000 + "@b.com"):
+        began = time.time()
+        base, _ = pii.find_spans(text, weights)
+        assert time.time() - began < 10 and len(base) == text.endswith(".com")
+    rng = random.Random(17)
+    for _ in range(5000):
+        text = "".join(rng.choice("a1@.-_ +2 9(") for _ in range(rng.randint(0, 40)))
+        assert pii.base_spans(text) == brute_base(text)
+    assert pii.find_personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_candidates_reach_the_field():
+    user, host = "x" * 500, "y" * 300
+    _, spans = pii.find_spans(f"mail {user} @ {host}.com now", pii.train())
+    assert (5, 0, 5 + 500 + 3 + 300 + 4) in spans
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_matches_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        path = f"{DATA}/{t}.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
+    df = QUERIES[name](spark, DATA)
+    cols = sorted(df.columns)
+    cur = con.execute(ORACLE[name])
+    names = [d[0] for d in cur.description]
+    assert sorted(names) == cols
+    tidy = lambda rows: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=str)
+    assert tidy(tuple(r[c] for c in cols) for r in df.collect()) == tidy(tuple(r[names.index(c)] for c in cols) for r in cur.fetchall())
+
+
 def test_no_part_gives_fewer_than_it_could():
     vectors = np.zeros((30, 64))
     vectors[:, 0] = 10
@@ -96,10 +144,16 @@ def test_no_part_gives_fewer_than_it_could():
     assert len(found) == 10
 
 
+CONTRACT = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
 def brute_base(text):
     out = []
     for k, kind in enumerate(pii.KINDS):
-        for m in re.finditer(pii.BASE[kind].pattern, text):
+        for m in re.finditer(CONTRACT[kind], text):
             s = m.group()
             digits = [int(c) for c in s if c.isdigit() and c.isascii()]
             if kind == "ip":
