@@ -29,10 +29,14 @@ def group_share(events: DataFrame, first: Column, second: Column, year: str = "s
     return per.select(year, F.try_divide(F.col("a"), F.col("a") + F.col("b")).alias("share"))
 
 
-def leave_one_out(events: DataFrame, categories: DataFrame, category: str, value: str) -> DataFrame:
-    """Mean of the value without each category in turn."""
-    c = categories.select(F.col(category).alias("excluded"))
-    return events.join(F.broadcast(c), F.col(category) != F.col("excluded")).groupBy("excluded").agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+def leave_one_out(events: DataFrame, categories: DataFrame | None, category: str, value: str) -> DataFrame:
+    """Mean of the value without each category in turn: all sums less the category's own.  ``categories`` may name more than occur."""
+    per = events.groupBy(F.col(category).alias("excluded")).agg(F.sum(value).alias("s"), F.count(value).alias("k"), F.count("*").alias("n"))
+    everything = Window.partitionBy()  # a row a category
+    if categories is not None:
+        per = categories.select(F.col(category).alias("excluded")).distinct().join(per, "excluded", "full").na.fill(0, ["s", "k", "n"])
+    rest = {c: F.sum(c).over(everything) - F.col(c) for c in ("s", "k", "n")}
+    return per.select("excluded", F.try_divide(rest["s"], rest["k"]).alias("mean"), rest["n"].alias("n"))
 
 
 def year_weights(points: DataFrame, key: str = "cell_id", year: str = "season") -> DataFrame:

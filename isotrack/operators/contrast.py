@@ -67,20 +67,54 @@ def three_term(segs: DataFrame, early: tuple[int, int], late: tuple[int, int], y
     return band.agg(F.sum((F.col("fl") - F.col("fe")) * F.col("ve")).alias("shift"), F.sum(F.col("fe") * (F.col("vl") - F.col("ve"))).alias("regional"), F.sum((F.col("fl") - F.col("fe")) * (F.col("vl") - F.col("ve"))).alias("joint"), F.sum(F.col("fl") * F.col("vl") - F.col("fe") * F.col("ve")).alias("total"))
 
 
-def shapley(rows: DataFrame, early: tuple[int, int], late: tuple[int, int], bin_col: str = "bin", year: str = "season", least: int = 3) -> DataFrame:
+def shapley(rows: DataFrame, early: tuple[int, int], late: tuple[int, int], start: str = "start", year: str = "season", least: int = 3) -> DataFrame:
     """Change of each cell's mean share as change of starting bins plus change of what follows from a bin.
 
-    Only bins with ``least`` entities in both periods take part; the two orders of replacing are averaged.
+    rows: (sid, year, iso_time, event_id, start, cell_id).  An entity's bin is ``start`` of its first row of a
+    year; its rows share 1, entities share their year, years their period.  Only bins with ``least`` entities in
+    both periods take part; the two orders of replacing are averaged.
     """
     period = F.when(F.col(year).between(*early), "e").when(F.col(year).between(*late), "l")
-    rows = rows.withColumn("p", period).where("p IS NOT NULL")
-    bins = rows.groupBy(bin_col).agg(*[F.countDistinct(F.when(F.col("p") == k, F.struct("sid", year))).alias(f"n{k}") for k in "el"]).where((F.col("ne") >= least) & (F.col("nl") >= least))
-    total = bins.agg(F.sum("ne").alias("te"), F.sum("nl").alias("tl"))
-    bins = bins.join(F.broadcast(total)).select(bin_col, (F.col("ne") / F.col("te")).alias("ge"), (F.col("nl") / F.col("tl")).alias("gl"))
-    cells = rows.join(bins, bin_col, "left_semi").groupBy(bin_col, "cell_id").agg(*[F.count(F.when(F.col("p") == k, 1)).alias(f"c{k}") for k in "el"])
-    own = Window.partitionBy(bin_col)
-    cells = cells.withColumns({f"s{k}": F.col(f"c{k}") / F.sum(f"c{k}").over(own) for k in "el"}).join(bins, bin_col)
+    own = rows.groupBy("sid", year).agg(F.min_by(start, F.struct("iso_time", "event_id")).alias("bin"), F.count("*").alias("n")).withColumn("p", period).where("p IS NOT NULL")
+    years = own.groupBy("p", year).agg(F.count("*").alias("ny")).withColumn("years", F.count("*").over(Window.partitionBy("p")))
+    own = own.join(years, ["p", year]).withColumn("w", 1 / (F.col("years") * F.col("ny")))
+    held = lambda k, c: F.coalesce(F.sum(F.when(F.col("p") == k, c)), F.lit(0.0))
+    bins = own.groupBy("bin").agg(*[held(k, F.col("w")).alias(f"w{k}") for k in "el"], *[F.count(F.when(F.col("p") == k, 1)).alias(f"n{k}") for k in "el"]).where((F.col("ne") >= least) & (F.col("nl") >= least))
+    everything = Window.partitionBy()  # a row a bin
+    bins = bins.select("bin", "we", "wl", *[(F.col(f"w{k}") / F.sum(f"w{k}").over(everything)).alias(f"g{k}") for k in "el"])
+    parts = rows.select("sid", year, "cell_id").join(own.join(bins, "bin").withColumn("u", F.col("w") / F.col("n")), ["sid", year])
+    cells = parts.groupBy("bin", "cell_id").agg(*[F.first(c).alias(c) for c in ("ge", "gl", "we", "wl")], *[held(k, F.col("u")).alias(f"u{k}") for k in "el"])
+    cells = cells.withColumns({f"s{k}": F.col(f"u{k}") / F.col(f"w{k}") for k in "el"})
     return cells.groupBy("cell_id").agg(
         F.sum((F.col("gl") - F.col("ge")) * (F.col("se") + F.col("sl")) / 2).alias("genesis"), F.sum((F.col("ge") + F.col("gl")) / 2 * (F.col("sl") - F.col("se"))).alias("propagation"),
         F.sum(F.col("gl") * F.col("sl") - F.col("ge") * F.col("se")).alias("change"),
     )
+
+
+def signed_projection(change: DataFrame, pattern: DataFrame) -> DataFrame:
+    """How far a change map (cell_id, d) goes along a pattern map, and their correlation over common cells."""
+    both = change.select("cell_id", F.col("d").alias("dc")).join(pattern.select("cell_id", F.col("d").alias("dp")), "cell_id")
+    return both.agg(F.try_divide(F.sum(F.col("dc") * F.col("dp")), F.sum(F.col("dp") ** 2)).alias("projection"), F.corr("dc", "dp").alias("r"))
+
+
+def leave_one_out_scores(shares: DataFrame, period: str = "period", year: str = "season") -> DataFrame:
+    """Projection score of each year on the pattern of all others: (rep, year, period, score).
+
+    shares: (rep, year, period e or l, cell_id, share), every year with every cell.  A year leaves its own
+    period's mean, so the pattern is fitted without it.
+    """
+    w = Window.partitionBy("rep", "cell_id")
+    for k in "el":
+        shares = shares.withColumn(f"s{k}", F.sum(F.when(F.col(period) == k, F.col("share")).otherwise(0.0)).over(w)).withColumn(f"n{k}", F.count(F.when(F.col(period) == k, 1)).over(w))
+    own = {k: F.col(period) == k for k in "el"}
+    mean = {k: F.when(own[k], (F.col(f"s{k}") - F.col("share")) / (F.col(f"n{k}") - 1)).otherwise(F.col(f"s{k}") / F.col(f"n{k}")) for k in "el"}
+    pattern, mid = mean["l"] - mean["e"], (mean["l"] + mean["e"]) / 2
+    dots = shares.groupBy("rep", year, period).agg(F.sum((F.col("share") - mid) * pattern).alias("a"), F.sum(pattern * pattern).alias("b"))
+    return dots.select("rep", year, period, F.try_divide(2 * F.col("a"), F.col("b")).alias("score"))
+
+
+def cross_products(state: DataFrame, year: str = "season") -> DataFrame:
+    """Sum over cells of w in one year times h in another, for all years: (year_w, year_h, product)."""
+    a = state.select(F.col(year).alias("year_w"), "cell_id", "w")
+    b = state.select(F.col(year).alias("year_h"), "cell_id", "h")
+    return a.join(b, "cell_id").groupBy("year_w", "year_h").agg(F.sum(F.col("w") * F.col("h")).alias("product"))

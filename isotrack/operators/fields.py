@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell_area_km2
@@ -36,11 +36,37 @@ def ridge_latitude(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def layer_mean(df: DataFrame, keys: list[str], level: str, value: str) -> DataFrame:
-    """Trapezoid mean of the value over its levels."""
+    """Trapezoid mean of the value over its levels; null for a single level."""
     w = Window.partitionBy(*keys).orderBy(level)
     d = df.withColumns({"v2": F.lead(value).over(w), "p2": F.lead(level).over(w)})
-    return d.groupBy(*keys).agg((F.sum((F.col(value) + F.col("v2")) / 2 * (F.col("p2") - F.col(level))) / (F.max(level) - F.min(level))).alias("layer_mean"))
+    return d.groupBy(*keys).agg(F.try_divide(F.sum((F.col(value) + F.col("v2")) / 2 * (F.col("p2") - F.col(level))), F.max(level) - F.min(level)).alias("layer_mean"))
 
 
 def composite_difference(df: DataFrame, cell: list[str], value: str, label: str, a: str, b: str) -> DataFrame:
     return df.groupBy(*cell).agg((F.avg(F.when(F.col(label) == a, F.col(value))) - F.avg(F.when(F.col(label) == b, F.col(value)))).alias("difference"))
+
+
+def axis_of_maximum(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean latitude of the largest positive value along each longitude, and the easternmost longitude whose mean is positive."""
+    w = Window.partitionBy(*keys, "lon").orderBy(F.desc(value), "lat")
+    axis = df.where(F.col(value) > 0).withColumn("place", F.row_number().over(w)).where("place = 1").groupBy(*keys).agg(F.avg("lat").alias("axis_lat"))
+    east = df.groupBy(*keys, "lon").agg(F.avg(value).alias("m")).where("m > 0").groupBy(*keys).agg(F.max("lon").alias("east_lon"))
+    return axis.join(east, keys, "left")
+
+
+def deviation(df: DataFrame, cell: list[str], value: str, late: Column) -> DataFrame:
+    """Standard deviation over years of each cell, and the late minus early mean in units of it."""
+    per = df.groupBy(*cell).agg(F.stddev_pop(value).alias("sd"), (F.avg(F.when(late, F.col(value))) - F.avg(F.when(~late, F.col(value)))).alias("delta"))
+    return per.withColumn("ratio", F.try_divide("delta", "sd"))
+
+
+def bilinear(points: DataFrame, grid: DataFrame, lon0: float, lat0: float, res: float, value: str) -> DataFrame:
+    """Points with the value between the four grid nodes (row, col, value) around them; null outside the grid."""
+    x, y = (F.col("lon") - lon0) / res, (F.col("lat") - lat0) / res
+    at = points.withColumns({"col0": F.floor(x).cast("int"), "row0": F.floor(y).cast("int")}).withColumns({"fx": x - F.floor(x), "fy": y - F.floor(y)})
+    for dr in (0, 1):
+        for dc in (0, 1):
+            node = grid.select((F.col("row") - dr).alias("row0"), (F.col("col") - dc).alias("col0"), F.col(value).alias(f"v{dr}{dc}"))
+            at = at.join(node, ["row0", "col0"], "left")
+    low, high = (F.col(f"v{r}0") * (1 - F.col("fx")) + F.col(f"v{r}1") * F.col("fx") for r in (0, 1))
+    return at.withColumn("interpolated", low * (1 - F.col("fy")) + high * F.col("fy")).drop("col0", "row0", "fx", "fy", "v00", "v01", "v10", "v11")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,16 +64,137 @@ def permutation_difference(series: DataFrame, blocks: DataFrame, n_early: int, r
     return per.where("rep > 0").join(F.broadcast(seen)).agg(F.max("observed").alias("difference"), ((F.sum((F.round(F.abs("d"), 9) >= F.round(F.abs("observed"), 9)).cast("int")) + 1) / F.lit(replicates + 1.0)).alias("p_value"))
 
 
+def shuffled_weights(blocks: DataFrame, n_early: int, replicates: int, seed: int) -> DataFrame:
+    """(rep, weights): by season, 1/late years or -1/early years as a map, so that a replicate is one row."""
+    n = F.count("*").over(Window.partitionBy("rep"))
+    placed = block_positions(blocks, replicates, seed).withColumn("w", F.when(F.col("position") >= n_early, 1 / (n - n_early)).otherwise(-1.0 / n_early))
+    return placed.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("season", "w"))).alias("weights"))
+
+
+def shuffled_changes(shares: DataFrame, blocks: DataFrame, n_early: int, replicates: int, seed: int) -> DataFrame:
+    """(rep, cell_id, d): late minus early mean of each cell in each replicate.
+
+    A cell's years are one array (cells and years are bounded by the grid and the record), so replicates meet
+    cells, not their rows.
+    """
+    cells = shares.groupBy("cell_id").agg(F.collect_list(F.struct("season", "share")).alias("years"))
+    reps = shuffled_weights(blocks, n_early, replicates, seed)
+    d = F.aggregate("years", F.lit(0.0), lambda t, y: t + F.element_at("weights", y["season"]) * y["share"])
+    return reps.crossJoin(cells).select("rep", "cell_id", d.alias("d"))
+
+
 def permutation_tv(shares: DataFrame, blocks: DataFrame, n_early: int, replicates: int, seed: int) -> DataFrame:
     """Total variation between the periods, and its block-shuffle p value."""
-    placed = block_positions(blocks, replicates, seed).join(shares, "season")
-    n = blocks.count()
-    cell = placed.groupBy("rep", "cell_id").agg((F.sum(F.when(F.col("position") >= n_early, F.col("share")).otherwise(0.0)) / (n - n_early) - F.sum(F.when(F.col("position") < n_early, F.col("share")).otherwise(0.0)) / n_early).alias("d"))
-    tv = cell.groupBy("rep").agg((F.lit(0.5) * F.sum(F.abs("d"))).alias("tv"))
+    tv = shuffled_changes(shares, blocks, n_early, replicates, seed).groupBy("rep").agg((F.lit(0.5) * F.sum(F.abs("d"))).alias("tv"))
     seen = tv.where("rep = 0").select(F.col("tv").alias("observed"))
     return tv.where("rep > 0").join(F.broadcast(seen)).agg(F.max("observed").alias("tv"), ((F.sum((F.round("tv", 9) >= F.round("observed", 9)).cast("int")) + 1) / F.lit(replicates + 1.0)).alias("p_value"))
 
 
+def composition_test(shares: DataFrame, blocks: DataFrame, n_early: int, replicates: int, seed: int) -> DataFrame:
+    """Per cell: change, two-sided p, BH q, and p of the greatest change of any cell.  A year's shares must sum to 1."""
+    if not shares.groupBy("season").agg(F.sum("share").alias("s")).where("abs(s - 1) > 1e-8").isEmpty():
+        raise ValueError("each year's shares must sum to one")
+    d = shuffled_changes(shares, blocks, n_early, replicates, seed).withColumn("size", F.round(F.abs("d"), 9))
+    d = d.withColumn("top", F.max("size").over(Window.partitionBy("rep")))
+    seen = d.where("rep = 0").select("cell_id", F.col("d").alias("change"), F.col("size").alias("own"))
+    part = lambda c: (F.sum((F.col(c) >= F.col("own")).cast("int")) + 1) / F.lit(replicates + 1.0)
+    cells = d.where("rep > 0").join(seen, "cell_id").groupBy("cell_id").agg(F.first("change").alias("change"), part("size").alias("p"), part("top").alias("p_max"))
+    return bh_fdr(cells, "p", [])
+
+
+def correlation_permutation(series: DataFrame, blocks: DataFrame, x: str, y: str, replicates: int, seed: int) -> DataFrame:
+    """Correlation as it is, of detrended series, and the block-shuffle p value of the latter."""
+    s = detrend(detrend(series.withColumn("__k", F.lit(1)), ["__k"], "season", x, "dx"), ["__k"], "season", y, "dy")
+    order = s.select("season", "dx", "dy", x, y, (F.row_number().over(Window.orderBy("season")) - 1).alias("position"))  # a row a year
+    placed = block_positions(blocks, replicates, seed).join(F.broadcast(order.select("season", "dx")), "season").join(F.broadcast(order.select("position", "dy")), "position")
+    r = placed.groupBy("rep").agg(F.corr("dx", "dy").alias("r"))
+    seen = r.where("rep = 0").select(F.col("r").alias("observed"))
+    p = r.where("rep > 0").join(F.broadcast(seen)).agg(F.max("observed").alias("r_detrended"), ((F.sum((F.round(F.abs("r"), 9) >= F.round(F.abs("observed"), 9)).cast("int")) + 1) / F.lit(replicates + 1.0)).alias("p_value"))
+    return series.agg(F.corr(x, y).alias("r"), F.count("*").alias("n")).crossJoin(p)
+
+
+def stratified_labels(years: DataFrame, n_early: int, replicates: int, seed: int) -> DataFrame:
+    """(rep, season, early): the early label dealt to ``n_early`` of the years at random; replicate 0 takes the first."""
+    reps = years.sparkSession.range(replicates + 1).select(F.col("id").cast("int").alias("rep"))
+    order = F.when(F.col("rep") == 0, F.lpad(F.col("season").cast("string"), 8, "0")).otherwise(F.md5(F.concat_ws("_", F.lit(seed), "rep", "season")))
+    rows = reps.crossJoin(F.broadcast(years)).withColumn("o", order)
+    return rows.select("rep", "season", (F.row_number().over(Window.partitionBy("rep").orderBy("o", "season")) <= n_early).alias("early"))
+
+
+def sen_bootstrap(series: DataFrame, keys: list[str], x: str, y: str, block: int, replicates: int, seed: int) -> DataFrame:
+    """Theil-Sen slope and its interval: residuals are drawn again in blocks of years, the years stay."""
+    slope = theil_sen(series, keys, x, y).select(*keys, "slope")
+    fit = series.join(slope, keys)
+    fit = fit.join(fit.groupBy(*keys).agg(F.median(F.col(y) - F.col("slope") * F.col(x)).alias("base")), keys)
+    w = Window.partitionBy(*keys).orderBy(x)
+    fit = fit.select(*keys, x, "slope", (F.col("base") + F.col("slope") * F.col(x)).alias("line"), F.col(y).alias("y"), (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
+    draws = fit.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    start = F.conv(F.substring(F.md5(F.concat_ws("_", F.lit(seed), *keys, "rep", F.floor(F.col("i") / block))), 1, 8), 16, 10).cast("long")
+    draws = draws.withColumn("j", (start % (F.col("n") - F.least(F.lit(block), F.col("n")) + 1) + F.col("i") % block).cast("int"))
+    resid = fit.select(*keys, F.col("i").alias("j"), (F.col("y") - F.col("line")).alias("resid"))
+    drawn = draws.join(resid, [*keys, "j"]).select(*keys, "rep", x, (F.col("line") + F.col("resid")).alias("v"))
+    each = theil_sen(drawn, [*keys, "rep"], x, "v")
+    span = each.groupBy(*keys).agg(F.percentile("slope", F.lit(0.025)).alias("low"), F.percentile("slope", F.lit(0.975)).alias("high"))
+    return slope.join(span, keys)
+
+
+def student_p(t: float, df: float) -> float:
+    """Two-sided tail of Student's t: the regularised incomplete beta function by its continued fraction."""
+    a, b, x = df / 2, 0.5, df / (df + t * t)
+    if x >= 1:
+        return 1.0
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta(b, a, 1 - x)
+    return _beta(a, b, x)
+
+
+def _beta(a: float, b: float, x: float) -> float:
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    value = 0.0  # from the innermost fraction outward
+    for m in range(200, 0, -1):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
+        value = odd / (1 + even / (1 + value))
+    return front / (1 + value)
+
+
+def effective_correlation(series: DataFrame, keys: list[str], order: str, x: str, y: str) -> DataFrame:
+    """Correlation, effective number of years by both lag-one correlations, and the t value for it."""
+    whole = series.groupBy(*keys).agg(F.corr(x, y).alias("r"), F.count("*").alias("n"))
+    out = whole.join(ar1(series, order, x, keys).select(*keys, F.col("ar1").alias("a")), keys).join(ar1(series, order, y, keys).select(*keys, F.col("ar1").alias("b")), keys)
+    out = out.withColumn("n_eff", effective_n(F.col("n"), F.col("a"), F.col("b")))
+    return out.withColumn("t", F.col("r") * F.sqrt((F.col("n_eff") - 2) / (1 - F.col("r") * F.col("r")))).drop("a", "b")
+
+
+def with_student_p(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, r, n_eff, t) with the two-sided p value at n_eff - 2 degrees of freedom, 1 at least."""
+
+    def tail(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(p=[student_p(t, max(n - 2, 1)) if t == t else None for t, n in zip(pdf.t, pdf.n_eff)])
+
+    rows = df.select(*keys, "r", "n_eff", "t")
+    return rows.mapInPandas(tail, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema.fields)}, p double")
+
+
+def shared_slope(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Least squares of several responses on their own predictors with one slope and an intercept each: alpha, beta1, beta2, ..."""
+    rise = sum((F.covar_pop(x, y) for x, y in pairs[1:]), F.covar_pop(*pairs[0]))
+    run = sum((F.var_pop(x) for x, _ in pairs[1:]), F.var_pop(pairs[0][0]))
+    sums = df.agg(F.try_divide(rise, run).alias("alpha"), *[F.avg(c).alias(f"m_{c}") for pair in pairs for c in pair])
+    return sums.select("alpha", *[(F.col(f"m_{y}") - F.col("alpha") * F.col(f"m_{x}")).alias(f"beta{i}") for i, (x, y) in enumerate(pairs, 1)])
+
+
+def field_regression(field: DataFrame, cell: list[str], series: DataFrame, blocks: DataFrame, x: str, v: str, replicates: int, seed: int) -> DataFrame:
+    """Per cell: slope and correlation of v on the series x, and the p value of its correlation when years of x are shuffled in blocks."""
+    own = field.join(F.broadcast(series.select("season", x)), "season").groupBy(*cell).agg(F.regr_slope(v, x).alias("beta"), F.corr(v, x).alias("r"))
+    place = series.select(x, (F.row_number().over(Window.orderBy("season")) - 1).alias("position"))  # a row a year
+    moved = block_positions(blocks, replicates, seed).where("rep > 0").join(F.broadcast(place), "position").groupBy("season").agg(F.collect_list(F.struct("rep", x)).alias("reps"))
+    trial = field.join(F.broadcast(moved), "season").select(*cell, v, F.inline("reps")).groupBy(*cell, "rep").agg(F.corr(v, x).alias("q"))
+    p = trial.join(own.select(*cell, "r"), cell).groupBy(*cell).agg(((F.sum((F.round(F.abs("q"), 9) >= F.round(F.abs("r"), 9)).cast("int")) + 1) / F.lit(replicates + 1.0)).alias("p"))
+    return own.join(p, cell)
+
+
 def ols(df: DataFrame, y: str, xs: list[str], weight: str | None = None) -> DataFrame:
     """Least squares with intercept: sums of products are aggregated in parallel, the small system is solved in one task."""
     cols = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]
@@ -92,11 +214,11 @@ def ols(df: DataFrame, y: str, xs: list[str], weight: str | None = None) -> Data
 
 
 def robust_z(df: DataFrame, y: str) -> DataFrame:
-    """(y - median) / (1.4826 MAD); null where the spread is 0."""
+    """(y - median) / (1.4826 MAD); where the spread is 0, 0 at the median and infinite elsewhere."""
     m = df.agg(F.median(y).alias("__m"))
     d = df.join(F.broadcast(m)).withColumn("__d", F.abs(F.col(y) - F.col("__m")))
     s = d.agg((F.median("__d") * F.lit(1.4826)).alias("__s"))
-    return d.join(F.broadcast(s)).withColumn("z", F.try_divide(F.col(y) - F.col("__m"), F.col("__s"))).drop("__m", "__d", "__s")
+    return d.join(F.broadcast(s)).withColumn("z", F.when(F.col("__s") == 0, F.when(F.col(y) == F.col("__m"), 0.0).otherwise(float("inf"))).otherwise(F.try_divide(F.col(y) - F.col("__m"), F.col("__s")))).drop("__m", "__d", "__s")
 
 
 def fuzzy_membership(df: DataFrame, vector: str, centers: list[list[float]], m: float = 2.0) -> DataFrame:

@@ -30,10 +30,21 @@ def bracket_join(events: DataFrame, segs: DataFrame, keys: list[str], at: str, s
 
 
 def nearest_time_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, left_time: str, right_time: str, tie: str) -> DataFrame:
-    """Each left row with the right row of its entity that is nearest in time; earlier, then smaller, wins ties."""
-    apart = F.abs(F.timestamp_diff("MICROSECOND", F.col(left_time), F.col(right_time)))
-    out = left.join(right, keys).withColumn("apart_us", apart)
-    return out.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, left_id).orderBy("apart_us", right_time, tie))).where("__r = 1").drop("__r")
+    """Each left row with the right row of its entity that is nearest in time; earlier, then smaller, wins ties.
+
+    Both sides are sorted together once; a left row's nearest is the last right row before it or the first after
+    it, so work grows with the rows, not with their pairs.  ``right`` brings its keys, time and tie only.
+    """
+    a = left.select(*keys, F.col(left_time).alias("t"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("own"), F.struct(*left.columns).alias("row"))
+    b = right.select(*keys, F.col(right_time).alias("t"), F.lit(0).alias("side"), F.col(tie).cast("long").alias("own"), F.lit(None).cast(a.schema["row"].dataType).alias("row"))
+    rows = a.unionByName(b).withColumn("hit", F.when(F.col("side") == 0, F.struct("t", "own")))
+    back = Window.partitionBy(*keys).orderBy("t", "side", F.desc("own")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*keys).orderBy("t", F.desc("side"), "own").rowsBetween(1, Window.unboundedFollowing)
+    found = rows.select("*", F.last("hit", ignorenulls=True).over(back).alias("before"), F.first("hit", ignorenulls=True).over(ahead).alias("after")).where("side = 1")
+    apart = lambda h: F.abs(F.timestamp_diff("MICROSECOND", F.col("t"), F.col(h)["t"]))
+    choice = lambda h: F.when(F.col(h).isNotNull(), F.struct(apart(h).alias("apart_us"), F.col(h)["t"].alias("t"), F.col(h)["own"].alias("own")))
+    found = found.withColumn("best", F.least(choice("before"), choice("after"))).where("best IS NOT NULL")
+    return found.select("row.*", F.col("best.t").alias(right_time), F.col("best.own").alias(tie), F.col("best.apart_us").alias("apart_us"))
 
 
 def truncate_at(points: DataFrame, first_times: DataFrame, key: str = "sid", time: str = "iso_time", limit: str = "first_time") -> DataFrame:

@@ -86,19 +86,23 @@ def turning_points(df: DataFrame, min_points: int = 6, ahead: int = 4, min_hours
 
 
 def min_separation(df: DataFrame, hours_apart: float = 12.0, keys: tuple[str, ...] = ("sid",)) -> DataFrame:
-    """Keep an event only if it is far enough from the last one kept: a fold over each entity's sorted events.
+    """Keep an event only if it is far enough from the last one kept.
 
-    An entity's events travel as one array; they are one life of one object, not the table.
+    An event after a gap of that length is kept in any case, so the fold over sorted events starts anew there:
+    only a run of events without such a gap travels as one array.
     """
     gap = int(hours_apart * 3.6e9)
     stamp = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("iso_time"))
-    times = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(stamp.alias("t"), "event_id"))).alias("e"))
+    w = Window.partitionBy(*keys).orderBy("t", "event_id")
+    times = df.select(*keys, stamp.alias("t"), "event_id").withColumn("fresh", (F.col("t") - F.lag("t").over(w) >= gap).cast("int"))
+    times = times.withColumn("run", F.sum(F.coalesce("fresh", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = times.groupBy(*keys, "run").agg(F.array_sort(F.collect_list(F.struct("t", "event_id"))).alias("e"))
     empty = F.array().cast("array<struct<t:bigint,event_id:bigint>>")
 
     def step(kept: Column, e: Column) -> Column:
         return F.when((F.size(kept) == 0) | (e["t"] - F.element_at(kept, -1)["t"] >= gap), F.concat(kept, F.array(e))).otherwise(kept)
 
-    kept = times.select(*keys, F.explode(F.aggregate("e", empty, step)).alias("e"))
+    kept = runs.select(*keys, F.explode(F.aggregate("e", empty, step)).alias("e"))
     return df.join(kept.select(*keys, F.col("e.event_id").alias("event_id")), [*keys, "event_id"], "left_semi")
 
 

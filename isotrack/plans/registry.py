@@ -224,7 +224,7 @@ def north_share(spark, d):
 @query("leave_one_coast_out", f"WITH {PTS}, c AS (SELECT *, {COAST} AS coast FROM pts), k AS (SELECT DISTINCT coast AS excluded FROM c) SELECT excluded, round(avg(lat), 6) AS mean, count(*) AS n FROM c JOIN k ON coast <> excluded GROUP BY excluded")
 def leave_one_coast_out(spark, d):
     p = coast_points(spark, d)
-    return r6(annual.leave_one_out(p, p.select("coast").distinct(), "coast", "lat"), "mean")
+    return r6(annual.leave_one_out(p, None, "coast", "lat"), "mean")
 
 
 @query("year_weights", f"WITH {PTS}, {CELLS}, o AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY sid) AS w FROM cells), m AS (SELECT season, cell_id, sum(w) AS w FROM o GROUP BY ALL) SELECT season, cell_id, round(w / sum(w) OVER (PARTITION BY season), 9) AS weight, round(sum(w) OVER (PARTITION BY season), 6) AS effective FROM m")
@@ -278,11 +278,11 @@ def paired_contrast(spark, d):
     return r6(joins.paired_contrast(m, ["season"], "agency", "USA", "CMA", "v").select("season", "shift"), "shift")
 
 
-@query("nearest_cell", f"WITH {PTS}, c AS (SELECT event_id AS cell_id, lat AS clat, lon AS clon FROM pts WHERE event_id % 5 = 0), q AS (SELECT event_id, lat, lon FROM pts WHERE event_id % 5 = 1), j AS (SELECT event_id, cell_id, {dist('lat', 'lon', 'clat', 'clon')} AS km FROM q JOIN c ON abs(lat - clat) < 1 AND abs(lon - clon) < 1.5) SELECT event_id, cell_id, round(km, 5) AS match_km FROM j WHERE km <= 75 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY km, cell_id) = 1")
+@query("nearest_cell", f"WITH {PTS}, c AS (SELECT event_id AS cell_id, lat AS clat, lon AS clon FROM pts), j AS (SELECT event_id, cell_id, {dist('lat', 'lon', 'clat', 'clon')} AS km FROM pts JOIN c ON abs(lat - clat) < 1 AND abs(lon - clon) < 1.5 AND event_id <> cell_id) SELECT event_id, cell_id, round(km, 5) AS match_km FROM j WHERE km <= 75 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY km, cell_id) = 1")
 def nearest_cell(spark, d):
     p = points(spark, d)
-    cells = p.where("event_id % 5 = 0").select(F.col("event_id").alias("cell_id"), F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"))
-    out = joins.nearest_cell_join(p.where("event_id % 5 = 1").select("event_id", "lat", "lon"), cells, "event_id", 75.0, 1.0)
+    cells = p.select(F.col("event_id").alias("cell_id"), F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"))
+    out = joins.nearest_cell_join(p.select("event_id", "lat", "lon"), cells, "event_id", 75.0, 1.0, itself=False)
     return out.select("event_id", "cell_id", F.round("match_km", 5).alias("match_km"))
 
 
@@ -364,12 +364,13 @@ def ar1(spark, d):
     return r6(inference.ar1(m, "season", "v", ["agency"]), "ar1")
 
 
-BLOCKS = "yrs AS (SELECT DISTINCT season FROM pts WHERE season NOT BETWEEN 11 AND 13), isl AS (SELECT season, season - row_number() OVER (ORDER BY season) AS island FROM yrs), prt AS (SELECT *, floor((row_number() OVER (PARTITION BY island ORDER BY season) - 1) / 3) AS part FROM isl), blk AS (SELECT season, dense_rank() OVER (ORDER BY island, part) - 1 AS block FROM prt)"
-PLACES = "plc AS (SELECT rep, season, row_number() OVER (PARTITION BY rep ORDER BY CASE WHEN rep = 0 THEN lpad(block::VARCHAR, 8, '0') ELSE md5('11_' || rep || '_' || block) END, block, season) - 1 AS position FROM (SELECT unnest(range(200)) AS rep), blk)"
+SHUFFLES = 999
+BLOCKS = "yrs AS (SELECT DISTINCT season FROM pts), isl AS (SELECT season, season - row_number() OVER (ORDER BY season) AS island FROM yrs), prt AS (SELECT *, floor((row_number() OVER (PARTITION BY island ORDER BY season) - 1) / 3) AS part FROM isl), blk AS (SELECT season, dense_rank() OVER (ORDER BY island, part) - 1 AS block FROM prt)"
+PLACES = "plc AS (SELECT rep, season, row_number() OVER (PARTITION BY rep ORDER BY CASE WHEN rep = 0 THEN lpad(block::VARCHAR, 8, '0') ELSE md5('11_' || rep || '_' || block) END, block, season) - 1 AS position FROM (SELECT unnest(range(%d)) AS rep), blk)" % (SHUFFLES + 1)
 
 
 def blocks_of(spark, d):
-    return tracks.year_blocks(seasons(spark, d).where("season NOT BETWEEN 11 AND 13"), 3)
+    return tracks.year_blocks(seasons(spark, d), 3)
 
 
 @query("year_blocks", f"WITH {PTS}, {BLOCKS} SELECT season, block FROM blk")
@@ -377,14 +378,14 @@ def year_blocks(spark, d):
     return blocks_of(spark, d)
 
 
-@query("permutation_difference", f"WITH {PTS}, {DAILY}, {BLOCKS}, {PLACES}, r AS (SELECT rep, avg(lat) FILTER (position >= 14) - avg(lat) FILTER (position < 14) AS d FROM plc JOIN daily USING (season) GROUP BY rep), o AS (SELECT d AS observed FROM r WHERE rep = 0) SELECT round(max(observed), 6) AS difference, round((sum((round(abs(d), 9) >= round(abs(observed), 9))::INT) + 1) / 200.0::DOUBLE, 6) AS p_value FROM r, o WHERE rep > 0")
+@query("permutation_difference", f"WITH {PTS}, {DAILY}, {BLOCKS}, {PLACES}, r AS (SELECT rep, avg(lat) FILTER (position >= 15) - avg(lat) FILTER (position < 15) AS d FROM plc JOIN daily USING (season) GROUP BY rep), o AS (SELECT d AS observed FROM r WHERE rep = 0) SELECT round(max(observed), 6) AS difference, round((sum((round(abs(d), 9) >= round(abs(observed), 9))::INT) + 1) / {SHUFFLES + 1}.0::DOUBLE, 6) AS p_value FROM r, o WHERE rep > 0")
 def permutation_difference(spark, d):
-    return r6(inference.permutation_difference(daily(spark, d), blocks_of(spark, d), 14, 199, 11, "lat"), "difference", "p_value")
+    return r6(inference.permutation_difference(daily(spark, d), blocks_of(spark, d), 15, SHUFFLES, 11, "lat"), "difference", "p_value")
 
 
-@query("permutation_tv", f"WITH {PTS}, {SHARES}, {BLOCKS}, {PLACES}, n AS (SELECT count(*) AS n FROM blk), c AS (SELECT rep, cell_id, sum(CASE WHEN position >= 14 THEN share ELSE 0 END) / any_value(n - 14) - sum(CASE WHEN position < 14 THEN share ELSE 0 END) / 14 AS d FROM plc JOIN shares USING (season), n GROUP BY rep, cell_id), t AS (SELECT rep, 0.5 * sum(abs(d)) AS tv FROM c GROUP BY rep), o AS (SELECT tv AS observed FROM t WHERE rep = 0) SELECT round(max(observed), 6) AS tv, round((sum((round(tv, 9) >= round(observed, 9))::INT) + 1) / 200.0::DOUBLE, 6) AS p_value FROM t, o WHERE rep > 0")
+@query("permutation_tv", f"WITH {PTS}, {SHARES}, {BLOCKS}, {PLACES}, n AS (SELECT count(*) AS n FROM blk), c AS (SELECT rep, cell_id, sum(CASE WHEN position >= 15 THEN share ELSE 0 END) / any_value(n - 15) - sum(CASE WHEN position < 15 THEN share ELSE 0 END) / 15 AS d FROM plc JOIN shares USING (season), n GROUP BY rep, cell_id), t AS (SELECT rep, 0.5 * sum(abs(d)) AS tv FROM c GROUP BY rep), o AS (SELECT tv AS observed FROM t WHERE rep = 0) SELECT round(max(observed), 6) AS tv, round((sum((round(tv, 9) >= round(observed, 9))::INT) + 1) / {SHUFFLES + 1}.0::DOUBLE, 6) AS p_value FROM t, o WHERE rep > 0")
 def permutation_tv(spark, d):
-    return r6(inference.permutation_tv(density.composition(points(spark, d)), blocks_of(spark, d), 14, 199, 11), "tv", "p_value")
+    return r6(inference.permutation_tv(density.composition(points(spark, d)), blocks_of(spark, d), 15, SHUFFLES, 11), "tv", "p_value")
 
 
 @query("ols_simple", f"WITH {PTS} SELECT 'const' AS term, round(regr_intercept(wind, lat), 4) AS coef FROM pts UNION ALL SELECT 'lat', round(regr_slope(wind, lat), 4) FROM pts")
@@ -392,16 +393,16 @@ def ols_simple(spark, d):
     return inference.ols(points(spark, d), "wind", ["lat"]).withColumn("coef", F.round("coef", 4))
 
 
-@query("robust_z", f"WITH {PTS}, {DAILY}, m AS (SELECT median(wind) AS m FROM daily), s AS (SELECT median(abs(wind - m)) * 1.4826 AS s FROM daily, m) SELECT season, round((wind - m) / nullif(s, 0), 6) AS z FROM daily, m, s")
+@query("robust_z", f"WITH {PTS}, {DAILY}, m AS (SELECT median(wind) AS m FROM daily), s AS (SELECT median(abs(wind - m)) * 1.4826 AS s FROM daily, m) SELECT season, CASE WHEN s = 0 THEN CASE WHEN wind = m THEN 0.0 ELSE 'inf'::DOUBLE END ELSE round((wind - m) / s, 6) END AS z FROM daily, m, s")
 def robust_z(spark, d):
     return r6(inference.robust_z(daily(spark, d), "wind").select("season", "z"), "z")
 
 
-FIELD = f"{PTS}, fld AS (SELECT season, 2.5::DOUBLE + 5 * floor(lat / 5) AS lat, 102.5::DOUBLE + 5 * floor((lon - 100) / 5) AS lon, avg(wind) - 60 AS v FROM pts WHERE season <= 5 AND lat < 40 AND lon < 180 GROUP BY ALL)"
+FIELD = f"{PTS}, fld AS (SELECT season, 2.5::DOUBLE + 5 * floor(lat / 5) AS lat, 102.5::DOUBLE + 5 * floor((lon - 100) / 5) AS lon, avg(wind) - 60 AS v FROM pts WHERE lat < 40 AND lon < 180 GROUP BY ALL)"
 
 
-def field(spark, d, seasons="season <= 5"):
-    p = points(spark, d).where(f"{seasons} AND lat < 40 AND lon < 180")
+def field(spark, d):
+    p = points(spark, d).where("lat < 40 AND lon < 180")
     return p.groupBy("season", (F.lit(2.5) + 5 * F.floor(F.col("lat") / 5)).alias("lat"), (F.lit(102.5) + 5 * F.floor((F.col("lon") - 100) / 5)).alias("lon")).agg((F.avg("wind") - 60).alias("v"))
 
 
@@ -420,83 +421,17 @@ def ridge_latitude(spark, d):
     return r6(fields.ridge_latitude(field(spark, d), ["season"], "v"), "ridge_lat")
 
 
-@query("layer_mean", f"WITH {FIELD}, l AS (SELECT *, lead(v) OVER w AS v2, lead(lat) OVER w AS p2 FROM fld WINDOW w AS (PARTITION BY season, lon ORDER BY lat)) SELECT season, lon, round(sum((v + v2) / 2 * (p2 - lat)) / nullif(max(lat) - min(lat), 0), 6) AS layer_mean FROM l GROUP BY season, lon HAVING count(*) > 1")
+@query("layer_mean", f"WITH {FIELD}, l AS (SELECT *, lead(v) OVER w AS v2, lead(lat) OVER w AS p2 FROM fld WINDOW w AS (PARTITION BY season, lon ORDER BY lat)) SELECT season, lon, round(sum((v + v2) / 2 * (p2 - lat)) / nullif(max(lat) - min(lat), 0), 6) AS layer_mean FROM l GROUP BY season, lon")
 def layer_mean(spark, d):
-    f = field(spark, d)
-    several = f.groupBy("season", "lon").count().where("count > 1")
-    return r6(fields.layer_mean(f.join(several, ["season", "lon"], "left_semi"), ["season", "lon"], "lat", "v"), "layer_mean")
+    return r6(fields.layer_mean(field(spark, d), ["season", "lon"], "lat", "v"), "layer_mean")
 
 
-@query("composite_difference", f"WITH {FIELD} SELECT lat, lon, round(avg(v) FILTER (season = 1) - avg(v) FILTER (season = 2), 6) AS difference FROM fld GROUP BY lat, lon")
+@query("composite_difference", f"WITH {FIELD} SELECT lat, lon, round(avg(v) FILTER (season > 15) - avg(v) FILTER (season <= 15), 6) AS difference FROM fld GROUP BY lat, lon")
 def composite_difference(spark, d):
-    f = field(spark, d).withColumn("label", F.col("season").cast("string"))
-    return r6(fields.composite_difference(f, ["lat", "lon"], "v", "label", "1", "2"), "difference")
-
-
-# The same over whole tables: all seasons, and every point against every other.
-FIELD_ALL = FIELD.replace("season <= 5 AND ", "")
-BLOCKS_ALL = BLOCKS.replace(" WHERE season NOT BETWEEN 11 AND 13", "")
-
-
-def field_all(spark, d):
-    return field(spark, d, "true")
-
-
-def blocks_all(spark, d):
-    return tracks.year_blocks(seasons(spark, d), 3)
-
-
-@query("field_weighted_mean_all", ORACLE["field_weighted_mean"].replace(FIELD, FIELD_ALL))
-def field_weighted_mean_all(spark, d):
-    return r6(fields.weighted_mean(field_all(spark, d), ["season"], "v"), "mean")
-
-
-@query("field_above_contour_all", ORACLE["field_above_contour"].replace(FIELD, FIELD_ALL))
-def field_above_contour_all(spark, d):
-    return r6(fields.above_contour(field_all(spark, d), ["season"], "v", 10.0, 5.0, 5.0, 5.0), "intensity").withColumn("area_km2", F.round("area_km2", 3))
-
-
-@query("ridge_latitude_all", ORACLE["ridge_latitude"].replace(FIELD, FIELD_ALL))
-def ridge_latitude_all(spark, d):
-    return r6(fields.ridge_latitude(field_all(spark, d), ["season"], "v"), "ridge_lat")
-
-
-@query("layer_mean_all", ORACLE["layer_mean"].replace(FIELD, FIELD_ALL))
-def layer_mean_all(spark, d):
-    f = field_all(spark, d)
-    several = f.groupBy("season", "lon").count().where("count > 1")
-    return r6(fields.layer_mean(f.join(several, ["season", "lon"], "left_semi"), ["season", "lon"], "lat", "v"), "layer_mean")
-
-
-@query("composite_difference_all", f"WITH {FIELD_ALL} SELECT lat, lon, round(avg(v) FILTER (season > 15) - avg(v) FILTER (season <= 15), 6) AS difference FROM fld GROUP BY lat, lon")
-def composite_difference_all(spark, d):
-    f = field_all(spark, d).withColumn("label", F.when(F.col("season") > 15, "late").otherwise("early"))
+    f = field(spark, d).withColumn("label", F.when(F.col("season") > 15, "late").otherwise("early"))
     return r6(fields.composite_difference(f, ["lat", "lon"], "v", "label", "late", "early"), "difference")
 
 
-@query("nearest_cell_all", f"WITH {PTS}, c AS (SELECT event_id AS cell_id, lat AS clat, lon AS clon FROM pts), j AS (SELECT event_id, cell_id, {dist('lat', 'lon', 'clat', 'clon')} AS km FROM pts JOIN c ON abs(lat - clat) < 1 AND abs(lon - clon) < 1.5 AND event_id <> cell_id) SELECT event_id, cell_id, round(km, 5) AS match_km FROM j WHERE km <= 75 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY km, cell_id) = 1")
-def nearest_cell_all(spark, d):
-    p = points(spark, d)
-    cells = p.select(F.col("event_id").alias("cell_id"), F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"))
-    out = joins.nearest_cell_join(p.select("event_id", "lat", "lon"), cells, "event_id", 75.0, 1.0, itself=False)
-    return out.select("event_id", "cell_id", F.round("match_km", 5).alias("match_km"))
-
-
-@query("year_blocks_all", f"WITH {PTS}, {BLOCKS_ALL} SELECT season, block FROM blk")
-def year_blocks_all(spark, d):
-    return blocks_all(spark, d)
-
-
-@query("permutation_difference_all", ORACLE["permutation_difference"].replace(BLOCKS, BLOCKS_ALL).replace("position >= 14", "position >= 15").replace("position < 14", "position < 15"))
-def permutation_difference_all(spark, d):
-    return r6(inference.permutation_difference(daily(spark, d), blocks_all(spark, d), 15, 199, 11, "lat"), "difference", "p_value")
-
-
-@query("permutation_tv_all", ORACLE["permutation_tv"].replace(BLOCKS, BLOCKS_ALL).replace("position >= 14", "position >= 15").replace("position < 14", "position < 15").replace("any_value(n - 14)", "any_value(n - 15)").replace("/ 14 AS d", "/ 15 AS d"))
-def permutation_tv_all(spark, d):
-    return r6(inference.permutation_tv(density.composition(points(spark, d)), blocks_all(spark, d), 15, 199, 11), "tv", "p_value")
-
-
 @query("pivot_counts", f"WITH {PTS} SELECT season, count(*) FILTER (agency = 'USA') AS usa, count(*) FILTER (agency = 'TOKYO') AS tokyo, count(*) FILTER (agency = 'CMA') AS cma FROM pts GROUP BY season")
 def pivot_counts(spark, d):
     p = points(spark, d).groupBy("season").pivot("agency", list(AGENCIES)).count().na.fill(0)
@@ -514,15 +449,16 @@ def rank_remap(spark, d):
     return r6(tracks.rank_remap(n.where("agency = 'USA'"), n.where("agency = 'CMA'"), "v"), "remapped")
 
 
-@query("shapley", f"""WITH {PTS}, {CELLS}, b AS (SELECT *, floor(min(lat) OVER (PARTITION BY sid, season) / 10)::BIGINT AS bin, CASE WHEN season <= 15 THEN 'e' ELSE 'l' END AS p FROM cells),
-k AS (SELECT bin, count(DISTINCT (sid, season)) FILTER (p = 'e') AS ne, count(DISTINCT (sid, season)) FILTER (p = 'l') AS nl FROM b GROUP BY bin HAVING ne >= 3 AND nl >= 3),
-g AS (SELECT bin, ne / sum(ne) OVER ()::DOUBLE AS ge, nl / sum(nl) OVER ()::DOUBLE AS gl FROM k), c AS (SELECT bin, cell_id, count(*) FILTER (p = 'e') AS ce, count(*) FILTER (p = 'l') AS cl FROM b JOIN g USING (bin) GROUP BY bin, cell_id),
-s AS (SELECT c.bin, cell_id, ge, gl, ce / sum(ce) OVER (PARTITION BY c.bin)::DOUBLE AS se, cl / sum(cl) OVER (PARTITION BY c.bin)::DOUBLE AS sl FROM c JOIN g USING (bin))
-SELECT cell_id, round(sum((gl - ge) * (se + sl) / 2), 9) + 0 AS genesis, round(sum((ge + gl) / 2 * (sl - se)), 9) + 0 AS propagation, round(sum(gl * sl - ge * se), 9) + 0 AS change FROM s GROUP BY cell_id""")
+@query("shapley", f"""WITH {PTS}, {CELLS}, e AS (SELECT sid, season, arg_min(floor(lat / 10)::BIGINT, (iso_time, event_id)) AS bin, count(*) AS n FROM cells GROUP BY ALL),
+y AS (SELECT season, count(*) AS ny FROM e GROUP BY season), k AS (SELECT count(*) FILTER (season <= 15) AS ye, count(*) FILTER (season > 15) AS yl FROM y),
+w AS (SELECT e.*, CASE WHEN e.season <= 15 THEN 'e' ELSE 'l' END AS p, 1.0::DOUBLE / (CASE WHEN e.season <= 15 THEN ye ELSE yl END * ny) AS w FROM e JOIN y ON e.season = y.season, k),
+b AS (SELECT bin, sum(w) FILTER (p = 'e') AS we, sum(w) FILTER (p = 'l') AS wl FROM w GROUP BY bin HAVING count(*) FILTER (p = 'e') >= 3 AND count(*) FILTER (p = 'l') >= 3),
+g AS (SELECT bin, we, wl, we / sum(we) OVER () AS ge, wl / sum(wl) OVER () AS gl FROM b),
+c AS (SELECT g.bin, x.cell_id, any_value(ge) AS ge, any_value(gl) AS gl, coalesce(sum(w.w / w.n) FILTER (p = 'e'), 0) / any_value(we) AS se, coalesce(sum(w.w / w.n) FILTER (p = 'l'), 0) / any_value(wl) AS sl FROM w JOIN g USING (bin) JOIN cells x ON x.sid = w.sid AND x.season = w.season GROUP BY g.bin, x.cell_id)
+SELECT cell_id, round(sum((gl - ge) * (se + sl) / 2), 9) + 0 AS genesis, round(sum((ge + gl) / 2 * (sl - se)), 9) + 0 AS propagation, round(sum(gl * sl - ge * se), 9) + 0 AS change FROM c GROUP BY cell_id""")
 def shapley(spark, d):
-    p = density.with_cell(points(spark, d))
-    p = p.withColumn("bin", F.floor(F.min("lat").over(Window.partitionBy("sid", "season")) / 10))
-    return contrast.shapley(p, EARLY, LATE).select("cell_id", *[(F.round(c, 9) + 0.0).alias(c) for c in ("genesis", "propagation", "change")])
+    p = density.with_cell(points(spark, d)).withColumn("start", F.floor(F.col("lat") / 10))
+    return contrast.shapley(p, EARLY, LATE, "start").select("cell_id", *[(F.round(c, 9) + 0.0).alias(c) for c in ("genesis", "propagation", "change")])
 
 
 @query("block_bootstrap", f"WITH {PTS}, {DAILY}, own AS (SELECT CASE WHEN season <= 15 THEN 'e' ELSE 'l' END AS period, lat, season FROM daily), o AS (SELECT period, lat, row_number() OVER (PARTITION BY period ORDER BY season) - 1 AS i, count(*) OVER (PARTITION BY period) AS n FROM own), dr AS (SELECT rep, k, period, n, ((('0x' || substr(md5('5_' || period || '_' || rep || '_' || (k // 3)), 1, 8))::BIGINT + k % 3) % n) AS i FROM (SELECT unnest(range(200)) AS rep), (SELECT unnest(range(15)) AS k), (SELECT DISTINCT period, n FROM o)), m AS (SELECT rep, avg(lat) FILTER (dr.period = 'l') - avg(lat) FILTER (dr.period = 'e') AS d FROM dr JOIN o ON o.period = dr.period AND o.i = dr.i GROUP BY rep) SELECT round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM m")

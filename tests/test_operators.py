@@ -121,3 +121,86 @@ def test_hac_of_an_exact_line(spark):
     rows = [("a", t, float(t % 5), 2.0 + 3.0 * (t % 5)) for t in range(30)]
     out = {r["term"]: r for r in models.hac_regression(spark.createDataFrame(rows, "k string, t int, x double, y double"), ["k"], "t", "y", ["x"]).collect()}
     assert out["x"]["coef"] == pytest.approx(3) and out["x"]["se"] == pytest.approx(0, abs=1e-8)
+
+
+def test_student_tail():
+    from isotrack.operators.inference import student_p
+
+    for t, df, p in ((2.228139, 10, 0.05), (12.7062, 1, 0.05), (1.959964, 1e6, 0.05), (0.0, 5, 1.0), (-3.169273, 10, 0.01)):
+        assert abs(student_p(t, df) - p) < 1e-5
+
+
+def test_robust_z_without_spread(spark):
+    from isotrack.operators.inference import robust_z
+
+    same = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 5.0), (4, 7.0)], "season int, y double")
+    assert {r.season: r.z for r in robust_z(same, "y").collect()} == {1: 0.0, 2: 0.0, 3: 0.0, 4: float("inf")}
+    some = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0)], "season int, y double")
+    assert {r.season: r.z for r in robust_z(some, "y").collect()}[2] == 0
+
+
+def test_shapley_closes_and_weighs_years_alike(spark):
+    import random
+
+    from isotrack.operators.contrast import shapley
+
+    rng = random.Random(3)
+    rows = [(sid, 1 + sid % 30, f"2024-01-01 {h:02}:00:00", h, rng.randint(0, 1), rng.randint(0, 7)) for sid in range(360) for h in range(rng.randint(1, 6))]
+    frame = spark.createDataFrame(rows, "sid int, season int, iso_time string, event_id int, start int, cell_id int")
+    got = shapley(frame, (1, 15), (16, 30), "start", least=1).collect()
+    assert all(abs(r.genesis + r.propagation - r.change) < 1e-12 for r in got)
+    assert abs(sum(r.change for r in got)) < 1e-12 and len(got) == 8
+    year = {(sid, s): b for sid, s, _, h, b, _ in rows if h == 0}
+    field = {}
+    for late in (False, True):
+        seasons = [s for s in range(1, 31) if (s > 15) == late]
+        for s in seasons:
+            own = [sid for sid, y in year if y == s]
+            for sid in own:
+                cells = [c for i, _, _, _, _, c in rows if i == sid]
+                for c in cells:
+                    field[late, c] = field.get((late, c), 0) + 1 / (len(seasons) * len(own) * len(cells))
+    assert all(abs(r.change - field.get((True, r.cell_id), 0) + field.get((False, r.cell_id), 0)) < 1e-12 for r in got)
+
+
+def test_native_stage_and_missing_values(spark):
+    from pyspark.sql import functions as F
+
+    from isotrack.operators import relational as rel
+
+    rows = [("USA", 34.0, None, None, True), ("USA", 34.0, " et ", None, False), ("USA", 33.0, "TS", None, False), ("TOKYO", None, None, 9, True), ("TOKYO", 99.0, None, None, False), ("CMA", 1.0, None, 6, True), ("CMA", 1.0, None, 9, False), ("X", 99.0, "TS", 5, False)]
+    frame = spark.createDataFrame(rows, "agency string, wind double, status string, grade int, want boolean")
+    got = frame.select(rel.native_stage(F.col("agency"), F.col("wind"), F.col("status"), F.col("grade")).alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got)
+
+
+def test_rasters_at_their_edges(spark):
+    from isotrack.operators import relational as rel
+
+    raster = spark.createDataFrame([(r, c, (r + c) % 2 == 0) for r in range(2) for c in range(3)], "row int, col int, land boolean")
+    at = [(0, 100.0, 30.0), (1, 99.5, 30.5), (2, 115.0, 20.0), (3, 98.9, 29.0), (4, 115.1, 25.0)]
+    frame = spark.createDataFrame(at, "id int, lon double, lat double")
+    state = {r.id: r.land for r in rel.raster_state(frame, raster, 100.0, 30.0, 5.0).collect()}
+    assert state == {0: True, 1: True, 2: None, 3: True, 4: None}
+    kind = {r.id: r.state for r in rel.raster_class(frame, raster, 100.0, 30.0, 5.0, 2, 3).collect()}
+    assert kind == {0: 1, 1: -1, 2: 0, 3: -1, 4: -1}
+
+
+def test_entries_into_a_square(spark):
+    from isotrack.operators.spatial import edge_crossings, first_entries
+
+    square = [(0, 10.0, 10.0, 20.0, 10.0), (1, 20.0, 10.0, 20.0, 20.0), (2, 20.0, 20.0, 10.0, 20.0), (3, 10.0, 20.0, 10.0, 10.0)]
+    edges = spark.createDataFrame(square, "edge_id int, x1 double, y1 double, x2 double, y2 double")
+    segs = [(1, 1, 15.0, 5.0, 15.0, 15.0), (1, 2, 15.0, 15.0, 15.0, 25.0), (1, 3, 5.0, 5.0, 15.0, 15.0), (1, 4, 15.0, 5.0, 15.0, 25.0), (1, 5, 1.0, 1.0, 2.0, 2.0)]
+    frame = spark.createDataFrame(segs, "sid int, event_id int, lat double, lon double, lat2 double, lon2 double")
+    got = {r.event_id: (r.lat, r.lon) for r in first_entries(edge_crossings(frame, edges)).collect()}
+    assert got == {1: (15.0, 10.0), 3: (10.0, 10.0), 4: (15.0, 10.0)}
+
+
+def test_separation_starts_anew_after_gaps(spark):
+    from isotrack.operators.tracks import min_separation
+
+    at = [0, 5, 11, 12, 20, 24, 50, 55, 62, 63]
+    rows = [(1, i, h) for i, h in enumerate(at)]
+    frame = spark.createDataFrame(rows, "sid int, event_id int, h int").selectExpr("sid", "event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, h) AS iso_time")
+    assert {at[r.event_id] for r in min_separation(frame).collect()} == {0, 12, 24, 50, 62}

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from isotrack.plans.registry import ORACLE, QUERIES
+from isotrack.plans.catalog import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -22,7 +22,7 @@ def db():
 
 
 def tidy(rows):
-    return sorted((tuple(float(f"{v:.7g}") if isinstance(v, float) else v for v in r) for r in rows), key=str)
+    return sorted((tuple(float(f"{v:.7g}") + 0.0 if isinstance(v, float) else v for v in r) for r in rows), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -45,14 +45,14 @@ def test_registries_agree():
 
 
 def test_whole_tables_are_read(spark):
-    from isotrack.plans.registry import field_all, points
+    from isotrack.plans.registry import field, points
 
     seasons = {r.season for r in points(spark, DATA).select("season").distinct().collect()}
     assert len(seasons) > 27
-    assert {r.season for r in field_all(spark, DATA).select("season").distinct().collect()} == seasons
-    assert {r.season for r in QUERIES["year_blocks_all"](spark, DATA).collect()} == seasons
-    assert QUERIES["field_weighted_mean_all"](spark, DATA).count() == len(seasons)
-    pairs = QUERIES["nearest_cell_all"](spark, DATA).collect()
+    assert {r.season for r in field(spark, DATA).select("season").distinct().collect()} == seasons
+    assert {r.season for r in QUERIES["year_blocks"](spark, DATA).collect()} == seasons
+    assert QUERIES["field_weighted_mean"](spark, DATA).count() == len(seasons)
+    pairs = QUERIES["nearest_cell"](spark, DATA).collect()
     assert {r.event_id % 5 for r in pairs} == {r.cell_id % 5 for r in pairs} == set(range(5))
     assert all(r.event_id != r.cell_id for r in pairs)
 
