@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+PARTITIONS, SPLIT = "spark.sql.shuffle.partitions", "spark.sql.adaptive.forceOptimizeSkewedJoin"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -38,6 +39,24 @@ def shuffles_end_with_their_query(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
+@contextmanager
+def partitions_for(df: DataFrame, rows: int = 100_000) -> Iterator[None]:
+    """Inside, shuffles have one partition for every ``rows`` rows of ``df``, but no fewer than there are cores and no
+    more than are set, and joins on a hot key are split even if that takes one shuffle more.
+
+    For loops over tables that are far smaller than the input, where starting tasks would take most of the time.
+    """
+    spark = df.sparkSession
+    before = {PARTITIONS: spark.conf.get(PARTITIONS), SPLIT: spark.conf.get(SPLIT)}
+    spark.conf.set(PARTITIONS, min(int(before[PARTITIONS]), max(spark.sparkContext.defaultParallelism, -(-df.count() // rows))))
+    spark.conf.set(SPLIT, "true")
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back.
 
@@ -104,7 +123,11 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     shuffles of the edge list and ends in a table of the shared folder.
     Neighbour labels are reduced before the shuffle, so hubs stay spread out.
     """
-    both = edges.select(F.col(left).alias("src"), F.col(right).alias("dst"))
+    with partitions_for(edges):
+        return _components(edges.select(F.col(left).alias("src"), F.col(right).alias("dst")))
+
+
+def _components(both: DataFrame) -> DataFrame:
     both = both.union(both.select("dst", "src"))
     labels = stage(both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("component")).select(F.col("src").alias("id"), "component"), "labels0")
     while True:

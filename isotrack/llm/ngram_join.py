@@ -51,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, stage
+from .common import connected_components, discard, partitions_for, stage
 from .kernels import U, distinct, mix, signed, slices, window_hashes, word_digests
 
 NO_ID = -(2**63)
@@ -59,6 +59,7 @@ BAND = 1.3
 PIVOTS = 2048  # pivots of a key in later rounds
 SPREAD = 8  # parts that the pairs of one pivot are dealt to
 SALT = 8192  # members of a key in one part
+SETS_EACH = 1000  # pairs whose sets one partition compares
 SKETCH = 512  # bits of the short sketch of the whole set; the wide one has as many as the set has elements
 SCHEMES = ((1, 1, 6), (2, 2, 8), (20, 2, 6), (30, 1, 3), (float("inf"), 0, 1))  # (most elements apart, r, m)
 BLOCK_BITS = 256
@@ -275,9 +276,12 @@ def plausible(n_a: str, n_b: str, sketch_a: str, sketch_b: str, num: int, den: i
     half = lambda x, i: F.slice(x, F.lit(1) + i * F.floor(F.size(x) / 2).cast("int"), F.floor(F.size(x) / 2).cast("int"))
     fold = lambda x: F.zip_with(half(x, 0), half(x, 1), lambda u, v: u.bitwiseXOR(v))
     a, b = F.col(sketch_a), F.col(sketch_b)
-    for _ in range(math.ceil(math.log2(den / num)) + 1 if "wide" in sketch_a else 0):  # sizes that allow it differ no more
-        a, b = F.when(F.size(a) > F.size(b), fold(a)).otherwise(a), F.when(F.size(b) > F.size(a), fold(b)).otherwise(b)
-    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    if "wide" in sketch_a:
+        for _ in range(math.ceil(math.log2(den / num)) + 1):  # sizes that allow it differ no more
+            a, b = F.when(F.size(a) > F.size(b), fold(a)).otherwise(a), F.when(F.size(b) > F.size(a), fold(b)).otherwise(b)
+        apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    else:  # of a fixed number of words, whose terms Spark compiles
+        apart = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH // 64)), F.lit(0))
     return (F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num) & (apart * (den + num) <= (F.col(n_a) + F.col(n_b)) * (den - num))
 
 
@@ -292,6 +296,11 @@ def sketched(pairs: DataFrame, nodes: DataFrame, num: int, den: int, sketch: str
 def verify(near: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of ``near`` whose sets are similar."""
     near = stage(near.select("a", "b").distinct(), "near")  # few pairs: their sets alone are read again
+    with partitions_for(near, SETS_EACH):
+        return similar(near, docs, nodes, k, num, den)
+
+
+def similar(near: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     need = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     sets = stage(sets_of(docs, nodes.join(need, "node", "left_semi"), k), "sets")
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"shingles_{x}"))
