@@ -341,7 +341,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     edges = stage(edges.union(verify(between(near, labels), docs, nodes, k, num, den)), "edges")
     held = [member]
     while True:
-        labels = connected_components(edges).select(F.col("id").alias("node"), F.col("component").alias("label"))
+        components = connected_components(edges)
+        labels = components.select(F.col("id").alias("node"), F.col("component").alias("label"))
         rest = rest.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         split = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("least"), F.count("*").alias("members"))
         split = split.where("lo <> hi").select("key", "least", F.ceil(F.col("members") / PIVOTS).alias("every"), F.ceil(F.col("members") / SALT).cast("int").alias("parts"))
@@ -359,11 +360,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         near = sketched(stage(pairs.distinct(), "pairs"), nodes, num, den, "wide")
         edges = stage(edges.union(verify(near, docs, nodes, k, num, den)), "edges")
         rest = rest.where("not head").select("key", "node")
-        if rest.isEmpty():
-            break
     discard(*held)
-    labels = connected_components(edges)
-    marks = nodes.select("node", "doc_id", "n", "f1", "f2").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    marks = nodes.select("node", "doc_id", "n", "f1", "f2").join(components.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = marks.groupBy("component").agg(F.min("doc_id").alias("least"))
     found = stage(marks.join(least, "component").select("n", "f1", "f2", "least"), "found")
     component = F.nullif(F.coalesce("least", "doc_id"), F.lit(NO_ID))
