@@ -222,9 +222,9 @@ def robust_z(df: DataFrame, y: str) -> DataFrame:
 
 
 def fuzzy_membership(df: DataFrame, vector: str, centers: list[list[float]], m: float = 2.0) -> DataFrame:
-    """Membership of every row in fixed centers, as an array that sums to 1."""
+    """Membership of every row in fixed centers, as an array that sums to 1; all null where the vector or one of its components is null."""
     dist = F.array(*[F.sqrt(F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)) for c in centers])
-    df = df.withColumn("__d", F.transform(dist, lambda d: F.pow(F.greatest(d, F.lit(1e-12)), -2.0 / (m - 1.0))))
+    df = df.withColumn("__d", F.transform(dist, lambda d: F.when(d.isNotNull(), F.pow(F.greatest(d, F.lit(1e-12)), -2.0 / (m - 1.0)))))
     total = F.aggregate("__d", F.lit(0.0), lambda t, x: t + x)
     return df.withColumn("membership", F.transform("__d", lambda d: d / total)).drop("__d")
 

@@ -482,16 +482,25 @@ def wavelet_spectrum(spark, d):
     return models.wavelet_spectrum(m, ["agency"], "season", "v")
 
 
-@query("hac_regression")
+@query("hac_regression", f"""WITH {PTS}, m AS (SELECT agency, season, avg(lat) AS x, avg(wind) AS y FROM pts GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY agency ORDER BY season) AS k FROM m WHERE x IS NOT NULL AND y IS NOT NULL),
+ b AS (SELECT agency, count(*) AS c, sum(x) AS sx, sum(x * x) AS sxx, regr_sxx(y, x) * count(*) AS det, regr_intercept(y, x) AS b0, regr_slope(y, x) AS b1 FROM n GROUP BY agency),
+ g AS (SELECT agency, k, x, y - b0 - b1 * x AS e FROM n JOIN b USING (agency)),
+ s AS (SELECT u.agency, sum(w * u.e * v.e) AS s00, sum(w * u.e * v.e * v.x) AS s01, sum(w * u.e * v.e * u.x * v.x) AS s11 FROM g u JOIN g v ON u.agency = v.agency AND abs(u.k - v.k) <= 3, LATERAL (SELECT 1 - abs(u.k - v.k) / 4.0::DOUBLE AS w) GROUP BY u.agency)
+SELECT agency, 'const' AS term, round(b0, 4) AS coef, round(sqrt(greatest(sxx * sxx * s00 - 2 * sxx * sx * s01 + sx * sx * s11, 0)) / det, 4) AS se FROM b JOIN s USING (agency)
+UNION ALL SELECT agency, 'x', round(b1, 4), round(sqrt(greatest(sx * sx * s00 - 2 * sx * c * s01 + c * c * s11, 0)) / det, 4) FROM b JOIN s USING (agency)""")
 def hac_regression(spark, d):
-    m = points(spark, d).groupBy("agency", "season").agg(F.avg("lat").alias("lat"), F.avg("wind").alias("wind"))
-    return models.hac_regression(m, ["agency"], "season", "wind", ["lat"])
+    m = points(spark, d).groupBy("agency", "season").agg(F.avg("lat").alias("x"), F.avg("wind").alias("y"))
+    return models.hac_regression(m, ["agency"], "season", "y", ["x"]).withColumns({c: F.round(c, 4) for c in ("coef", "se")})
 
 
-@query("fuzzy_membership")
+CENTERS = [[0.1] * 64, [-0.1] * 64, [0.1, -0.1] * 32]
+
+
+@query("fuzzy_membership", f"""WITH x AS (SELECT vec_id, [{', '.join(f"list_sum(list_transform(list_zip(embedding, {c}::DOUBLE[]), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2])))" for c in CENTERS)}] AS d FROM (SELECT vec_id, CASE WHEN list_count(embedding) = len(embedding) THEN embedding END AS embedding FROM embeddings)),
+ w AS (SELECT vec_id, list_transform(d, lambda z: CASE WHEN z IS NOT NULL THEN 1 / greatest(z, 1e-24) END) AS w FROM x) SELECT vec_id, unnest(range(3))::INT AS center, round(unnest(w) / list_sum(w), 6) AS membership FROM w""")
 def fuzzy_membership(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return inference.fuzzy_membership(e, "v", [[0.1] * 64, [-0.1] * 64, [0.1, -0.1] * 32]).select("vec_id", "membership")
+    return r6(inference.fuzzy_membership(e, "v", CENTERS).select("vec_id", F.posexplode("membership").alias("center", "membership")), "membership")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -204,3 +204,10 @@ def test_separation_starts_anew_after_gaps(spark):
     rows = [(1, i, h) for i, h in enumerate(at)]
     frame = spark.createDataFrame(rows, "sid int, event_id int, h int").selectExpr("sid", "event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, h) AS iso_time")
     assert {at[r.event_id] for r in min_separation(frame).collect()} == {0, 12, 24, 50, 62}
+
+
+def test_fuzzy_membership_of_null_vectors_is_null(spark):
+    rows = [(1, [1.0, 1.0]), (2, None), (3, [None, 1.0])]
+    found = inference.fuzzy_membership(spark.createDataFrame(rows, "id int, v array<double>"), "v", [[1.0, 1.0], [4.0, 4.0]]).collect()
+    got = {r.id: r.membership for r in found}
+    assert got[1][0] == pytest.approx(1.0) and got[2] == got[3] == [None, None]
