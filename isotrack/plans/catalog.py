@@ -1,6 +1,6 @@
 """All named queries and their SQL."""
 
-from . import registry, relational, statistics, trends
+from . import registry, relational, resampled, statistics, trends
 from .registry import ORACLE, QUERIES, flagship
 
-__all__ = ["ORACLE", "QUERIES", "flagship", "registry", "relational", "statistics", "trends"]
+__all__ = ["ORACLE", "QUERIES", "flagship", "registry", "relational", "resampled", "statistics", "trends"]
