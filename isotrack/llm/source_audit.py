@@ -5,8 +5,8 @@ and clears what is no letter, so places where it turns to and from zero are the
 boundaries of terms.  xxhash groups the slices between them; every slice is then
 compared byte by byte with the first of its group, and those that differ form
 groups of their own.  Only counts leave a batch: one row a language, source and
-term, summed by Spark before and after the shuffle, so a hot source or term is
-as many rows as there are tasks.
+term, summed over a task's batches before the shuffle and by Spark behind it, so a
+hot source or term is as many rows as there are tasks.
 
 Terms in enough documents of a language are kept.  Their counts, dealt by term,
 are CSR matrices of source by term.  For a source, its shares, laid out over
@@ -36,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buffers import SLICE, gathered, runs, utf8
+from .buffers import gathered, runs, utf8
 from .common import stage
 
 MIN_DOCS, TOP = 3, 200
 UNIT = 1_000_000_000
+SLICE = 16_000_000  # bytes that are grouped at once
+HASHED, PENDING = 200_000, 2_000_000  # slices hashed in one go; rows of counts held before they are summed
 CELLS = 20_000  # of a matrix, on average; more where a language has more pairs of sources
 COUNTED = "lang string, source string, term binary, n long, docs long"
 PAIRED = "lang string, source string, item string, value long"
@@ -66,7 +68,9 @@ def grouped(folded: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[n
     from xxhash import xxh3_64_intdigest
 
     raw, lengths = folded.tobytes(), ends - begins
-    hashes = np.array([xxh3_64_intdigest(raw[a:b]) for a, b in zip(begins.tolist(), ends.tolist())], np.uint64)
+    hashes = np.empty(len(begins), np.uint64)
+    for k in range(0, len(begins), HASHED):
+        hashes[k : k + HASHED] = [xxh3_64_intdigest(raw[a:b]) for a, b in zip(begins[k : k + HASHED].tolist(), ends[k : k + HASHED].tolist())]
     which, distinct = pd.factorize(hashes)
     first = np.zeros(len(distinct), np.int64)
     first[which[::-1]] = np.arange(len(which))[::-1]
@@ -113,10 +117,30 @@ def pieces_of(body: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int]
         low = stop
 
 
+def summed(parts: list[pa.RecordBatch]) -> pa.Table:
+    table = pa.Table.from_batches(parts)
+    if len(parts) == 1:
+        return table
+    table = table.group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+    return table.rename_columns(["n" if c == "n_sum" else "docs" if c == "docs_sum" else c for c in table.column_names]).select(["lang", "source", "term", "n", "docs"])
+
+
 def count_terms(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents; a group's row of an empty term says that it occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: list[pa.RecordBatch] = []
+        for part in parts_of(batches):
+            pending.append(part)
+            if sum(p.num_rows for p in pending) > PENDING:
+                pending = summed(pending).to_batches()
+                if sum(p.num_rows for p in pending) > PENDING // 2:  # few repeats: holding more would not help
+                    yield from pending
+                    pending = []
+        if pending:
+            yield from summed(pending).to_batches()
+
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, places = utf8(batch["text"])
             names = pd.MultiIndex.from_arrays([batch["lang"].to_pylist(), batch["source"].to_pylist()])
@@ -148,7 +172,8 @@ def count_terms(docs: DataFrame) -> DataFrame:
 
     columns = [F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")]
     found = docs.select(*columns).mapInArrow(run, COUNTED)
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # dealt by what both this sum and the one over sources need, so that one shuffle serves both
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def shares(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -202,10 +227,11 @@ def pair_sums(cells: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value, rank): pairs of sources, and the terms that each has more often than its language."""
-    counts = stage(count_terms(docs), "counts")
     one = Window.partitionBy("lang", "term")  # as many rows as there are sources
-    cells = counts.where(F.length("term") > 0).select("*", *[F.sum(c).over(one).alias(f"all_{c}") for c in ("n", "docs")], F.row_number().over(one.orderBy("source")).alias("nth"))
-    cells = stage(cells.where(F.col("all_docs") >= min_docs).select("lang", "source", "term", "n", "all_n", (F.col("nth") == 1).cast("long").alias("new")), "cells")
+    counts = count_terms(docs).select("*", *[F.sum(c).over(one).alias(f"all_{c}") for c in ("n", "docs")], F.row_number().over(one.orderBy("source")).alias("nth"))
+    counts = counts.where((F.col("all_docs") >= min_docs) | (F.length("term") == 0))
+    counts = stage(counts.select("lang", "source", "term", "n", "all_n", (F.col("nth") == 1).cast("long").alias("new")), "counts")
+    cells = counts.where(F.length("term") > 0)
     sizes = cells.groupBy("lang").agg(F.sum("new").alias("terms"), F.sum("n").alias("lang_n"))
     per = cells.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
     groups = counts.where(F.length("term") == 0).select("lang", "source").join(per, ["lang", "source"], "left").join(sizes, "lang", "left").fillna(0, ["group_n", "terms", "lang_n"])
