@@ -14,8 +14,8 @@ text; byte lengths of tokens say which belong to which stretch, and a gather
 puts the ids of all texts together.  Byte places become code points by a running
 count of first bytes, so a token that begins or ends inside a character is told.
 
-Decoding reverses the byte table: tokens' bytes are gathered for a whole batch,
-and joined before anything is read as UTF-8, so split characters come out whole.
+Decoding reverses the byte table: a text's tokens are gathered as bytes, and joined
+before anything is read as UTF-8, so split characters come out whole.
 
 Defined results: null text is empty and has no tokens; strings of special tokens
 are ordinary text; an id that the table lacks is an error; null ids are none;
@@ -41,6 +41,7 @@ from .common import unused
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 JOINED = 50_000  # bytes of distinct stretches that are encoded as one text
+SPELLED = 500_000  # ids that are spelled out at once
 ENCODED = "ids binary, ends binary, n_split long"
 
 
@@ -76,7 +77,9 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str = PATTERN) -> str:
     name = lambda token: "".join(shown[b] for b in token)
     pairs = [last_pair(t, ranks) for t in sorted((t for t in ranks if len(t) > 1), key=ranks.__getitem__)]
     made = Tokenizer(models.BPE({name(t): r for t, r in ranks.items()}, [(name(a), name(b)) for a, b in filter(None, pairs)], ignore_merges=True))
-    made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    own = pattern == PATTERN  # the library's own pattern, which it matches and maps in one step
+    bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=own)
+    made.pre_tokenizer = bytewise if own else pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), bytewise])
     return made.to_str()
 
 
@@ -120,7 +123,8 @@ class Codec:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the n + 1 places where those of each begin and end."""
         body, places = utf8(texts)
-        cuts = np.unique(np.concatenate([places, cut_places(body)]))
+        cuts = np.sort(np.concatenate([places, cut_places(body)]), kind="stable")
+        cuts = cuts[np.concatenate([[True], cuts[1:] > cuts[:-1]])]
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for low, high in runs(cuts):
             raw, at = body[cuts[low] : cuts[high]].tobytes(), (cuts[low : high + 1] - cuts[low]).tolist()
@@ -183,21 +187,24 @@ def encode(docs: DataFrame, path: str, pattern: str = PATTERN, offsets: bool = F
     """
     shipped = docs.sparkSession.sparkContext.broadcast(tokenizer_json(read_ranks(path), pattern))
 
-    def run(texts: pa.Array) -> pa.Array:
-        own = codec(shipped.value)
+    def part(own: Codec, texts: pa.Array) -> pa.StructArray:
         ids, places = own.encode(texts)
         body, begins = utf8(texts)
+        later = (body & 0xC0) == 0x80  # later bytes of characters
         token_ends = np.cumsum(own.length[ids])
-        starts = token_ends - own.length[ids]
-        inner = np.concatenate([[0], np.cumsum((body & 0xC0) == 0x80)])  # later bytes of characters, up to each place
-        inside = np.concatenate([[0], np.cumsum((body[starts] & 0xC0) == 0x80)])
+        inside = np.concatenate([[0], np.cumsum(later[token_ends - own.length[ids]], dtype=np.int64)])
         ends = pa.nulls(len(texts), pa.binary())
         if offsets:
-            chars = token_ends - inner[token_ends]
+            inner = np.concatenate([[0], np.cumsum(later, dtype=np.int64)])
             text = np.repeat(np.arange(len(texts)), np.diff(places))
-            ends = packed(chars - (begins - inner[begins])[text], places, "<u4")
+            ends = packed(token_ends - inner[token_ends] - (begins - inner[begins])[text], places, "<u4")
         return pa.StructArray.from_arrays([packed(ids, places, "<u4"), ends, pa.array(inside[places[1:]] - inside[places[:-1]])], ["ids", "ends", "n_split"])
 
+    def run(texts: pa.Array) -> pa.Array:
+        own = codec(shipped.value)
+        parts = [part(own, texts.slice(low, high - low)) for low, high in runs(utf8(texts)[1])]
+        return pa.concat_arrays(parts) if parts else part(own, texts)
+
     (temp,), names = unused(docs, "__encoded"), encoded_columns(docs, offsets)
     rows = docs.withColumn(temp, F.arrow_udf(run, ENCODED)("text"))
     return rows.select(*docs.columns, *[F.col(temp)[source].alias(name) for source, name in zip(("ids", "n_split", "ends"), names)])
@@ -214,10 +221,10 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
     def run(column: pa.Array) -> pa.Array:
         own = codec(shipped.value)
         values = [v or b"" for v in column.to_pylist()]
-        flat = np.frombuffer(b"".join(values), "<u4")
-        places = np.concatenate([[0], np.cumsum([len(v) // 4 for v in values])]).astype(np.int64)
-        spelled = own.spell(flat)
-        upto = np.concatenate([[0], np.cumsum(own.length[flat])])
-        return packed(spelled, upto[places], "u1")
+        out = []
+        for low, high in runs(np.cumsum([0, *map(len, values)])):
+            pieces = [b"".join(own.spell(np.frombuffer(v, "<u4", min(SPELLED, (len(v) - at) // 4), at)).tobytes() for at in range(0, len(v), 4 * SPELLED)) for v in values[low:high]]
+            out.append(pa.array(pieces, pa.binary()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
     return rows.withColumn(out, F.arrow_udf(run, "binary")(ids))
