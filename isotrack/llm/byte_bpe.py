@@ -41,6 +41,7 @@ from .common import unused
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 JOINED = 50_000  # bytes of distinct stretches that are encoded as one text
+SLICE = 2_000_000  # bytes whose stretches are told apart at once
 SPELLED = 500_000  # ids that are spelled out at once
 ENCODED = "ids binary, ends binary, n_split long"
 
@@ -126,7 +127,7 @@ class Codec:
         cuts = np.sort(np.concatenate([places, cut_places(body)]), kind="stable")
         cuts = cuts[np.concatenate([[True], cuts[1:] > cuts[:-1]])]
         ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for low, high in runs(cuts):
+        for low, high in runs(cuts, SLICE):
             raw, at = body[cuts[low] : cuts[high]].tobytes(), (cuts[low : high + 1] - cuts[low]).tolist()
             which, stretches = pd.factorize(np.array([raw[a:b] for a, b in zip(at, at[1:])], object))
             found, count = self.distinct(list(stretches))
@@ -202,7 +203,7 @@ def encode(docs: DataFrame, path: str, pattern: str = PATTERN, offsets: bool = F
 
     def run(texts: pa.Array) -> pa.Array:
         own = codec(shipped.value)
-        parts = [part(own, texts.slice(low, high - low)) for low, high in runs(utf8(texts)[1])]
+        parts = [part(own, texts.slice(low, high - low)) for low, high in runs(utf8(texts)[1], SLICE)]
         return pa.concat_arrays(parts) if parts else part(own, texts)
 
     (temp,), names = unused(docs, "__encoded"), encoded_columns(docs, offsets)
@@ -222,7 +223,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
         own = codec(shipped.value)
         values = [v or b"" for v in column.to_pylist()]
         out = []
-        for low, high in runs(np.cumsum([0, *map(len, values)])):
+        for low, high in runs(np.cumsum([0, *map(len, values)]), SLICE):
             pieces = [b"".join(own.spell(np.frombuffer(v, "<u4", min(SPELLED, (len(v) - at) // 4), at)).tobytes() for at in range(0, len(v), 4 * SPELLED)) for v in values[low:high]]
             out.append(pa.array(pieces, pa.binary()))
         return pa.concat_arrays(out) if out else pa.array([], pa.binary())
