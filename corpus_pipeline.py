@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage works on all that the one before kept; all but the last return the
-columns of ``documents``.
+columns of ``documents``.  Rows that lack a doc_id, or share one, are scored,
+compared, mixed and packed each by its own text.
 """
 
 from __future__ import annotations

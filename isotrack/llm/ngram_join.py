@@ -51,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, partitions_for, stage
+from .common import connected_components, discard, partitions_for, stage, unused
 from .kernels import U, distinct, mix, signed, slices, window_hashes, word_digests
 
 NO_ID = -(2**63)
@@ -369,7 +369,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
 
 def one_per_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, all columns unchanged."""
-    groups = near_duplicates(docs, k, num, den)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
+    """One row of each component, all columns unchanged: that of the smallest doc_id, null last.
+
+    Rows are numbered and the numbers joined, so that rows that share an id, or lack one, are linked and chosen
+    each by its own text.  Of rows with the smallest id, the one with the lowest number stays.
+    """
+    (row,) = unused(docs, "__row")
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), k, num, den)
+    ids = numbered.select(F.col(row).alias("member"), F.col("doc_id").alias("id"))
+    least = F.min_by("member", F.struct(F.col("id").isNull().alias("none"), "id", "member"))
+    kept = groups.join(ids, groups["doc_id"] == ids["member"]).groupBy("component_id").agg(least.alias("kept"))
+    return numbered.join(kept, numbered[row] == kept["kept"], "left_semi").select(*docs.columns)

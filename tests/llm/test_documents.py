@@ -475,3 +475,15 @@ def test_quality_on_held_out_texts(spark):
     assert kept.columns == docs.columns
     assert quality.select_documents(docs, lab.limit(0)).count() == 601
     assert quality.score_documents(docs.limit(0), model).count() == 0
+
+
+def test_one_per_group_goes_by_rows(spark):
+    rng = random.Random(12)
+    base, other = words(rng, 120).split(), words(rng, 120)
+    near = lambda i: " ".join(base[:i] + ["zzz"] + base[i + 1 :])
+    kept = lambda rows: sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in ngram_join.one_per_group(spark.createDataFrame(rows, "doc_id long, text string, __row string"), 5, 80, 100).collect())
+    assert kept([(None, near(1), "a"), (None, near(60), "b"), (3, near(110), "c"), (4, "", "d"), (None, None, "e")]) == [(-1, None), (3, near(110)), (4, "")]
+    assert kept([(1, near(1), "a"), (5, near(60), "b"), (5, other, "c")]) == [(1, near(1)), (5, other)]
+    assert len(kept([(7, near(5), "a")] * 4 + [(None, other, "b")] * 3)) == 2
+    one = ngram_join.one_per_group(spark.createDataFrame([(2, near(1), "a"), (2, near(1), "b")], "doc_id long, text string, __row string")).collect()
+    assert len(one) == 1 and one[0]["__row"] in "ab"
