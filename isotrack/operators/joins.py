@@ -39,8 +39,8 @@ def nearest_time_join(left: DataFrame, right: DataFrame, keys: list[str], left_i
     b = right.select(*keys, F.col(right_time).alias("t"), F.lit(0).alias("side"), F.col(tie).cast("long").alias("own"), F.lit(None).cast(a.schema["row"].dataType).alias("row"))
     rows = a.unionByName(b).withColumn("hit", F.when(F.col("side") == 0, F.struct("t", "own")))
     back = Window.partitionBy(*keys).orderBy("t", "side", F.desc("own")).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy(*keys).orderBy("t", F.desc("side"), "own").rowsBetween(1, Window.unboundedFollowing)
-    found = rows.select("*", F.last("hit", ignorenulls=True).over(back).alias("before"), F.first("hit", ignorenulls=True).over(ahead).alias("after")).where("side = 1")
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("t"), "side", F.desc("own")).rowsBetween(Window.unboundedPreceding, -1)  # later rows; growing frames are summed up once
+    found = rows.select("*", F.last("hit", ignorenulls=True).over(back).alias("before"), F.last("hit", ignorenulls=True).over(ahead).alias("after")).where("side = 1")
     apart = lambda h: F.abs(F.timestamp_diff("MICROSECOND", F.col("t"), F.col(h)["t"]))
     choice = lambda h: F.when(F.col(h).isNotNull(), F.struct(apart(h).alias("apart_us"), F.col(h)["t"].alias("t"), F.col(h)["own"].alias("own")))
     found = found.withColumn("best", F.least(choice("before"), choice("after"))).where("best IS NOT NULL")

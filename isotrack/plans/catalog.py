@@ -1,6 +1,6 @@
 """All named queries and their SQL."""
 
-from . import registry, relational, resampled, simulation, statistics, trends
+from . import crossings, registry, relational, resampled, simulation, statistics, trends
 from .registry import ORACLE, QUERIES, flagship
 
-__all__ = ["ORACLE", "QUERIES", "flagship", "registry", "relational", "resampled", "simulation", "statistics", "trends"]
+__all__ = ["ORACLE", "QUERIES", "crossings", "flagship", "registry", "relational", "resampled", "simulation", "statistics", "trends"]
