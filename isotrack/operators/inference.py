@@ -12,11 +12,21 @@ from pyspark.sql import functions as F
 
 
 def bh_fdr(df: DataFrame, p: str, family: list[str], out: str = "q") -> DataFrame:
-    """Benjamini-Hochberg values within each family; null p stays null."""
-    known, tests = Window.partitionBy(*family).orderBy(F.col(p).asc_nulls_last()), Window.partitionBy(*family)
-    df = df.withColumn("__q", F.col(p) * F.count(p).over(tests) / F.row_number().over(known))
-    tail = known.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("__q").over(tail)))).drop("__q")
+    """Benjamini-Hochberg values within each family; null p stays null.
+
+    Equal p values are counted first, so what is sorted is a family's different values; from a permutation test
+    these are no more than its shuffles, however many tests there are.
+    """
+    names = [f"__f{i}" for i in range(len(family))]
+    per = df.where(F.col(p).isNotNull()).groupBy(*[F.col(c).alias(n) for c, n in zip(family, names)], F.col(p).alias("__p")).agg(F.count("*").alias("__c"))
+    up = Window.partitionBy(*names).orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*names).orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0)
+    per = per.withColumn("__x", F.col("__p") * F.sum("__c").over(Window.partitionBy(*names)) / F.sum("__c").over(up))
+    per = per.select(*names, "__p", F.least(F.lit(1.0), F.min("__x").over(down)).alias(out))
+    same = F.col(p) == F.col("__p")
+    for c, n in zip(family, names):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    return df.join(per, same, "left").drop("__p", *names)
 
 
 def theil_sen(series: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -185,16 +195,6 @@ def shared_slope(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return sums.select("alpha", *[(F.col(f"m_{y}") - F.col("alpha") * F.col(f"m_{x}")).alias(f"beta{i}") for i, (x, y) in enumerate(pairs, 1)])
 
 
-def field_regression(field: DataFrame, cell: list[str], series: DataFrame, blocks: DataFrame, x: str, v: str, replicates: int, seed: int) -> DataFrame:
-    """Per cell: slope and correlation of v on the series x, and the p value of its correlation when years of x are shuffled in blocks."""
-    own = field.join(F.broadcast(series.select("season", x)), "season").groupBy(*cell).agg(F.regr_slope(v, x).alias("beta"), F.corr(v, x).alias("r"))
-    place = series.select(x, (F.row_number().over(Window.orderBy("season")) - 1).alias("position"))  # a row a year
-    moved = block_positions(blocks, replicates, seed).where("rep > 0").join(F.broadcast(place), "position").groupBy("season").agg(F.collect_list(F.struct("rep", x)).alias("reps"))
-    trial = field.join(F.broadcast(moved), "season").select(*cell, v, F.inline("reps")).groupBy(*cell, "rep").agg(F.corr(v, x).alias("q"))
-    p = trial.join(own.select(*cell, "r"), cell).groupBy(*cell).agg(((F.sum((F.round(F.abs("q"), 9) >= F.round(F.abs("r"), 9)).cast("int")) + 1) / F.lit(replicates + 1.0)).alias("p"))
-    return own.join(p, cell)
-
-
 def ols(df: DataFrame, y: str, xs: list[str], weight: str | None = None) -> DataFrame:
     """Least squares with intercept: sums of products are aggregated in parallel, the small system is solved in one task."""
     cols = [F.lit(1.0), *[F.col(x).cast("double") for x in xs]]

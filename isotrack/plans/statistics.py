@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import contrast, density, fields, inference, spatial, tracks
+from ..operators import contrast, density, fields, inference, packed, spatial, tracks
 from ..sources.adapters import points
 from ..sources.adapters import tracks as smooth
 from .registry import BLOCKS, DAILY, FIELD, PLACES, PTS, SHARES, SHUFFLES, STATE, TRK, blocks_of, daily, field, query, r6, seasons, seg
 
 SHORT = 99
-SOME = PLACES.replace(f"range({SHUFFLES + 1})", f"range({SHORT + 1})")
 YL = "yl AS (SELECT agency, season, avg(lat) AS v, avg(wind) AS w, count(*) AS n FROM pts GROUP BY ALL)"
 FULL = "ful AS (SELECT s.season, c.cell_id, coalesce(x.share, 0) AS share FROM (SELECT DISTINCT season FROM shares) s CROSS JOIN (SELECT DISTINCT cell_id FROM shares) c LEFT JOIN shares x ON x.season = s.season AND x.cell_id = c.cell_id)"
 LOO = """sm AS (SELECT *, sum(share) FILTER (p = 'e') OVER k AS se, sum(share) FILTER (p = 'l') OVER k AS sl, count(*) FILTER (p = 'e') OVER k AS ne, count(*) FILTER (p = 'l') OVER k AS nl FROM lab WINDOW k AS (PARTITION BY rep, cell_id)),
@@ -39,14 +38,9 @@ def projection_left_out(spark, d):
     return r6(contrast.leave_one_out_scores(full).select("season", "score"), "score")
 
 
-@query("projection_permutation", f"WITH {PTS}, {SHARES}, {FULL}, {BLOCKS}, {SOME}, lab AS (SELECT rep, position, cell_id, season, share, CASE WHEN position < 15 THEN 'e' ELSE 'l' END AS p FROM plc JOIN ful USING (season)), {LOO}, r AS (SELECT rep, avg(score) FILTER (p = 'l') - avg(score) FILTER (p = 'e') AS d FROM sc GROUP BY rep), o AS (SELECT d AS observed FROM r WHERE rep = 0) SELECT round(max(observed), 6) AS separation, round((sum((round(abs(d), 7) >= round(abs(observed), 7))::INT) + 1) / {SHORT + 1}.0::DOUBLE, 6) AS p_value FROM r, o WHERE rep > 0")
+@query("projection_permutation", f"WITH {PTS}, {SHARES}, {FULL}, {BLOCKS}, {PLACES}, lab AS (SELECT rep, position, cell_id, season, share, CASE WHEN position < 15 THEN 'e' ELSE 'l' END AS p FROM plc JOIN ful USING (season)), {LOO}, r AS (SELECT rep, avg(score) FILTER (p = 'l') - avg(score) FILTER (p = 'e') AS d FROM sc GROUP BY rep), o AS (SELECT d AS observed FROM r WHERE rep = 0) SELECT round(max(observed), 6) AS separation, round((sum((round(abs(d), 7) >= round(abs(observed), 7))::INT) + 1) / {SHUFFLES + 1}.0::DOUBLE, 6) AS p_value FROM r, o WHERE rep > 0")
 def projection_permutation(spark, d):
-    full = complete(density.composition(points(spark, d)))
-    placed = inference.block_positions(blocks_of(spark, d), SHORT, 11).withColumn("period", F.when(F.col("position") < 15, "e").otherwise("l"))
-    scores = contrast.leave_one_out_scores(placed.join(full, "season"))
-    r = scores.groupBy("rep").agg((F.avg(F.when(F.col("period") == "l", F.col("score"))) - F.avg(F.when(F.col("period") == "e", F.col("score")))).alias("d"))
-    seen = r.where("rep = 0").select(F.col("d").alias("observed"))
-    out = r.where("rep > 0").crossJoin(F.broadcast(seen)).agg(F.max("observed").alias("separation"), ((F.sum((F.round(F.abs("d"), 7) >= F.round(F.abs("observed"), 7)).cast("int")) + 1) / (SHORT + 1.0)).alias("p_value"))
+    out = packed.projection_permutation(density.composition(points(spark, d)), blocks_of(spark, d), 15, SHUFFLES, 11)
     return r6(out, "separation", "p_value")
 
 
@@ -81,9 +75,60 @@ def effective_correlation_p(spark, d):
     return inference.with_student_p(inference.effective_correlation(yearly(spark, d), ["agency"], "season", "v", "w"), ["agency"])
 
 
-@query("field_regression", f"WITH {FIELD}, {DAILY}, {BLOCKS}, {SOME}, own AS (SELECT fld.lat, fld.lon, regr_slope(v, wind) AS beta, corr(v, wind) AS r FROM fld JOIN daily USING (season) GROUP BY fld.lat, fld.lon), pl AS (SELECT wind, row_number() OVER (ORDER BY season) - 1 AS position FROM daily), tr AS (SELECT fld.lat, fld.lon, rep, corr(v, pl.wind) AS q FROM plc JOIN pl USING (position) JOIN fld USING (season) WHERE rep > 0 GROUP BY fld.lat, fld.lon, rep), p AS (SELECT tr.lat, tr.lon, (sum((round(abs(q), 9) >= round(abs(r), 9))::INT) + 1) / {SHORT + 1}.0::DOUBLE AS p FROM tr JOIN own ON own.lat = tr.lat AND own.lon = tr.lon GROUP BY tr.lat, tr.lon) SELECT own.lat, own.lon, round(beta, 6) AS beta, round(r, 6) AS r, round(p, 6) AS p FROM own JOIN p ON own.lat = p.lat AND own.lon = p.lon")
+FIELD_R = f"""own AS (SELECT fld.lat, fld.lon, regr_slope(v, wind) AS beta, corr(v, wind) AS r FROM fld JOIN daily USING (season) GROUP BY fld.lat, fld.lon), pl AS (SELECT wind, row_number() OVER (ORDER BY season) - 1 AS position FROM daily),
+tr AS (SELECT fld.lat, fld.lon, rep, corr(v, pl.wind) AS q FROM plc JOIN pl USING (position) JOIN fld USING (season) GROUP BY fld.lat, fld.lon, rep)"""
+
+
+@query("field_regression", f"""WITH {FIELD}, {DAILY}, {BLOCKS}, {PLACES}, {FIELD_R}, p AS (SELECT tr.lat, tr.lon, any_value(beta) AS beta, any_value(r) AS r, (sum((round(abs(q), 9) >= round(abs(r), 9))::INT) + 1) / {SHUFFLES + 1}.0::DOUBLE AS p FROM tr JOIN own ON own.lat = tr.lat AND own.lon = tr.lon WHERE rep > 0 GROUP BY tr.lat, tr.lon),
+k AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS x FROM p) SELECT lat, lon, round(beta, 6) AS beta, round(r, 6) AS r, round(p, 6) AS p, round(least(1.0::DOUBLE, min(x) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM k""")
 def field_regression(spark, d):
-    return r6(inference.field_regression(field(spark, d), ["lat", "lon"], daily(spark, d).select("season", "wind"), blocks_of(spark, d), "wind", "v", SHORT, 11), "beta", "r", "p")
+    cells, _ = packed.field_tests(field(spark, d), ["lat", "lon"], daily(spark, d), blocks_of(spark, d), "wind", "v", SHUFFLES, 11)
+    return r6(cells, "beta", "r", "p", "q")
+
+
+@query("field_global", f"WITH {FIELD}, {DAILY}, {BLOCKS}, {PLACES}, {FIELD_R}, g AS (SELECT rep, avg(q * q) AS r2 FROM tr GROUP BY rep), o AS (SELECT r2 AS seen FROM g WHERE rep = 0) SELECT round(max(seen), 7) AS global_r2, round((sum((round(r2, 9) >= round(seen, 9))::INT) + 1) / {SHUFFLES + 1}.0::DOUBLE, 6) AS p_value FROM g, o WHERE rep > 0")
+def field_global(spark, d):
+    _, whole = packed.field_tests(field(spark, d), ["lat", "lon"], daily(spark, d), blocks_of(spark, d), "wind", "v", SHUFFLES, 11)
+    return r6(whole, "p_value").withColumn("global_r2", F.round("global_r2", 7))
+
+
+AREA = f"""{FIELD}, {DAILY}, {BLOCKS}, {PLACES}, lab AS (SELECT row_number() OVER (ORDER BY season) - 1 AS position, CASE WHEN wind > m + s / 2 THEN 'one' WHEN wind < m - s / 2 THEN 'two' ELSE 'rest' END AS label FROM daily, (SELECT avg(wind) AS m, stddev_samp(wind) AS s FROM daily)),
+cd AS (SELECT rep, lat, lon, round(avg(v) FILTER (label = 'one') - avg(v) FILTER (label = 'two'), 9) AS d FROM plc JOIN lab USING (position) JOIN fld USING (season) GROUP BY rep, lat, lon),
+th AS (SELECT lat, lon, max(d) FILTER (rep = 0) AS difference, round(quantile_cont(d, 0.025) FILTER (rep > 0), 9) AS low, round(quantile_cont(d, 0.975) FILTER (rep > 0), 9) AS high FROM cd GROUP BY lat, lon)"""
+
+
+def area_parts(spark, d):
+    """Seasons of strong and of weak mean wind against each other."""
+    series = daily(spark, d)
+    limits = series.agg(F.avg("wind").alias("m"), F.stddev_samp("wind").alias("s"))
+    labels = series.crossJoin(F.broadcast(limits)).select("season", F.when(F.col("wind") > F.col("m") + F.col("s") / 2, "one").when(F.col("wind") < F.col("m") - F.col("s") / 2, "two").otherwise("rest").alias("label"))
+    return packed.area_significance(field(spark, d), ["lat", "lon"], "lat", labels, blocks_of(spark, d), "v", SHUFFLES, 11, "one", "two")
+
+
+@query("composite_thresholds", f"WITH {AREA} SELECT lat, lon, round(difference, 6) AS difference, round(low, 6) AS low, round(high, 6) AS high, coalesce(difference < low OR difference > high, false) AS outside FROM th")
+def composite_thresholds(spark, d):
+    return r6(area_parts(spark, d)[0], "difference", "low", "high")
+
+
+@query("area_significance", f"WITH {AREA}, g AS (SELECT rep, coalesce(sum(cos(radians(cd.lat))) FILTER (d < low OR d > high), 0) AS area FROM cd JOIN th ON th.lat = cd.lat AND th.lon = cd.lon GROUP BY rep), o AS (SELECT area AS seen FROM g WHERE rep = 0) SELECT round(max(seen), 6) AS area, round((sum((round(area, 6) >= round(seen, 6))::INT) + 1) / {SHUFFLES + 1}.0::DOUBLE, 6) AS p_value FROM g, o WHERE rep > 0")
+def area_significance(spark, d):
+    return r6(area_parts(spark, d)[1], "area", "p_value")
+
+
+TRIALS = 200
+
+
+@query("null_calibration")
+def null_calibration(spark, d):
+    """Rejection rates of the projection tests on sets of the table's points whose seasons are dealt by a hash."""
+    years = seasons(spark, d).agg(F.sort_array(F.collect_list("season")).alias("years"))
+    cells = density.with_cell(points(spark, d)).select("event_id", "cell_id").crossJoin(F.broadcast(years))
+    dealt = cells.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(TRIALS - 1))))
+    dealt = dealt.withColumn("season", F.get("years", F.pmod(F.xxhash64("event_id", "trial"), F.size("years")).cast("int")))
+    counts = dealt.groupBy("trial", "season", "cell_id").agg(F.count("*").alias("n"))
+    total = counts.groupBy("trial", "season").agg(F.sum("n").alias("all"))
+    shares = counts.join(total, ["trial", "season"]).select("trial", "season", "cell_id", (F.col("n") / F.col("all")).alias("share"))
+    return packed.rejection_rates(packed.null_calibration(shares, blocks_of(spark, d), 15, 199, 72))
 
 
 @query("cutpoint_sweep", f"WITH {PTS}, {YL}, c AS (SELECT unnest(range(11, 22))::INT AS cut) SELECT agency, cut, round(avg(v) FILTER (season >= cut) - avg(v) FILTER (season < cut), 6) AS shift FROM yl, c GROUP BY ALL")
