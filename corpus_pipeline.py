@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isotrack.llm.common import read_table, stage
+from isotrack.llm.common import only_last_table_stays, read_table, stage
 from isotrack.llm.exact_dedup import drop_repeats
 from isotrack.llm.mixing import curriculum
 from isotrack.llm.ngram_join import one_per_group
@@ -50,7 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage has written on its way is deleted when its result is."""
     docs = read_table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        with only_last_table_stays(spark):
+            docs = stage(step(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -57,6 +57,9 @@ def partitions_for(df: DataFrame, rows: int = 100_000) -> Iterator[None]:
             spark.conf.set(name, value)
 
 
+_WRITTEN: list[str] = []  # folders that ``stage`` has written, in order
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back.
 
@@ -65,6 +68,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     gc.collect()  # frames that are done with let Spark's cleaner drop what they hold
     path = f"{scratch_dir(df.sparkSession)}/isotrack-{uuid.uuid4().hex}/{name}"
+    _WRITTEN.append(path)
     with shuffles_end_with_their_query(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -79,6 +83,17 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def only_last_table_stays(spark: SparkSession) -> Iterator[None]:
+    """Tables of ``stage`` that are written inside are deleted at the end, all but the last: for steps whose result is written there."""
+    before = len(_WRITTEN)
+    yield
+    for path in _WRITTEN[before:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _WRITTEN[before:-1]
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names``, each lengthened until no column of ``df`` is called so."""
     taken, out = {c.lower() for c in df.columns}, []

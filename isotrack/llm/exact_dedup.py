@@ -149,9 +149,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged, one per distinct text."""
+    """The rows of ``docs`` that stay, all columns unchanged, one per distinct text.
+
+    Rows of one id and text are one before anything is shuffled, and texts are shuffled once: what stays is looked
+    up where that put them.
+    """
     own_id, own_sha = unused(docs, "own_id", "own_sha")
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_sha)).distinct()
-    sha = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept[own_id]) & (sha == kept[own_sha]))
-    return rows.dropDuplicates([own_id, own_sha]).drop(own_id, own_sha)
+    known = lambda c: F.coalesce(c.cast("long"), F.lit(NO_ID))
+    kept = exact_groups(docs).where("kept").select(known(F.col("doc_id")).alias(own_id), F.col("text_sha256").alias(own_sha))
+    sha = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256)
+    rows = docs.withColumns({own_id: known(F.col("doc_id")), own_sha: sha}).dropDuplicates([own_id, own_sha])
+    return rows.join(kept, [own_id, own_sha], "left_semi").select(*docs.columns)
