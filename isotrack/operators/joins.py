@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import great_circle_km
+from ..functions.geo import EARTH_KM, great_circle_km
+from ..functions.scratch import cut
 
 
 def safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", validate: str = "many_to_one") -> DataFrame:
@@ -76,18 +79,39 @@ def nearest_cell_join(points: DataFrame, cells: DataFrame, point_id: str, max_km
     """Each point with the nearest cell within max_km, by bins at least as wide as the radius.
 
     Without ``itself``, a point is not matched to the cell of its own id.
-    Cells are copied to the nine bins around theirs; the east-west copies wrap.
+    Cells are copied to the nine bins around theirs; the east-west copies wrap.  A point's candidates are reduced
+    where they are made, so one row a point is shuffled.
     """
     n = int(360 // width)
     near = cells.withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
     near = near.withColumns({"by": F.floor(F.col("cell_lat") / width) + F.col("dy"), "bx": F.pmod(F.floor(F.col("cell_lon") / width) + F.col("dx"), F.lit(n))}).drop("dx", "dy")
     at = points.withColumns({"by": F.floor(F.col("lat") / width), "bx": F.pmod(F.floor(F.col("lon") / width), F.lit(n))})
+    axes = lambda lat, lon: [F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))]
+    near = near.withColumns({f"__c{i}": x for i, x in enumerate(axes("cell_lat", "cell_lon"))})
+    at = at.withColumns({f"__p{i}": x for i, x in enumerate(axes("lat", "lon"))})
     out = at.join(near, ["by", "bx"])
     out = out if itself else out.where(F.col(point_id) != F.col("cell_id"))
+    apart = sum(((F.col(f"__p{i}") - F.col(f"__c{i}")) * (F.col(f"__p{i}") - F.col(f"__c{i}")) for i in range(3)), F.lit(0.0))
+    reach = (2 * math.sin(min(max_km / EARTH_KM, math.pi) / 2)) ** 2
+    out = out.where(apart <= reach * (1 + 1e-9) + 1e-14)  # chords are cheap, arcs are for those that may be near enough
     out = out.withColumn("match_km", great_circle_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"))).where(F.col("match_km") <= max_km)
-    return out.withColumn("__r", F.row_number().over(Window.partitionBy(point_id).orderBy("match_km", "cell_id"))).where("__r = 1").drop("__r", "by", "bx")
+    others = [c for c in cells.columns if c != "cell_id"]
+    best = out.groupBy(point_id).agg(F.min(F.struct("match_km", "cell_id", *others)).alias("__m"), F.any_value(F.struct(*[c for c in points.columns if c != point_id])).alias("__p"))
+    return best.select(point_id, "__p.*", "__m.cell_id", *[F.col(f"__m.{c}") for c in others], "__m.match_km")
+
+
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``df`` with ``out``: each row's place, from 0, in the order of ``order``, which should tell rows apart.
+
+    Rows are sorted across tasks and counted by task; a row's place is that in its task behind what all earlier
+    tasks hold.  The sorted rows are written, so that both steps see the same.
+    """
+    rows = cut(df.orderBy(*order).select("*", F.spark_partition_id().alias("__task"), (F.monotonically_increasing_id() % F.lit(2**33)).alias("__at")))
+    counts = rows.groupBy("__task").agg(F.count("*").alias("__n"))
+    ahead = counts.select("__task", F.coalesce(F.sum("__n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
+    return rows.join(F.broadcast(ahead), "__task").select(*df.columns, (F.col("__ahead") + F.col("__at")).alias(out))  # a row a task
 
 
 def dense_keys(df: DataFrame, keys: list[str], out: str = "key_id") -> DataFrame:
     """Distinct keys numbered from 0 in their order."""
-    return df.select(*keys).distinct().withColumn(out, F.row_number().over(Window.orderBy(*keys)) - 1)
+    return numbered(df.select(*keys).distinct(), keys, out)

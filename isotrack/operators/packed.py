@@ -139,6 +139,49 @@ def area_significance(field: DataFrame, cell: list[str], lat: str, labels: DataF
     return cells, sums.where("rep > 0").crossJoin(F.broadcast(seen)).agg(F.max("seen").alias("area"), part.alias("p_value"))
 
 
+def series_permutation(series: DataFrame, keys: list[str], v: str, blocks: DataFrame, n_early: list[int], replicates: int, seed: int, year: str = "season") -> DataFrame:
+    """(keys, n_early, difference, p_value) of every series and cut: late minus early mean of the years it has, and how
+    often shuffled blocks of years are as far apart.  All series and cuts share the shuffles; null where a series
+    has no year on one side, and a shuffle that leaves a side empty is not as far."""
+    years, positions = shuffled_positions(blocks, replicates, seed, year)
+    shipped, place = series.sparkSession.sparkContext.broadcast(positions.T), {y: i for i, y in enumerate(years)}
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in series.select(*keys).schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in chunks(batches, replicates):
+            y, known = matrix(pdf, place)
+            for n in n_early:
+                late = (shipped.value >= n).astype(float)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    d = (y @ late) / (known @ late) - (y @ (1 - late)) / (known @ (1 - late))
+                far = np.round(np.abs(d), DIGITS)
+                p = ((far[:, 1:] >= far[:, :1]).sum(1) + 1) / (replicates + 1)
+                yield pdf[keys].assign(n_early=n, difference=d[:, 0], p_value=np.where(np.isnan(d[:, 0]), np.nan, p))
+
+    out = by_cell(series, keys, v, year).mapInPandas(run, f"{schema}, n_early int, difference double, p_value double")
+    return out.select(*keys, "n_early", *[F.nanvl(c, F.lit(None)).alias(c) for c in ("difference", "p_value")])
+
+
+def cutpoint_fields(shares: DataFrame, blocks: DataFrame, n_early: list[int], replicates: int, seed: int, year: str = "season") -> DataFrame:
+    """(n_early, tv, p_value) of every cut: half the absolute change of cells' mean shares from the first years to all
+    the rest, and how often shuffled blocks of years change as much.  One pass over cells serves all cuts; absent cells of a year are 0."""
+    years, positions = shuffled_positions(blocks, replicates, seed, year)
+    shipped, place = shares.sparkSession.sparkContext.broadcast(positions.T), {y: i for i, y in enumerate(years)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in chunks(batches, replicates):
+            y, _ = matrix(pdf, place)
+            for n in n_early:
+                late = shipped.value >= n
+                yield pd.DataFrame({"n_early": [n], "half": [np.abs(y @ (late / (len(years) - n) - ~late / n)).sum(0) / 2]})
+
+    sums = by_cell(shares, ["cell_id"], "share", year).mapInPandas(run, "n_early int, half array<double>")
+    tv = cut(sums.select("n_early", F.posexplode("half").alias("rep", "h")).groupBy("n_early", "rep").agg(F.sum("h").alias("tv")))
+    seen = tv.where("rep = 0").select("n_early", F.col("tv").alias("seen"))
+    part = (F.sum((F.round("tv", DIGITS) >= F.round("seen", DIGITS)).cast("int")) + 1) / F.lit(replicates + 1.0)
+    return tv.where("rep > 0").join(F.broadcast(seen), "n_early").groupBy("n_early").agg(F.first("seen").alias("tv"), part.alias("p_value"))  # a row a cut
+
+
 def year_products(shares: DataFrame, keys: list[str], year: str = "season") -> DataFrame:
     """(keys, years, gram): products of year with year summed over cells, as one array by rows; absent cells are 0."""
     side = lambda k: shares.select(*keys, "cell_id", F.col(year).alias(f"y{k}"), F.col("share").alias(f"s{k}"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_KM, great_circle_km, lon_difference
+from .joins import numbered
 
 ORDER = ["iso_time", "event_id"]
 
@@ -143,10 +144,10 @@ def year_blocks(years: DataFrame, block: int, year: str = "season") -> DataFrame
 
 
 def rank_remap(target: DataFrame, donor: DataFrame, value: str) -> DataFrame:
-    """Replace each target value by the donor's quantile at its mid-rank."""
-    n = target.count()
-    ranked = target.withColumn("r", F.row_number().over(Window.orderBy(value, "sid"))).withColumn("q", (F.col("r") - F.lit(0.5)) / F.lit(float(n or 1)))
-    d = donor.select(value).withColumn("i", F.row_number().over(Window.orderBy(value)) - 1).withColumn("m", F.count("*").over(Window.partitionBy())).withColumn("next", F.lead(value).over(Window.orderBy("i")))
-    at = ranked.withColumn("pos", F.col("q") * F.lit(float(max(donor.count() - 1, 0)))).withColumn("i", F.floor("pos"))
-    out = at.join(d.select("i", F.col(value).alias("lo"), F.coalesce("next", value).alias("hi")), "i")
-    return out.select("sid", (F.col("lo") + (F.col("pos") - F.col("i")) * (F.col("hi") - F.col("lo"))).alias("remapped"))
+    """Replace each target value by the donor's quantile at its mid-rank; rows are numbered across tasks."""
+    ranked, steps = numbered(target, [value, "sid"], "__r"), numbered(donor.select(F.col(value).alias("__v")), ["__v"], "__i")
+    n, m = (F.broadcast(df.agg(F.count("*").alias(c))) for df, c in ((target, "__n"), (donor, "__m")))
+    at = ranked.crossJoin(n).crossJoin(m).withColumn("__pos", (F.col("__r") + 0.5) / F.col("__n") * (F.col("__m") - 1)).withColumn("__low", F.floor("__pos"))
+    side = lambda c: steps.select(F.col("__i").alias(f"__{c}"), F.col("__v").alias(c))
+    out = at.withColumn("__high", F.least(F.col("__low") + 1, F.col("__m") - 1)).join(side("low"), "__low").join(side("high"), "__high")
+    return out.select("sid", (F.col("low") + (F.col("__pos") - F.col("__low")) * (F.col("high") - F.col("low"))).alias("remapped"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.tails import Z95, sql_simpson
-from ..operators import trends
-from .registry import PTS, query, r6
+from ..operators import density, packed, trends
+from ..sources.adapters import points
+from .registry import BLOCKS, PLACES, PTS, SHARES, SHUFFLES, blocks_of, query, r6
 from .statistics import yearly
 
 #: Three yearly series of each agency: (agency, metric, season, v).
@@ -54,3 +55,20 @@ SELECT agency, metric, first::INT AS start, last::INT AS end, n, round(mean, 6)
 def trend_rows(spark, d):
     out = trends.trend_rows(three_series(spark, d), ["agency", "metric"], ["metric"], "season", "v", 3, DRAWS, 5)
     return r6(out, "mean", "slope_year", "slope_decade", "low_decade", "high_decade", "p", "q")
+
+
+CUTS = list(range(10, 21))
+
+
+@query("series_permutation", f"""WITH {SERIES}, {BLOCKS}, {PLACES}, d AS (SELECT agency, metric, c AS n_early, rep, avg(v) FILTER (position >= c) - avg(v) FILTER (position < c) AS d FROM plc JOIN ser USING (season), (SELECT unnest({CUTS}) AS c) GROUP BY ALL),
+o AS (SELECT agency, metric, n_early, d AS seen FROM d WHERE rep = 0) SELECT agency, metric, n_early, round(any_value(seen), 6) AS difference, round((count(*) FILTER (round(abs(d), 9) >= round(abs(seen), 9)) + 1) / {SHUFFLES + 1}.0::DOUBLE, 6) AS p_value FROM d JOIN o USING (agency, metric, n_early) WHERE rep > 0 GROUP BY ALL""")
+def series_permutation(spark, d):
+    """All series at all cuts from the tenth to the twentieth year, under the same shuffles."""
+    out = packed.series_permutation(three_series(spark, d), ["agency", "metric"], "v", blocks_of(spark, d), CUTS, SHUFFLES, 11)
+    return r6(out, "difference", "p_value")
+
+
+@query("cutpoint_fields", f"""WITH {PTS}, {SHARES}, {BLOCKS}, {PLACES}, n AS (SELECT count(*) AS n FROM blk), c AS (SELECT c AS n_early, rep, cell_id, sum(CASE WHEN position >= c THEN share ELSE 0 END) / any_value(n - c) - sum(CASE WHEN position < c THEN share ELSE 0 END) / c AS d FROM plc JOIN shares USING (season), n, (SELECT unnest({CUTS}) AS c) GROUP BY c, rep, cell_id),
+t AS (SELECT n_early, rep, 0.5 * sum(abs(d)) AS tv FROM c GROUP BY ALL), o AS (SELECT n_early, tv AS seen FROM t WHERE rep = 0) SELECT n_early, round(any_value(seen), 6) AS tv, round((count(*) FILTER (round(tv, 9) >= round(seen, 9)) + 1) / {SHUFFLES + 1}.0::DOUBLE, 6) AS p_value FROM t JOIN o USING (n_early) WHERE rep > 0 GROUP BY ALL""")
+def cutpoint_fields(spark, d):
+    return r6(packed.cutpoint_fields(density.composition(points(spark, d)), blocks_of(spark, d), CUTS, SHUFFLES, 11), "tv", "p_value")

@@ -108,3 +108,42 @@ def test_bh_fdr_families(spark):
     got = sorted(((r.f or "", r.p or 2, r.q) for r in inference.bh_fdr(spark.createDataFrame(rows, "f string, p double"), "p", ["f"]).collect()), key=str)
     want = [("", 0.2, 0.2), ("", 0.2, 0.2), ("a", 0.01, 0.03), ("a", 0.03, 0.04), ("a", 0.04, 0.04), ("a", 2, None), ("b", 0.5, 0.5), ("c", 2, None)]
     assert [(f, p, q and round(q, 9)) for f, p, q in got] == want
+
+
+def test_series_and_cutpoints(spark):
+    rng = np.random.default_rng(6)
+    made = {"a": rng.normal(size=N) + (np.arange(N) >= 6), "b": rng.normal(size=N)}
+    rows = [(k, y, float(v)) for k, vs in made.items() for y, v in enumerate(vs)] + [("c", 0, 1.0), ("c", 1, 2.0)]
+    rows[3] = ("a", 3, None)
+    made["a"][3] = np.nan
+    series = spark.createDataFrame(rows, "k string, season int, v double")
+    _, positions = packed.shuffled_positions(blocks(spark), 99, 4)
+    got = {(r.k, r.n_early): r for r in packed.series_permutation(series, ["k"], "v", blocks(spark), [4, 6], 99, 4).collect()}
+    assert len(got) == 6 and got["c", 4].difference is None and got["c", 4].p_value is None
+    for k, v in made.items():
+        for n in (4, 6):
+            d = np.array([np.nanmean(v[p >= n]) - np.nanmean(v[p < n]) for p in positions])
+            assert abs(got[k, n].difference - d[0]) < 1e-9
+            assert got[k, n].p_value == (1 + sum(np.abs(d[1:]).round(9) >= np.abs(d[0]).round(9))) / 100
+
+    f = rng.dirichlet(np.ones(9), N)
+    f[2, :3] = 0
+    shares = spark.createDataFrame([(y, c, float(f[y, c])) for y in range(N) for c in range(9) if f[y, c]], "season int, cell_id int, share double")
+    for r in packed.cutpoint_fields(shares, blocks(spark), [4, 7], 99, 4).collect():
+        tv = np.array([np.abs(f[p >= r.n_early].mean(0) - f[p < r.n_early].mean(0)).sum() / 2 for p in positions])
+        assert abs(r.tv - tv[0]) < 1e-9 and r.p_value == (1 + sum(tv[1:].round(9) >= tv[0].round(9))) / 100
+
+
+def test_numbered(spark):
+    from isotrack.operators import joins, tracks
+
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(40)) for i in range(500)]
+    frame = spark.createDataFrame(rows, "sid int, v int").repartition(7)
+    assert {r.sid: r.at for r in joins.numbered(frame, ["v", "sid"], "at").collect()} == {sid: i for i, (v, sid) in enumerate(sorted((v, sid) for sid, v in rows))}
+    assert [(r.v, r.key_id) for r in joins.dense_keys(frame, ["v"]).orderBy("v").collect()] == [(v, i) for i, v in enumerate(sorted({v for _, v in rows}))]
+    assert joins.dense_keys(frame.where("false"), ["v"]).count() == 0
+    donor = spark.createDataFrame([(i, x) for i, x in enumerate([5, 1, 9])], "sid int, v int")
+    got = {r.sid: r.remapped for r in tracks.rank_remap(frame.where("sid < 4"), donor, "v").collect()}
+    order = sorted(range(4), key=lambda i: (rows[i][1], i))
+    assert all(abs(got[sid] - np.quantile([1, 5, 9], (k + 0.5) / 4)) < 1e-12 for k, sid in enumerate(order))
