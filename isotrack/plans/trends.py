@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.tails import Z95, sql_simpson
-from ..operators import density, packed, trends
+from ..operators import density, packed, spectra, trends
 from ..sources.adapters import points
 from .registry import BLOCKS, PLACES, PTS, SHARES, SHUFFLES, blocks_of, query, r6
 from .statistics import yearly
@@ -72,3 +72,25 @@ def series_permutation(spark, d):
 t AS (SELECT n_early, rep, 0.5 * sum(abs(d)) AS tv FROM c GROUP BY ALL), o AS (SELECT n_early, tv AS seen FROM t WHERE rep = 0) SELECT n_early, round(any_value(seen), 6) AS tv, round((count(*) FILTER (round(tv, 9) >= round(seen, 9)) + 1) / {SHUFFLES + 1}.0::DOUBLE, 6) AS p_value FROM t JOIN o USING (n_early) WHERE rep > 0 GROUP BY ALL""")
 def cutpoint_fields(spark, d):
     return r6(packed.cutpoint_fields(density.composition(points(spark, d)), blocks_of(spark, d), CUTS, SHUFFLES, 11), "tv", "p_value")
+
+
+WAVE = f"""num AS (SELECT agency, v, row_number() OVER (PARTITION BY agency ORDER BY season) - 1 AS t, count(*) OVER (PARTITION BY agency)::DOUBLE AS n FROM yl), fit AS (SELECT agency, regr_slope(v, t) AS b, regr_intercept(v, t) AS a FROM num GROUP BY agency),
+res AS (SELECT agency, t, n, v - a - b * t AS r FROM num JOIN fit USING (agency)), std AS (SELECT *, r / stddev_samp(r) OVER (PARTITION BY agency) AS z FROM res), lg AS (SELECT *, lag(z) OVER (PARTITION BY agency ORDER BY t) AS z0 FROM std), ar AS (SELECT agency, corr(z, z0) AS ar FROM lg WHERE z0 IS NOT NULL GROUP BY agency),
+frq AS (SELECT agency, n, k, 2 * pi() * k / n AS w, sum(z * cos(2 * pi() * k / n * t)) AS re, sum(-z * sin(2 * pi() * k / n * t)) AS im FROM (SELECT *, unnest(range(1, (n / 2)::INT + 1)) AS k FROM std) GROUP BY agency, n, k),
+scl AS (SELECT *, 2 * pow(2, j * 0.125::DOUBLE) AS s FROM (SELECT *, unnest(range(round_even(log2(n / 2) / 0.125, 0)::INT + 1)) AS j FROM frq)),
+dau AS (SELECT *, sqrt(2 * pi() * s) * pow(pi(), -0.25::DOUBLE) * exp(-pow(s * w - 6, 2) / 2) / n AS d FROM scl),
+wav AS (SELECT agency, n, j, s, t, sum(d * (re * cos(w * t) - im * sin(w * t))) AS a, sum(d * (re * sin(w * t) + im * cos(w * t))) AS b FROM (SELECT *, unnest(range(n::INT)) AS t FROM dau) GROUP BY agency, n, j, s, t),
+pow AS (SELECT agency, n, j, t, s * 4 * pi() / (6 + sqrt(38)) AS period, a * a + b * b AS power, ar FROM wav JOIN ar USING (agency))"""
+
+
+@query("wavelet_power", f"WITH {PTS}, yl AS (SELECT agency, season, avg(lat) AS v FROM pts GROUP BY ALL), {WAVE} SELECT agency, j, t::INT AS t, round(period, 6) AS period, round(power, 6) AS power, round(power / ((1 - ar * ar) / (1 - 2 * ar * cos(2 * pi() / period) + ar * ar) * -ln(0.05)), 6) AS ratio, period <= greatest(least(t, n - 1 - t), 1e-5) * 4 * pi() / (6 + sqrt(38)) / sqrt(2) + 1e-9 AS inside FROM pow")
+def wavelet_power(spark, d):
+    return r6(spectra.wavelet_power(yearly(spark, d).select("agency", "season", "v"), ["agency"], "season", "v"), "period", "power", "ratio").withColumn("t", F.col("t").cast("int"))
+
+
+@query("log_sum", f"""WITH {PTS}, c AS (SELECT floor(lat / 10)::INT AS cell, season, season % 3 AS month, count(*)::DOUBLE AS a, avg(wind) AS b, avg(lon) - 139 AS c FROM pts GROUP BY ALL), l AS (SELECT *, ln(a) AS la, ln(b) AS lb, ln(c) AS lc FROM c WHERE a > 0 AND b > 0 AND c > 0)
+SELECT cell, season, round(la - avg(la) OVER w, 7) + 0 AS log_a, round(lb - avg(lb) OVER w, 7) + 0 AS log_b, round(lc - avg(lc) OVER w, 7) + 0 AS log_c, round(la + lb + lc - avg(la + lb + lc) OVER w, 7) + 0 AS total, abs(la + lb + lc - avg(la + lb + lc) OVER w - (la - avg(la) OVER w + lb - avg(lb) OVER w + lc - avg(lc) OVER w)) < 1e-10 AS closed FROM l WINDOW w AS (PARTITION BY cell, month)""")
+def log_sum(spark, d):
+    rows = points(spark, d).groupBy(F.floor(F.col("lat") / 10).cast("int").alias("cell"), "season").agg(F.count("*").cast("double").alias("a"), F.avg("wind").alias("b"), (F.avg("lon") - 139).alias("c"))
+    out = spectra.log_sum(rows.withColumn("month", F.col("season") % 3), ["cell"], "month", ["a", "b", "c"])
+    return out.select("cell", "season", *[(F.round(c, 7) + 0.0).alias(c) for c in ("log_a", "log_b", "log_c", "total")], (F.abs("residual") < 1e-10).alias("closed"))
