@@ -18,6 +18,7 @@ from ..functions.tails import Z95, normal_two_sided
 from .models import hac_regression
 
 ALPHAS = np.logspace(-3, 3, 50)
+FEW = 16  # tasks whose sums, a row a center each, the driver adds itself; those of more are added by a shuffle
 
 
 def known_rows(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -236,7 +237,7 @@ def cluster_scan(df: DataFrame, id_: str, vector: str, ks: list[int], seeds: int
     """
     spark = df.sparkSession
     data = cut(df.select(F.col(id_).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")))
-    fits = Fits(ks, seeds)
+    fits, pieces = Fits(ks, seeds), data.rdd.getNumPartitions()
     rows, dim = data.agg(F.count("*"), F.max(F.size("v"))).first()
     if not rows:
         raise ValueError("no vectors")
@@ -254,8 +255,13 @@ def cluster_scan(df: DataFrame, id_: str, vector: str, ks: list[int], seeds: int
             if any_:
                 yield pd.DataFrame({"row": np.arange(total), "s": list(out)})
 
-        summed = data.mapInPandas(run, "row int, s array<double>").groupBy("row").agg(F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(width)]).alias("s")).collect()  # a row a center
-        return np.array([r.s for r in sorted(summed, key=lambda r: r.row)])
+        parts = data.mapInPandas(run, "row int, s array<double>")
+        if pieces > FEW:
+            parts = parts.groupBy("row").agg(F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(width)]).alias("s"))  # a row a center
+        out = np.zeros((total, width))
+        for r in sorted(parts.collect()):
+            out[r.row] += r.s
+        return out
 
     def shares(begin: bool, now: np.ndarray):
         def statistics(ids: np.ndarray, x: np.ndarray) -> np.ndarray:

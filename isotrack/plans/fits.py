@@ -51,9 +51,13 @@ def shapes(spark, d):
     return fits.standard_vectors(rows, "sid", "values")
 
 
+#: A pass over the table is an iteration of all fits, so the queries stop at this one; what has not settled by then shows as such.
+PASSES = {"steps": 60, "tolerance": 1e-3}
+
+
 @query("cluster_scan")
 def cluster_scan(spark, d):
-    out, _ = fits.cluster_scan(shapes(spark, d), "sid", "vector", [3, 4, 5, 6, 7], 20)
+    out, _ = fits.cluster_scan(shapes(spark, d), "sid", "vector", [3, 4, 5, 6, 7], 20, **PASSES)
     return out.select("k", "seed", F.round("xb", 4).alias("xb"), F.round("fpc", 4).alias("fpc"), F.round("ari", 4).alias("ari"), "best_of_k", "selected")
 
 
@@ -61,7 +65,7 @@ def cluster_scan(spark, d):
 def cluster_families(spark, d):
     """Every entity's family and membership under the chosen centers, numbered from west to east, and the family's size and mean start."""
     rows = shapes(spark, d)
-    _, centers = fits.cluster_scan(rows, "sid", "vector", [3, 4, 5, 6, 7], 20)
+    _, centers = fits.cluster_scan(rows, "sid", "vector", [3, 4, 5, 6, 7], 20, **PASSES)
     own = inference.fuzzy_membership(rows, "vector", centers.tolist()).select("sid", F.get("raw", F.lit(0)).alias("start"), F.posexplode("membership").alias("old", "membership"))
     place = own.groupBy("old").agg((F.sum(F.col("membership") * F.col("start")) / F.sum("membership")).alias("west"))
     ladder = place.agg(F.array_sort(F.collect_list(F.struct("west", "old"))).alias("order")).select(F.posexplode("order").alias("family", "o")).select("family", F.col("o.old").alias("old"))
