@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tails import student_two_sided
+
 
 def bh_fdr(df: DataFrame, p: str, family: list[str], out: str = "q") -> DataFrame:
     """Benjamini-Hochberg values within each family; null p stays null.
@@ -178,13 +180,7 @@ def effective_correlation(series: DataFrame, keys: list[str], order: str, x: str
 
 def with_student_p(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, r, n_eff, t) with the two-sided p value at n_eff - 2 degrees of freedom, 1 at least."""
-
-    def tail(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(p=[student_p(t, max(n - 2, 1)) if t == t else None for t, n in zip(pdf.t, pdf.n_eff)])
-
-    rows = df.select(*keys, "r", "n_eff", "t")
-    return rows.mapInPandas(tail, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in rows.schema.fields)}, p double")
+    return df.select(*keys, "r", "n_eff", "t", student_two_sided(F.col("t"), F.greatest(F.col("n_eff") - 2, F.lit(1.0))).alias("p"))
 
 
 def shared_slope(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

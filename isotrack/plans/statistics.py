@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.tails import sql_simpson
 from ..operators import contrast, density, fields, inference, packed, spatial, tracks
 from ..sources.adapters import points
 from ..sources.adapters import tracks as smooth
@@ -64,15 +65,22 @@ def sen_bootstrap(spark, d):
     return r6(inference.sen_bootstrap(yearly(spark, d).select("agency", "season", "v"), ["agency"], "season", "v", 3, SHORT, 5), "slope", "low", "high")
 
 
-@query("effective_correlation", f"WITH {PTS}, {YL}, l AS (SELECT *, lag(v) OVER k AS v0, lag(w) OVER k AS w0 FROM yl WINDOW k AS (PARTITION BY agency ORDER BY season)), e AS (SELECT agency, corr(v, w) AS r, count(*) AS n, corr(v, v0) AS a, corr(w, w0) AS b FROM l GROUP BY agency), f AS (SELECT *, least(n::DOUBLE, greatest(3.0, n * (1 - a * b) / (1 + a * b))) AS n_eff FROM e) SELECT agency, round(r, 6) AS r, n, round(n_eff, 5) AS n_eff, round(r * sqrt((n_eff - 2) / (1 - r * r)), 5) AS t FROM f")
+EFFECTIVE = f"WITH {PTS}, {YL}, l AS (SELECT *, lag(v) OVER k AS v0, lag(w) OVER k AS w0 FROM yl WINDOW k AS (PARTITION BY agency ORDER BY season)), e AS (SELECT agency, corr(v, w) AS r, count(*) AS n, corr(v, v0) AS a, corr(w, w0) AS b FROM l GROUP BY agency), f AS (SELECT *, least(n::DOUBLE, greatest(3.0, n * (1 - a * b) / (1 + a * b))) AS n_eff FROM e)"
+
+
+@query("effective_correlation", f"{EFFECTIVE} SELECT agency, round(r, 6) AS r, n, round(n_eff, 5) AS n_eff, round(r * sqrt((n_eff - 2) / (1 - r * r)), 5) AS t FROM f")
 def effective_correlation(spark, d):
     out = inference.effective_correlation(yearly(spark, d), ["agency"], "season", "v", "w")
     return out.select("agency", F.round("r", 6).alias("r"), "n", F.round("n_eff", 5).alias("n_eff"), F.round("t", 5).alias("t"))
 
 
-@query("effective_correlation_p")
+TAIL = "pow(sin(pi() / 2 * pow(@, 3)), df - 1) * pow(@, 2)"
+
+
+@query("effective_correlation_p", f"{EFFECTIVE}, t AS (SELECT agency, r, n_eff, r * sqrt((n_eff - 2) / (1 - r * r)) AS t, greatest(n_eff - 2, 1.0::DOUBLE) AS df FROM f) SELECT agency, round(r, 6) AS r, round(n_eff, 5) AS n_eff, round(t, 5) AS t, round({sql_simpson(TAIL, 'pow(atan2(sqrt(df), abs(t)) / (pi() / 2), 1 / 3.0::DOUBLE)')} / {sql_simpson(TAIL, '1.0::DOUBLE')}, 6) AS p FROM t")
 def effective_correlation_p(spark, d):
-    return inference.with_student_p(inference.effective_correlation(yearly(spark, d), ["agency"], "season", "v", "w"), ["agency"])
+    out = inference.with_student_p(inference.effective_correlation(yearly(spark, d), ["agency"], "season", "v", "w"), ["agency"])
+    return r6(out, "r", "p").withColumns({c: F.round(c, 5) for c in ("n_eff", "t")})
 
 
 FIELD_R = f"""own AS (SELECT fld.lat, fld.lon, regr_slope(v, wind) AS beta, corr(v, wind) AS r FROM fld JOIN daily USING (season) GROUP BY fld.lat, fld.lon), pl AS (SELECT wind, row_number() OVER (ORDER BY season) - 1 AS position FROM daily),
