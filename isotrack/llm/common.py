@@ -60,17 +60,17 @@ def partitions_for(df: DataFrame, rows: int = 100_000) -> Iterator[None]:
 _WRITTEN: list[str] = []  # folders that ``stage`` has written, in order
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the table read back.
 
     This cuts the lineage: what follows survives lost executors without
-    repeating what came before.
+    repeating what came before.  ``options`` are those of the Parquet writer.
     """
     gc.collect()  # frames that are done with let Spark's cleaner drop what they hold
     path = f"{scratch_dir(df.sparkSession)}/isotrack-{uuid.uuid4().hex}/{name}"
     _WRITTEN.append(path)
     with shuffles_end_with_their_query(df.sparkSession):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

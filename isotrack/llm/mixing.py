@@ -10,9 +10,12 @@ by that moment is the training order.  Only DataFrame functions are used.
 
 Defined results: null text has size 0; null sources form one source, last in
 order; a document of size 0 takes 0; repeated rows are separate documents of
-the stream; equal places of the stream go by id, text and row; texts of any
-length count whole; other columns, whatever their names, stay as they are; no
-documents, no rows.  The table of sources, one row each, is walked in one task.  ``allocate`` counts the copy at which a source's budget
+the stream; documents without an id are ordered by a hash of their text; equal
+places of the stream go by size in ``allocate``, by text, size and row in
+``curriculum``; texts of any length count whole; other columns, whatever their
+names, stay as they are; no documents, no rows.
+
+The table of sources, one row each, is walked in one task.  ``allocate`` counts the copy at which a source's budget
 ends in part, so that sources meet their targets to the word; ``curriculum``
 takes whole copies only (``whole_copies``).
 """
@@ -24,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage, unused, with_prefix
+from .common import WORD, only_last_table_stays, stage, unused, with_prefix
 
 MAX_EPOCHS = 3
 
@@ -98,7 +101,7 @@ def allocate(docs: DataFrame, schedule: Callable[[Column], tuple[Column, Column]
 
     ``copies`` lists (epoch, taken, position) of every copy that takes words.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
     rows = streams(docs.select("doc_id", source_key(F.col("source")).alias("source_key"), n_words().alias("size"), key.alias("order_key")), ["order_key", "size"], schedule, max_epochs)
     rows = budgeted(rows, max_epochs)
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda total, c: total + c["taken"])
@@ -161,9 +164,10 @@ def curriculum(docs: DataFrame, schedule: Callable[[Column], tuple[Column, Colum
     row, key, copy = unused(docs, "row", "key", "copy")
     by_text = F.md5(F.coalesce("text", F.lit("")))
     order = F.concat(F.coalesce(F.md5(F.col("doc_id").cast("string")), by_text), by_text)
-    numbered = stage(docs.select("*", F.monotonically_increasing_id().alias(row), order.alias(key)), "numbered")
+    numbered = stage(docs.select("*", F.monotonically_increasing_id().alias(row), order.alias(key)), "numbered", compression="zstd")
     sizes = numbered.select(F.col(row).alias("row"), source_key(F.col("source")).alias("source_key"), n_words().alias("size"), F.col(key).alias("order_key"))
-    plan = whole_copies(streams(sizes, ["order_key", "size", "row"], schedule, max_epochs), max_epochs)
+    with only_last_table_stays(docs.sparkSession):
+        plan = stage(whole_copies(streams(sizes, ["order_key", "size", "row"], schedule, max_epochs), max_epochs), "plan")
     plan = plan.select(F.col("row").alias(row), F.explode("copies").alias(copy))
     return numbered.join(plan, row).orderBy(f"{copy}.position", key, row, f"{copy}.epoch").select(*docs.columns)
 

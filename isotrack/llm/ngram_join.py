@@ -51,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, partitions_for, stage, unused
+from .common import connected_components, discard, only_last_table_stays, partitions_for, stage, unused
 from .kernels import U, distinct, mix, signed, slices, window_hashes, word_digests
 
 NO_ID = -(2**63)
@@ -371,13 +371,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 def one_per_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row of each component, all columns unchanged: that of the smallest doc_id, null last.
 
-    Rows are numbered and the numbers joined, so that rows that share an id, or lack one, are linked and chosen
-    each by its own text.  Of rows with the smallest id, the one with the lowest number stays.
+    A row is named by a 64-bit hash of its id and text, so that rows that share an id, or lack one, are linked and
+    chosen each by its own text, and no copy of the texts is written.  Of several rows with the smallest id, that of
+    the lowest hash stays, and of rows equal in id and text any one.  A chance meeting of two hashes keeps a row too
+    many and loses none.  Rows without words stay all.
     """
-    (row,) = unused(docs, "__row")
-    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    groups = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), k, num, den)
-    ids = numbered.select(F.col(row).alias("member"), F.col("doc_id").alias("id"))
-    least = F.min_by("member", F.struct(F.col("id").isNull().alias("none"), "id", "member"))
-    kept = groups.join(ids, groups["doc_id"] == ids["member"]).groupBy("component_id").agg(least.alias("kept"))
-    return numbered.join(kept, numbered[row] == kept["kept"], "left_semi").select(*docs.columns)
+    name, digest = unused(docs, "__name", "__digest")
+    named = docs.withColumn(name, F.xxhash64("doc_id", "text"))
+    with only_last_table_stays(docs.sparkSession):
+        groups = near_duplicates(named.select(F.col(name).alias("doc_id"), "text"), k, num, den)
+        groups = groups.groupBy("doc_id", "component_id").agg(F.max("n_shingles").alias("n"))
+        ids = named.groupBy(F.col(name).alias("doc_id")).agg(F.min(named["doc_id"]).alias("id"), F.count("*").alias("rows"))
+        chosen = F.min_by(F.struct("doc_id", "n", "rows"), F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")).alias("chosen")
+        kept = stage(groups.join(ids, "doc_id").groupBy("component_id").agg(chosen).select("chosen.*"), "kept")
+    repeated = (F.col("n") > 0) & (F.col("rows") > 1)
+    of = lambda rows: named.join(rows.select(F.col("doc_id").alias(name)), name, "left_semi")
+    several = of(kept.where(repeated)).withColumn(digest, F.sha2("text", 256)).dropDuplicates([name, digest])
+    return of(kept.where(~repeated)).select(*docs.columns).union(several.select(*docs.columns))

@@ -132,7 +132,7 @@ FROM shown GROUP BY conv_id
 WITH sizes AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS h
+         md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS h
   FROM documents
 ), per AS (
   SELECT k, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY k) - 1 AS r FROM sizes GROUP BY k
