@@ -89,15 +89,15 @@ def shapley_bootstrap(rows: DataFrame, weights: DataFrame, start: str = "start",
 
 
 def between_shares(means: DataFrame, by: list[str]) -> DataFrame:
-    """(by, between_share, within_share, total_variation) of (by, group, cell_id, je, jl, pe, pl): joint and group shares of both periods; null where a group is missing from one."""
+    """(by, between_share, within_share, total_variation, closure_max_abs) of (by, group, cell_id, je, jl, pe, pl): joint and group shares of both periods; null where a group is missing from one."""
     ge, gl, change = F.try_divide("je", "pe"), F.try_divide("jl", "pl"), F.col("jl") - F.col("je")
     cells = means.groupBy(*by, "cell_id").agg(
         F.sum((F.col("pl") - F.col("pe")) * (ge + gl) / 2).alias("b"), F.sum((F.col("pe") + F.col("pl")) / 2 * (gl - ge)).alias("w"), F.sum(change).alias("d"),
         F.min(F.least("pe", "pl")).alias("least"),
-    )
+    ).withColumn("rest", F.abs(F.col("d") - F.col("b") - F.col("w")))
     square, whole = F.sum(F.col("d") * F.col("d")), F.min("least") > 0
     share = lambda c: F.when(whole, F.try_divide(F.sum(F.col(c) * F.col("d")), square))
-    return cells.groupBy(*by).agg(share("b").alias("between_share"), share("w").alias("within_share"), F.when(whole, F.sum(F.abs("d")) / 2).alias("total_variation"))
+    return cells.groupBy(*by).agg(share("b").alias("between_share"), share("w").alias("within_share"), F.when(whole, F.sum(F.abs("d")) / 2).alias("total_variation"), F.when(whole, F.max("rest")).alias("closure_max_abs"))
 
 
 def between_bootstrap(joint: DataFrame, weights: DataFrame, group: str, year: str = "season") -> DataFrame:
