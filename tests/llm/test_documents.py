@@ -280,6 +280,23 @@ def test_mixing_of_null_and_repeated_ids(spark):
     assert abs(sum(len(r.text.split()) for r in mixed) - sum(len(t.split()) for t in texts)) <= 4
 
 
+def test_allocate_orders_null_ids_by_text(spark):
+    rng = random.Random(17)
+    rows = [(None, words(rng, rng.randint(1, 30)), "ab"[i % 2]) for i in range(40)] + [(None, None, "a")]
+    got = mixing.allocate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    for source in "ab":
+        stream = sorted((t or "" for _, t, s in rows if s == source), key=lambda t: digest(digest(t)))
+        sizes = [len(t.split()) for t in stream]
+        target = {r.target for r in got if r.source_size == sum(sizes)}
+        assert len(target) == 1
+        budget, want, before = round(target.pop()), [], 0
+        for n in sizes:
+            want.append((n, sum(max(0, min(n, budget - before - e * sum(sizes))) for e in range(3))))
+            before += n
+        assert sorted((r.size, r.taken) for r in got if r.source_size == sum(sizes)) == sorted(want)
+
+
 def test_mixing_takes_whole_texts(spark):
     rng = random.Random(13)
     small = [(100 + i, "a\n\nb  " + words(rng, rng.randint(1, 90)), f"s{i % 25:02}") for i in range(100)]
