@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.scratch import cut
 from .density import bin_index
 from .packed import DIGITS, by_cell, chunks, matrix
-from .resampled import between_shares, by_year, dot, label_permutation, summary
+from .resampled import between_shares, by_year, dot, label_permutations, summary
 
 Period = tuple[int, int]
 
@@ -137,15 +137,12 @@ def domain_sensitivity(points: DataFrame, members: DataFrame, domains: list[tupl
 
 
 def domain_null(points: DataFrame, labels: DataFrame, domains: list[tuple[str, tuple, float, bool]], replicates: int, seed: int, year: str = "season", entity: str = "sid") -> DataFrame:
-    """``label_permutation`` for each domain, with the columns mode and those of the test; labels: (year, entity, period, label)."""
+    """``label_permutation`` for each domain, all in one pass, with the columns mode and those of the test; labels: (year, entity, period, label)."""
     shares, entities = inside_domains(points, domains, year, entity)
-    shares, valid = cut(shares), cut(entities.where("valid").select("mode", year, entity))
-    out = None
-    for i, (mode, *_) in enumerate(domains):
-        of = lambda df: df.where(F.col("mode") == mode).drop("mode")  # noqa: B023, E731
-        test = label_permutation(of(shares), labels.join(of(valid), [year, entity]), replicates, seed + i, year).select(F.lit(mode).alias("mode"), "*")
-        out = test if out is None else out.union(test)
-    return out
+    held = labels.join(entities.where("valid").select("mode", year, entity), [year, entity])
+    seeds = {mode: seed + i for i, (mode, *_) in enumerate(domains)}
+    tests = label_permutations(shares.withColumnRenamed(entity, "sid"), held.withColumnRenamed(entity, "sid"), ["mode"], seeds, replicates, year)
+    return tests.select(F.get(F.array(*map(F.lit, seeds)), F.col("test")).alias("mode"), *[c for c in tests.columns if c != "test"])
 
 
 def field_shares(points: DataFrame, fields: list[tuple[str, Column, float]], box: tuple = (100.0, 180.0, 0.0, 40.0), year: str = "season", entity: str = "sid") -> DataFrame:
