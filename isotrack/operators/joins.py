@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,29 +76,53 @@ def paired_contrast(df: DataFrame, identity: list[str], factor: str, a: str, b:
     return side(a, "value_a").join(side(b, "value_b"), identity).withColumn("shift", F.col("value_b") - F.col("value_a"))
 
 
+CROWD, FINEST = 16, 8  # positions that a bin should hold at most; how often bins are cut by four for that
+
+
 def nearest_cell_join(points: DataFrame, cells: DataFrame, point_id: str, max_km: float, width: float, itself: bool = True) -> DataFrame:
-    """Each point with the nearest cell within max_km, by bins at least as wide as the radius.
+    """Each point with the nearest cell within max_km, by bins of twice ``width``, which is at least as wide as the radius.
 
     Without ``itself``, a point is not matched to the cell of its own id.
-    Cells are copied to the nine bins around theirs; the east-west copies wrap.  A point's candidates are reduced
-    where they are made, so one row a point is shuffled.
+    A position holds its cells of the two smallest ids, whatever it has.  A point looks into the four bins around it; what
+    is nearer than half a bin is seen.  Bins are first so fine that the fullest holds few positions; points whose
+    nearest cell may lie beyond them look again in bins four times as wide, so crowded places cost no pairs.  Longitudes wrap.
     """
-    n = int(360 // width)
-    near = cells.withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    near = near.withColumns({"by": F.floor(F.col("cell_lat") / width) + F.col("dy"), "bx": F.pmod(F.floor(F.col("cell_lon") / width) + F.col("dx"), F.lit(n))}).drop("dx", "dy")
-    at = points.withColumns({"by": F.floor(F.col("lat") / width), "bx": F.pmod(F.floor(F.col("lon") / width), F.lit(n))})
-    axes = lambda lat, lon: [F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat))]
-    near = near.withColumns({f"__c{i}": x for i, x in enumerate(axes("cell_lat", "cell_lon"))})
-    at = at.withColumns({f"__p{i}": x for i, x in enumerate(axes("lat", "lon"))})
-    out = at.join(near, ["by", "bx"])
-    out = out if itself else out.where(F.col(point_id) != F.col("cell_id"))
-    apart = sum(((F.col(f"__p{i}") - F.col(f"__c{i}")) * (F.col(f"__p{i}") - F.col(f"__c{i}")) for i in range(3)), F.lit(0.0))
+    others = [c for c in cells.columns if c not in ("cell_id", "cell_lat", "cell_lon")]
+    axes = lambda lat, lon: F.array(F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat)))
+    own = cells.groupBy("cell_lat", "cell_lon", "cell_id").agg(F.min(F.struct(*others)).alias("__o")) if others else cells.select("cell_lat", "cell_lon", "cell_id").distinct()
+    first = Window.partitionBy("cell_lat", "cell_lon").orderBy("cell_id")
+    two = own.withColumn("__r", F.row_number().over(first)).where("__r <= 2").groupBy("cell_lat", "cell_lon").agg(F.array_sort(F.collect_list(F.struct("cell_id", *(["__o"] if others else [])))).alias("__two"))
+    spots = cut(two)
+    bins = lambda lat, lon, w: (F.floor(F.col(lat) / w), F.pmod(F.floor(F.col(lon) / w), F.lit(int(360 // w))))
+
+    def crowded(w: float) -> bool:
+        by, bx = bins("cell_lat", "cell_lon", w)
+        return (spots.groupBy(by.alias("by"), bx.alias("bx")).count().agg(F.max("count")).first()[0] or 0) > CROWD
+
+    widths = [2 * width]
+    while len(widths) <= FINEST and crowded(widths[-1]):
+        widths.append(widths[-1] / 4)
     reach = (2 * math.sin(min(max_km / EARTH_KM, math.pi) / 2)) ** 2
-    out = out.where(apart <= reach * (1 + 1e-9) + 1e-14)  # chords are cheap, arcs are for those that may be near enough
-    out = out.withColumn("match_km", great_circle_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"))).where(F.col("match_km") <= max_km)
-    others = [c for c in cells.columns if c != "cell_id"]
-    best = out.groupBy(point_id).agg(F.min(F.struct("match_km", "cell_id", *others)).alias("__m"), F.any_value(F.struct(*[c for c in points.columns if c != point_id])).alias("__p"))
-    return best.select(point_id, "__p.*", "__m.cell_id", *[F.col(f"__m.{c}") for c in others], "__m.match_km")
+    pending, done = points, []
+    for w in reversed(widths):
+        by, bx = bins("cell_lat", "cell_lon", w)
+        near = spots.select("cell_lat", "cell_lon", "__two", by.alias("by"), bx.alias("bx"))
+        sides = [F.array(F.floor(x), F.floor(x) + F.when(x - F.floor(x) < 0.5, -1).otherwise(1)) for x in (F.col("lat") / w, F.col("lon") / w)]
+        at = pending.withColumn("by", F.explode(sides[0])).withColumn("bx", F.explode(sides[1])).withColumn("bx", F.pmod("bx", F.lit(int(360 // w))))
+        out = at.join(near, ["by", "bx"])
+        out = out.withColumn("__c", F.get("__two", F.lit(0)) if itself else F.get(F.filter("__two", lambda c: c["cell_id"] != F.col(point_id)), F.lit(0))).where("__c IS NOT NULL")
+        out = out.withColumn("__d", F.zip_with(axes("lat", "lon"), axes("cell_lat", "cell_lon"), lambda x, y: (x - y) * (x - y))).where(F.aggregate("__d", F.lit(0.0), lambda t, x: t + x) <= reach * (1 + 1e-9) + 1e-14)
+        out = out.withColumn("match_km", great_circle_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon"))).where(F.col("match_km") <= max_km)
+        if w != widths[0]:
+            seen = F.asin(F.cos(F.radians("lat")) * math.sin(math.radians(w / 2))) * EARTH_KM
+            out = out.where(F.col("match_km") <= seen * (1 - 1e-7))
+        best = out.groupBy(point_id).agg(F.min(F.struct("match_km", F.col("__c.cell_id").alias("cell_id"), "cell_lat", "cell_lon", *[F.col(f"__c.__o.{c}").alias(c) for c in others])).alias("__m"), F.any_value(F.struct(*[c for c in points.columns if c != point_id])).alias("__p"))
+        best = best.select(point_id, "__p.*", "__m.cell_id", *[F.col(f"__m.{c}") for c in cells.columns if c != "cell_id"], "__m.match_km")
+        if w != widths[0]:
+            best = cut(best)
+            pending = cut(pending.join(best.select(point_id), point_id, "left_anti"))
+        done.append(best)
+    return reduce(DataFrame.unionAll, done)
 
 
 def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:

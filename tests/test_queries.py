@@ -64,3 +64,31 @@ def test_nearest_cell_without_itself(spark):
     cells = p.toDF("cell_id", "cell_lat", "cell_lon")
     assert {(r.event_id, r.cell_id) for r in joins.nearest_cell_join(p, cells, "event_id", 75.0, 1.0, itself=False).collect()} == {(1, 2), (2, 1)}
     assert {(r.event_id, r.cell_id) for r in joins.nearest_cell_join(p, cells, "event_id", 75.0, 1.0).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_nearest_cell_in_crowded_places(spark):
+    """Copies of a place and crowds far apart: matches are those of all pairs, without a pair for each two of a crowd."""
+    import math
+    import random
+
+    from isotrack.operators import joins
+
+    rng = random.Random(4)
+    places = [(10 + rng.random() / 50, 359.99 + rng.random() / 50) for _ in range(300)] + [(10.3, 120.1)] * 300 + [(rng.uniform(-40, 40), rng.uniform(118, 124)) for _ in range(300)] + [(10.0, 0.4)]
+    p = spark.createDataFrame([(i, lat, lon % 360) for i, (lat, lon) in enumerate(places)], "event_id long, lat double, lon double")
+    rows = [tuple(r) for r in p.collect()]
+
+    def km(a, b):
+        x, y, u, v = map(math.radians, (a[1], b[1], a[2], b[2]))
+        h = math.sin((y - x) / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin((v - u) / 2) ** 2
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(h)))
+
+    cells = p.toDF("cell_id", "cell_lat", "cell_lon")
+    found = joins.nearest_cell_join(p, cells, "event_id", 75.0, 1.0, itself=False).collect()
+    want = {}
+    for a in rows:
+        near = min((round(km(a, b), 7), b[0]) for b in rows if b[0] != a[0])
+        if near[0] <= 75:
+            want[a[0]] = near
+    assert {r.event_id: (round(r.match_km, 7), r.cell_id) for r in found} == want and len(found) == len(want)
+    assert all((r.cell_lat, r.cell_lon) == rows[r.cell_id][1:] for r in found)
