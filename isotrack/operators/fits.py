@@ -19,6 +19,7 @@ from .models import hac_regression
 
 ALPHAS = np.logspace(-3, 3, 50)
 FEW = 16  # tasks whose sums, a row a center each, the driver adds itself; those of more are added by a shuffle
+LANE = 1024  # vectors that meet all centers at once; their memberships stay in the processor's cache
 
 
 def known_rows(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -205,8 +206,8 @@ def glm_table(df: DataFrame, y: str, xs: list[str], family: str = "binomial", of
 class Fits:
     """Centers of all fits, one under the other; fit f has rows first[f] to first[f + 1]."""
 
-    def __init__(self, ks: list[int], seeds: int):
-        self.names = [(k, s) for k in ks for s in range(seeds)]
+    def __init__(self, names: list[tuple[int, int]]):
+        self.names = names
         self.first = np.concatenate([[0], np.cumsum([k for k, _ in self.names])])
 
     def memberships(self, x: np.ndarray, centers: np.ndarray, m: float) -> np.ndarray:
@@ -237,21 +238,23 @@ def cluster_scan(df: DataFrame, id_: str, vector: str, ks: list[int], seeds: int
     """
     spark = df.sparkSession
     data = cut(df.select(F.col(id_).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")))
-    fits, pieces = Fits(ks, seeds), data.rdd.getNumPartitions()
+    fits, pieces = Fits([(k, s) for k in ks for s in range(seeds)]), data.rdd.getNumPartitions()
     rows, dim = data.agg(F.count("*"), F.max(F.size("v"))).first()
     if not rows:
         raise ValueError("no vectors")
     total = int(fits.first[-1])
     centers, live, iterations = np.zeros((total, dim)), np.ones(len(fits.names), bool), np.zeros(len(fits.names), int)
 
-    def passed(statistics, width: int) -> np.ndarray:
-        """Sum over all vectors of ``statistics`` (a matrix of fits' centers by ``width``)."""
+    def passed(statistics, width: int, total: int = total) -> np.ndarray:
+        """Sum over all vectors of ``statistics`` (a matrix of ``total`` centers by ``width``)."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out, any_ = np.zeros((total, width)), False
             for pdf in batches:
                 if len(pdf):
-                    out, any_ = out + statistics(pdf["id"].to_numpy(), np.stack(pdf["v"])), True
+                    ids, x = pdf["id"].to_numpy(), np.concatenate(pdf["v"].to_numpy()).reshape(len(pdf), -1)
+                    for k in range(0, len(x), LANE):
+                        out, any_ = out + statistics(ids[k : k + LANE], x[k : k + LANE]), True
             if any_:
                 yield pd.DataFrame({"row": np.arange(total), "s": list(out)})
 
@@ -263,7 +266,7 @@ def cluster_scan(df: DataFrame, id_: str, vector: str, ks: list[int], seeds: int
             out[r.row] += r.s
         return out
 
-    def shares(begin: bool, now: np.ndarray):
+    def shares(begin: bool, fits: Fits, now: np.ndarray):
         def statistics(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
             u = (fits.dealt(ids) if begin else fits.memberships(x, now, m)) ** m
             return np.column_stack([u.T @ x, u.sum(0)])
@@ -271,11 +274,12 @@ def cluster_scan(df: DataFrame, id_: str, vector: str, ks: list[int], seeds: int
         return statistics
 
     for step in range(steps):
-        found = passed(shares(step == 0, centers), dim + 1)
-        new = found[:, :-1] / found[:, -1:]
+        of = np.repeat(live, np.diff(fits.first))  # fits at rest take no more part in a pass
+        found = passed(shares(step == 0, Fits([name for name, l in zip(fits.names, live) if l]), centers[of]), dim + 1, int(of.sum()))
+        new = centers.copy()
+        new[of] = found[:, :-1] / found[:, -1:]
         moved = np.maximum.reduceat(np.abs(new - centers).max(1), fits.first[:-1])
-        of = np.repeat(live, np.diff(fits.first))
-        centers = np.where(of[:, None], new, centers)
+        centers = new
         iterations[live] += 1
         if step:
             live &= moved >= tolerance
