@@ -232,6 +232,45 @@ def projection_permutation(shares: DataFrame, blocks: DataFrame, n_early: int, r
     return d.where("rep > 0").crossJoin(F.broadcast(seen)).agg(F.max("seen").alias("separation"), part.alias("p_value"))
 
 
+PRIMES = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]  # 1, 2, 3 and 5 of xxHash64
+
+
+def xxhash_then(state: np.ndarray, number: int) -> np.ndarray:
+    """``F.xxhash64(..., number)`` from the hash ``state`` of what comes before the number, an int of 32 bits."""
+    one, two, three, five = PRIMES
+    with np.errstate(over="ignore"):
+        h = (state.view(np.uint64) + (five + np.uint64(4))) ^ (np.uint64(number & 0xFFFFFFFF) * one)
+        h = (h << np.uint64(23) | h >> np.uint64(41)) * two + three
+        h = (h ^ h >> np.uint64(33)) * two
+        h = (h ^ h >> np.uint64(29)) * three
+        return (h ^ h >> np.uint64(32)).view(np.int64)
+
+
+def dealt_counts(points: DataFrame, id_: str, years: list[int], trials: int, year: str = "season") -> DataFrame:
+    """(trial, year, cell_id, n): points of each cell and year, their years dealt anew in every trial by a hash of id and trial.
+
+    A task counts its points for all trials at once; what leaves it is a row a trial and cell, whose years are one array.
+    """
+    n = len(years)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places: dict = {}
+        counts = np.zeros((trials, 0), np.int64)
+        for pdf in batches:
+            cells, own = np.unique(pdf.cell_id.to_numpy(), return_inverse=True)
+            own = np.array([places.setdefault(int(c), len(places)) for c in cells], np.int64)[own] * n if len(cells) else own
+            counts = np.pad(counts, ((0, 0), (0, len(places) * n - counts.shape[1])))
+            state = pdf.state.to_numpy()
+            for trial in range(trials):
+                counts[trial] += np.bincount(own + xxhash_then(state, trial) % n, minlength=counts.shape[1])
+        for trial in range(trials if places else 0):
+            yield pd.DataFrame({"trial": np.full(len(places), trial, np.int32), "cell_id": np.array(list(places), np.int32), "ns": list(counts[trial].reshape(-1, n))})
+
+    parts = points.select(F.col("cell_id").cast("int").alias("cell_id"), F.xxhash64(id_).alias("state")).mapInPandas(run, "trial int, cell_id int, ns array<bigint>")
+    sums = parts.groupBy("trial", "cell_id").agg(F.array(*[F.struct(F.lit(y).alias(year), F.sum(F.get("ns", F.lit(i))).alias("n")) for i, y in enumerate(years)]).alias("all"))
+    return sums.select("trial", "cell_id", F.inline("all")).where("n > 0").select("trial", year, "cell_id", "n")
+
+
 def null_calibration(trials: DataFrame, blocks: DataFrame, n_early: int, replicates: int, seed: int, year: str = "season") -> DataFrame:
     """(trial, fixed_p, refit_p): the p value of each simulated set of shares (trial, year, cell_id, share), with
     scores fitted once and shuffled, and with the pattern fitted anew in every shuffle.
@@ -261,7 +300,7 @@ def null_calibration(trials: DataFrame, blocks: DataFrame, n_early: int, replica
                 out.append((trial, (fixed + 1) / (replicates + 1), (refit + 1) / (replicates + 1)))
             yield pd.DataFrame(out, columns=["trial", "fixed_p", "refit_p"])
 
-    products = year_products(trials, ["trial"], year)
+    products = cut(year_products(trials, ["trial"], year))  # a row a trial, read twice
     if not products.where(F.size("years") != len(years)).isEmpty():
         raise ValueError("every trial must have all years")
     return products.select("trial", "gram").mapInPandas(run, "trial int, fixed_p double, refit_p double")

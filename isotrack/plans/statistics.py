@@ -129,11 +129,8 @@ TRIALS = 200
 @query("null_calibration")
 def null_calibration(spark, d):
     """Rejection rates of the projection tests on sets of the table's points whose seasons are dealt by a hash."""
-    years = seasons(spark, d).agg(F.sort_array(F.collect_list("season")).alias("years"))
-    cells = density.with_cell(points(spark, d)).select("event_id", "cell_id").crossJoin(F.broadcast(years))
-    dealt = cells.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(TRIALS - 1))))
-    dealt = dealt.withColumn("season", F.get("years", F.pmod(F.xxhash64("event_id", "trial"), F.size("years")).cast("int")))
-    counts = dealt.groupBy("trial", "season", "cell_id").agg(F.count("*").alias("n"))
+    years = sorted(r.season for r in seasons(spark, d).collect())  # a row a year
+    counts = packed.dealt_counts(density.with_cell(points(spark, d)), "event_id", years, TRIALS)
     total = counts.groupBy("trial", "season").agg(F.sum("n").alias("all"))
     shares = counts.join(total, ["trial", "season"]).select("trial", "season", "cell_id", (F.col("n") / F.col("all")).alias("share"))
     return packed.rejection_rates(packed.null_calibration(shares, blocks_of(spark, d), 15, 199, 72))

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from isotrack.operators import contrast, inference, packed
 
@@ -147,3 +148,12 @@ def test_numbered(spark):
     got = {r.sid: r.remapped for r in tracks.rank_remap(frame.where("sid < 4"), donor, "v").collect()}
     order = sorted(range(4), key=lambda i: (rows[i][1], i))
     assert all(abs(got[sid] - np.quantile([1, 5, 9], (k + 0.5) / 4)) < 1e-12 for k, sid in enumerate(order))
+
+
+def test_dealt_counts(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") != 7, F.col("id") * 977).alias("event_id"), (F.col("id") % 11).cast("int").alias("cell_id")).repartition(3)
+    years = [1, 2, 5, 9, 30]
+    got = {tuple(r) for r in packed.dealt_counts(rows, "event_id", years, 8).collect()}
+    long = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    long = long.withColumn("season", F.get(F.array(*map(F.lit, years)), F.pmod(F.xxhash64("event_id", "trial"), F.lit(5)).cast("int")))
+    assert got == {tuple(r) for r in long.groupBy("trial", "season", "cell_id").count().collect()}
