@@ -62,7 +62,7 @@ SALT = 8192  # members of a key in one part
 SETS_EACH = 1000  # pairs whose sets one partition compares
 SKETCH = 512  # bits of the short sketch of the whole set; the wide one has as many as the set has elements
 SCHEMES = ((1, 1, 6), (2, 2, 8), (20, 2, 6), (30, 1, 3), (float("inf"), 0, 1))  # (most elements apart, r, m)
-BLOCK_BITS = 256
+BLOCK_BITS = 1 << 32  # so many that a key tells its shingles apart, and unlike sets hardly ever meet by chance
 CHUNK_BITS, BUCKET = 14, 1_000_000  # nodes of a chunk, as bits of their number; keys of a bucket
 SIGNATURE = "row long, doc_id long, n long, f1 long, f2 long, sketch array<long>, wide array<long>, keys array<long>"
 LISTS = "bucket long, chunk long, packed binary, owner binary, more binary, node long, doc_id long, n long, f1 long, f2 long, sketch array<long>, wide array<long>"

@@ -123,6 +123,14 @@ def test_sketch_distance_is_a_lower_bound():
         assert bits <= len(np.setxor1d(a, b))
 
 
+def test_keys_of_unlike_sets_differ():
+    rng = np.random.default_rng(6)
+    edges = ngram_join.band_edges(1 << 13)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (1000, 2000) for _ in range(400)]
+    _, owners = np.unique(np.concatenate([np.unique(ngram_join.join_keys(s, 80, 100, edges)) for s in sets]), return_counts=True)
+    assert owners.sum() > 300_000 and (owners > 1).sum() < 0.005 * len(owners)
+
+
 def test_wide_sketches_fold(spark):
     rng = np.random.default_rng(4)
     a = np.unique(rng.integers(0, 2**63, 1100).astype(np.uint64))
