@@ -23,7 +23,8 @@ packed, dealt out by value; each value's task answers which are shared, and
 only shared ones become rows.
 
 Members of a key are compared with one pivot first; only if members then lie in
-different components are more of them made pivots, until none is left.  Before
+different components are more of them made pivots, few at first, as components
+that grow together need not be compared, until none is left.  Before
 sets are compared, sketches are: too large a Hamming distance rules a pair out.
 Members of a key that many nodes have are spread by a salt, and so are pairs of
 a pivot that many keys have.
@@ -42,7 +43,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -56,7 +57,7 @@ from .kernels import U, distinct, mix, signed, slices, window_hashes, word_diges
 
 NO_ID = -(2**63)
 BAND = 1.3
-PIVOTS = 2048  # pivots of a key in later rounds
+PIVOTS = (1, 16, 256, 2048)  # pivots of a key in later rounds, one after the other; the last holds for those that follow
 SPREAD = 8  # parts that the pairs of one pivot are dealt to
 SALT = 8192  # members of a key in one part
 SETS_EACH = 1000  # pairs whose sets one partition compares
@@ -340,12 +341,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     labels = connected_components(edges)
     edges = stage(edges.union(verify(between(near, labels), docs, nodes, k, num, den)), "edges")
     held = [member]
-    while True:
+    for most in chain(PIVOTS, repeat(PIVOTS[-1])):
         components = connected_components(edges)
         labels = components.select(F.col("id").alias("node"), F.col("component").alias("label"))
         rest = rest.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         split = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("least"), F.count("*").alias("members"))
-        split = split.where("lo <> hi").select("key", "least", F.ceil(F.col("members") / PIVOTS).alias("every"), F.ceil(F.col("members") / SALT).cast("int").alias("parts"))
+        split = split.where("lo <> hi").select("key", "least", F.ceil(F.col("members") / most).alias("every"), F.ceil(F.col("members") / SALT).cast("int").alias("parts"))
         rest = rest.join(split, "key").dropDuplicates(["key", "node"])
         head = (F.pmod(F.xxhash64("node"), F.col("every")) == 0) | (F.col("node") == F.col("least"))
         rest = stage(rest.withColumn("head", head).withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int")).join(nodes.select("node", "n", "sketch"), "node"), "rest")

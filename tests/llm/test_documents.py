@@ -131,6 +131,28 @@ def test_keys_of_unlike_sets_differ():
     assert owners.sum() > 300_000 and (owners > 1).sum() < 0.005 * len(owners)
 
 
+def test_later_rounds_begin_with_few_pivots(spark, monkeypatch):
+    """Copies just under the threshold share keys; few of them are compared with all others before components have grown."""
+    rng, heads, write = random.Random(8), [], ngram_join.stage
+    base = words(rng, 120).split()
+    rows = []
+    for i in range(80):
+        w = list(base)
+        for at in rng.sample(range(120), rng.randint(2, 4)):
+            w[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(w)))
+
+    def watched(df, name, **options):
+        table = write(df, name, **options)
+        if name == "rest":
+            heads.append(table.groupBy("key").agg(F.count_if("head").alias("n")).agg(F.max("n")).first()[0])
+        return table
+
+    monkeypatch.setattr(ngram_join, "stage", watched)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == components(rows, 3, 90) and heads[0] and heads[0] <= 8
+
+
 def test_wide_sketches_fold(spark):
     rng = np.random.default_rng(4)
     a = np.unique(rng.integers(0, 2**63, 1100).astype(np.uint64))
