@@ -90,6 +90,22 @@ def scenario_shares(spark, d):
     return out.select("scenario", F.round("tv", 6).alias("tv"), F.round("share", 6).alias("share"))
 
 
+def drawn(days):
+    """A row for each day and year drawn for it, ``flow``, with ``of``: the cases (tag, member) that drew it, whose path is one and the same.
+
+    days: with ``cases``, an array of (tag, member, years).
+    """
+
+    def draw(c):
+        n = F.conv(F.substring(F.md5(F.concat_ws("_", F.lit(9), c["tag"], c["member"], "sid", "season")), 1, 8), 16, 10).cast("long")
+        return F.struct(c["tag"].alias("tag"), c["member"].alias("member"), F.get(c["years"], (n % F.size(c["years"])).cast("int")).alias("flow"))
+
+    days = days.withColumn("cases", F.transform("cases", draw))
+    days = days.withColumn("flow", F.explode(F.array_distinct(F.transform("cases", lambda c: c["flow"]))))
+    mine = F.filter("cases", lambda c: c["flow"].eqNullSafe(F.col("flow")))
+    return days.withColumn("of", F.transform(mine, lambda c: F.struct(c["tag"].alias("tag"), c["member"].alias("member")))).drop("cases")
+
+
 @query("year_ensemble", f"""WITH RECURSIVE {PTS}, {DAYS}, src AS (SELECT *, season AS flow FROM pts), {nodes("flow")}, ys AS (SELECT season <= 15 AS early, list_sort(list(DISTINCT season)) AS years FROM pts GROUP BY 1),
 sed AS (SELECT CASE WHEN early THEN 'A' ELSE 'B' END AS tag, m AS member, sid, season, years[('0x' || substr(md5('9_' || (CASE WHEN early THEN 'A' ELSE 'B' END) || '_' || m || '_' || sid || '_' || season), 1, 8))::BIGINT % len(years) + 1] AS flow, lat, lon, steps FROM day, ys, (SELECT unnest(range({MEMBERS})) AS m) WHERE season <= 15),
 {walk("tag, member, sid, season", "flow")}, {relative_sql("wlk", "tag, member")}, n AS (SELECT tag, count(DISTINCT member)::DOUBLE AS n FROM rel GROUP BY tag)
@@ -98,10 +114,10 @@ def year_ensemble(spark, d):
     """Paths of the earlier days' starts in the flows of years drawn from either half, twenty times each: mean and spread of where they go."""
     p = points(spark, d)
     years = p.select(F.when(F.col("season") <= 15, "A").otherwise("B").alias("tag"), "season").distinct().groupBy("tag").agg(F.sort_array(F.collect_list("season")).alias("years"))
-    cases = years.crossJoin(spark.range(MEMBERS).select(F.col("id").cast("int").alias("member")))
-    draw = F.conv(F.substring(F.md5(F.concat_ws("_", F.lit(9), "tag", "member", "sid", "season")), 1, 8), 16, 10).cast("long")
-    seeds = starts(p.where("season <= 15"), "sid", "season").crossJoin(F.broadcast(cases)).withColumn("flow", F.get("years", (draw % F.size("years")).cast("int")))
+    cases = years.crossJoin(spark.range(MEMBERS).select(F.col("id").cast("int").alias("member"))).agg(F.collect_list(F.struct("tag", "member", "years")).alias("cases"))
+    seeds = drawn(starts(p.where("season <= 15"), "sid", "season").crossJoin(F.broadcast(cases)))
     field = flow(p.withColumn("flow", F.col("season")), "flow")
-    path = advection.advect(seeds, field, ["tag", "member", "sid", "season"], ["flow"], **GRID)
+    path = advection.advect(seeds, field, ["sid", "season", "of"], ["flow"], **GRID)
+    path = path.select("season", "lat", "lon", F.inline("of"))
     out = advection.ensemble_noise(relative(path, "tag", "member"), "tag", "member")
     return out.select("tag", "cell_id", F.round("mean", 7).alias("mean"), F.round("sd", 7).alias("sd"))

@@ -159,3 +159,24 @@ def test_csv_and_manifest(spark, tmp_path):
     (tmp_path / "m" / "d.txt").write_text("new")
     got = {r.name: r.state for r in sinks.check_manifest(sinks.manifest(spark, str(tmp_path / "m")), frozen).collect()}
     assert got == {"a.txt": "same", "b.txt": "changed", "c.txt": "missing", "d.txt": "new"}
+
+
+def test_members_of_an_ensemble_share_paths(spark, monkeypatch):
+    from isotrack.plans import simulation
+
+    class Enough(Exception):
+        pass
+
+    seen = []
+
+    def advect(seeds, *_, **__):
+        seen.append(seeds)
+        raise Enough
+
+    monkeypatch.setattr(simulation.advection, "advect", advect)
+    with pytest.raises(Enough):
+        simulation.year_ensemble(spark, "/root/testdata/sf0.001")
+    seeds = seen[0]
+    days = seeds.select("sid", "season").distinct().count()
+    assert seeds.count() == seeds.select("sid", "season", "flow").distinct().count() < 30 * days
+    assert seeds.agg(F.sum(F.size("of"))).first()[0] == 2 * simulation.MEMBERS * days
