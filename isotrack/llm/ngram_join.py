@@ -22,6 +22,10 @@ never cross the network one by one: chunks of nodes list theirs sorted and
 packed, dealt out by value; each value's task answers which are shared, and
 only shared ones become rows.
 
+Similar sets share many keys of a band, at least as many as groups agree.  Each node leaves out its most frequent
+keys, one fewer than it shares with any similar set: as all nodes go by one order, the first key that two similar
+sets share is left out by neither.  So a passage that many unlike documents hold hardly brings them together.
+
 Members of a key are compared with one pivot first; only if members then lie in
 different components are more of them made pivots, few at first, as components
 that grow together need not be compared, until none is left.  Before
@@ -49,7 +53,7 @@ import numpy as np
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, only_last_table_stays, partitions_for, stage, unused
@@ -64,10 +68,11 @@ SETS_EACH = 1000  # pairs whose sets one partition compares
 SKETCH = 512  # bits of the short sketch of the whole set; the wide one has as many as the set has elements
 SCHEMES = ((1, 1, 6), (2, 2, 8), (20, 2, 6), (30, 1, 3), (float("inf"), 0, 1))  # (most elements apart, r, m)
 BLOCK_BITS = 1 << 32  # so many that a key tells its shingles apart, and unlike sets hardly ever meet by chance
+SLOTS = 16  # last digits of a key, those of its band's number
 CHUNK_BITS, BUCKET = 14, 1_000_000  # nodes of a chunk, as bits of their number; keys of a bucket
-SIGNATURE = "row long, doc_id long, n long, f1 long, f2 long, sketch array<long>, wide array<long>, keys array<long>"
-LISTS = "bucket long, chunk long, packed binary, owner binary, more binary, node long, doc_id long, n long, f1 long, f2 long, sketch array<long>, wide array<long>"
-ANSWERS = "bucket long, chunk long, shared binary, pivots array<long>"
+SIGNATURE = "row long, doc_id long, n long, f1 long, f2 long, sketch array<long>, wide array<long>, budget array<int>, keys array<long>"
+LISTS = "bucket long, chunk long, packed binary, owner binary, more binary, node long, doc_id long, n long, f1 long, f2 long, sketch array<long>, wide array<long>, budget array<int>"
+ANSWERS = "bucket long, chunk long, shared binary"
 SETS = "doc_id long, f1 long, f2 long, shingles array<long>"
 
 
@@ -102,9 +107,10 @@ def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, U)
 
 
-def join_keys(s: np.ndarray, num: int, den: int, edges: list[int]) -> np.ndarray:
-    """The block keys of a sorted set in every band that it joins."""
-    n, out = len(s), []
+def band_keys(s: np.ndarray, num: int, den: int, edges: list[int]) -> Iterator[tuple[int, np.ndarray, int]]:
+    """Every band that a sorted set joins, its block keys there and how many of them it can leave out: one fewer than
+    it shares with any similar set."""
+    n = len(s)
     band = int(np.searchsorted(edges, n, "right")) - 1
     for k in range(band, len(edges) - 1):
         if k > band and n * den < num * edges[k]:  # no set of that band is similar
@@ -119,10 +125,26 @@ def join_keys(s: np.ndarray, num: int, den: int, edges: list[int]) -> np.ndarray
         blank = (content == 0).reshape(groups, m)
         content = mix(content + mix(np.arange(groups * m, dtype=U), 100 + k)).reshape(groups, m)
         choices = [list(c) for c in combinations(range(m), m - r)]
-        keys = np.stack([mix(content[:, c].sum(axis=1)) for c in choices])
+        keys = np.stack([mix(content[:, c].sum(axis=1)) for c in choices]) // U(SLOTS) * U(SLOTS) + U(k % SLOTS)
         bare = np.stack([blank[:, c].all(axis=1) for c in choices])
-        out.append(keys.ravel() if bare.any(axis=0).sum() >= spare else keys[~bare])
-    return np.concatenate(out) if out else np.zeros(0, U)
+        bares = int(bare.any(axis=0).sum())
+        apart = (n + min(edges[k + 1] - 1, n * den // num)) * (den - num) // (den + num)
+        agree = groups - apart // (r + 1) - min(bares, spare - 1)  # either set may have left bare keys out
+        yield k, keys.ravel() if bares >= spare else keys[~bare], max(0, agree - 1)
+
+
+def join_keys(s: np.ndarray, num: int, den: int, edges: list[int]) -> np.ndarray:
+    """The block keys of a sorted set in every band that it joins."""
+    return np.concatenate([np.zeros(0, U), *(keys for _, keys, _ in band_keys(s, num, den, edges))])
+
+
+def keys_and_budget(s: np.ndarray, num: int, den: int, edges: list[int]) -> tuple[np.ndarray, list[int]]:
+    """The block keys of a sorted set and, by their last digits, how many can be left out; none where bands share these."""
+    bands, budget = list(band_keys(s, num, den, edges)), [0] * SLOTS
+    if len(bands) <= SLOTS:
+        for k, _, most in bands:
+            budget[k % SLOTS] = most
+    return np.concatenate([np.zeros(0, U), *(keys for _, keys, _ in bands)]), budget
 
 
 def whole_sketch(s: np.ndarray, bits: int = SKETCH) -> np.ndarray:
@@ -145,10 +167,10 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 for doc, s in zip(ids[lo:hi], shingle_sets(texts[lo:hi], k)):
                     if len(s) * den >= num * edges[-2]:
                         edges = band_edges(2 * len(s) * den // num)
-                    keys = join_keys(s, num, den, edges) if len(s) else s
-                    rows.append((row + len(rows), doc, len(s), int(signed(mix(s, 3).sum(keepdims=True))[0]), int(signed(mix(s, 4).sum(keepdims=True))[0]), whole_sketch(s), wide_sketch(s) if len(s) else [], signed(keys)))
+                    keys, budget = keys_and_budget(s, num, den, edges) if len(s) else (s, [])
+                    rows.append((row + len(rows), doc, len(s), int(signed(mix(s, 3).sum(keepdims=True))[0]), int(signed(mix(s, 4).sum(keepdims=True))[0]), whole_sketch(s), wide_sketch(s) if len(s) else [], budget, signed(keys)))
                 row += len(rows)
-                yield pd.DataFrame(rows, columns=["row", "doc_id", "n", "f1", "f2", "sketch", "wide", "keys"])
+                yield pd.DataFrame(rows, columns=["row", "doc_id", "n", "f1", "f2", "sketch", "wide", "budget", "keys"])
 
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").mapInPandas(sign, SIGNATURE)
 
@@ -165,7 +187,7 @@ def unpack(packed: bytes) -> np.ndarray:
 
 
 def key_lists(reps: DataFrame, buckets: int) -> DataFrame:
-    """Rows of two kinds: nodes (node, doc_id, n, f1, f2, sketch), and per chunk of nodes and bucket the
+    """Rows of two kinds: nodes (node, doc_id, n, f1, f2, sketch, wide, budget), and per chunk of nodes and bucket the
     sorted distinct keys, the first node of each, and (key's place, node) of the others."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,12 +229,11 @@ def others(more: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_keys(lists: DataFrame) -> DataFrame:
-    """(key, node, pivot) of every key that several nodes have; the pivot is the smallest of them."""
+    """(key, node) of every key that several nodes have."""
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         lists = [unpack(p) for p in pdf.packed]
         value = np.concatenate(lists)
-        node = np.concatenate([(c << CHUNK_BITS) + np.frombuffer(o, np.uint16).astype(np.int64) for c, o in zip(pdf.chunk, pdf.owner)])
         own = np.zeros(len(value), bool)  # shared inside its chunk
         ends = np.cumsum([len(x) for x in lists])
         for end, held, local in zip(ends, lists, pdf.local):
@@ -220,15 +241,14 @@ def shared_keys(lists: DataFrame) -> DataFrame:
         order = np.argsort(value, kind="stable")
         begin = np.flatnonzero(np.concatenate([[True], value[order][1:] != value[order][:-1]]))
         size = np.diff(np.append(begin, len(order)))
-        shared, pivot = np.empty(len(value), bool), np.empty(len(value), np.int64)
+        shared = np.empty(len(value), bool)
         shared[order] = np.repeat((size > 1) | np.logical_or.reduceat(own[order], begin), size)
-        pivot[order] = np.repeat(np.minimum.reduceat(node[order], begin), size)
         out = []
         for end, chunk, held in zip(ends, pdf.chunk, lists):
             part = slice(end - len(held), end)
             if shared[part].any():
-                out.append((pdf.bucket.iloc[0], chunk, np.packbits(shared[part]).tobytes(), pivot[part][shared[part]]))
-        return pd.DataFrame(out, columns=["bucket", "chunk", "shared", "pivots"])
+                out.append((pdf.bucket.iloc[0], chunk, np.packbits(shared[part]).tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "chunk", "shared"])
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -237,23 +257,35 @@ def shared_keys(lists: DataFrame) -> DataFrame:
                 bits = np.zeros(len(owner) // 2, bool)
                 bits[others(more)[0]] = True
                 local.append(np.packbits(bits).tobytes())
-            yield pdf.drop(columns="more").assign(local=local)
+            yield pdf.drop(columns=["owner", "more"]).assign(local=local)
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for bucket, chunk, packed, owner, more, shared, pivots in zip(pdf.bucket, pdf.chunk, pdf.packed, pdf.owner, pdf.more, pdf.shared, pdf.pivots):
+            for bucket, chunk, packed, owner, more, shared in zip(pdf.bucket, pdf.chunk, pdf.packed, pdf.owner, pdf.more, pdf.shared):
                 value, owner = unpack(packed), np.frombuffer(owner, np.uint16).astype(np.int64)
                 on = np.unpackbits(np.frombuffer(shared, np.uint8), count=len(value)).astype(bool)
-                pivot = np.zeros(len(value), np.int64)
-                pivot[on] = pivots
                 place, extra = others(more)
                 place = np.concatenate([np.flatnonzero(on), place])
                 nodes = (chunk << CHUNK_BITS) + np.concatenate([owner[on], extra.astype(np.int64)])
-                yield pd.DataFrame({"key": (bucket << 32) | value[place].astype(np.int64), "node": nodes, "pivot": pivot[place]})
+                yield pd.DataFrame({"key": (bucket << 32) | value[place].astype(np.int64), "node": nodes})
 
     held = lists.where("bucket IS NOT NULL").select("bucket", "chunk", "packed", "owner", "more")
-    told = held.mapInPandas(mark, "bucket long, chunk long, packed binary, owner binary, local binary").groupBy("bucket").applyInPandas(answer, ANSWERS)
-    return held.join(stage(told, "answers"), ["bucket", "chunk"]).mapInPandas(expand, "key long, node long, pivot long")
+    told = held.mapInPandas(mark, "bucket long, chunk long, packed binary, local binary").groupBy("bucket").applyInPandas(answer, ANSWERS)
+    return held.join(stage(told, "answers"), ["bucket", "chunk"]).mapInPandas(expand, "key long, node long")
+
+
+def rarest(member: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node, pivot) of the keys that several nodes still have when each has left out the most frequent ones that
+    its budgets allow; the pivot is the smallest of these nodes.  ``member`` has a row (key, node) for each time that a
+    node lists a key."""
+    sizes = member.groupBy("key").agg(F.count("*").alias("size"))
+    held = member.join(sizes, "key").withColumn("slot", F.col("key").bitwiseAND(SLOTS - 1).cast("int")).join(nodes.select("node", "budget"), "node")
+    place = F.row_number().over(Window.partitionBy("node", "slot").orderBy(F.desc("size"), "key"))
+    held = stage(held.select("key", "node", F.col("budget")[F.col("slot")].alias("most"), place.alias("place")).where("place > most").select("key", "node"), "held")
+    pivots = held.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last")
+    kept = stage(held.join(pivots.select("key", "pivot"), "key"), "members")
+    discard(held)
+    return kept
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -324,13 +356,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     signed_docs = stage(signatures(docs, k, num, den), "signatures")
     rows = stage(signed_docs.select("row", "doc_id", "n", "f1", "f2"), "rows")
     classes = stage(rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min_by("row", F.struct("doc_id", "row")).alias("row")), "classes")
-    reps = signed_docs.join(classes.select("row"), "row", "left_semi").select("doc_id", "n", "f1", "f2", "sketch", "wide", "keys")
+    reps = signed_docs.join(classes.select("row"), "row", "left_semi").select("doc_id", "n", "f1", "f2", "sketch", "wide", "budget", "keys")
     total = signed_docs.agg(F.sum(F.size("keys"))).first()[0] or 0
     lists = stage(key_lists(reps, max(1, -(-total // BUCKET))), "lists")
     discard(signed_docs)
-    nodes = stage(lists.where("node IS NOT NULL").select("node", "doc_id", "n", "f1", "f2", "sketch", "wide"), "nodes")
-    member = stage(shared_keys(lists), "members")
+    nodes = stage(lists.where("node IS NOT NULL").select("node", "doc_id", "n", "f1", "f2", "sketch", "wide", "budget"), "nodes")
+    shared = stage(shared_keys(lists), "shared")
     discard(lists)
+    member = rarest(shared, nodes)
+    discard(shared)
     rest = member.where("node <> pivot").select("key", "node")
     pairs = member.where("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("keys"))
     pairs = stage(sketched(pairs, nodes, num, den), "pairs")

@@ -131,6 +131,49 @@ def test_keys_of_unlike_sets_differ():
     assert owners.sum() > 300_000 and (owners > 1).sum() < 0.005 * len(owners)
 
 
+def test_frequent_keys_left_out_lose_no_link():
+    """However frequent keys are, similar sets share one that neither leaves out; bare keys and all schemes included."""
+    rng = np.random.default_rng(7)
+    edges = ngram_join.band_edges(1 << 13)
+    dropped = 0
+    for n in (6, 11, 19, 23, 40, 61, 79, 104, 134, 170, 226, 300, 383, 600, 838, 1089, 1500) * 4:
+        other = int(rng.integers(n, n * 100 // 80 + 1))
+        both = -(-80 * (n + other) // 180)  # as few as the similarity of 0.8 allows
+        if both > n:
+            continue
+        union = np.unique(rng.integers(0, 2**64, n + other - both, dtype=np.uint64))
+        rng.shuffle(union)
+        found = [ngram_join.keys_and_budget(np.sort(x), 80, 100, edges) for x in (union[:n], union[n - both :])]
+        common = np.intersect1d(found[0][0], found[1][0])
+        for order in (lambda k: np.isin(k, common), lambda k: np.zeros(len(k)), lambda k: k >> np.uint64(7)):  # what they share is the most frequent
+            kept = []
+            for keys, budget in found:
+                keys = keys[np.lexsort((keys, order(keys)))]
+                slots = [keys[keys % np.uint64(ngram_join.SLOTS) == slot] for slot in range(ngram_join.SLOTS)]
+                kept.append(np.concatenate([own[: max(0, len(own) - most)] for own, most in zip(slots, budget)]))
+                dropped += len(keys) - len(kept[-1])
+            assert len(np.intersect1d(*kept))
+    assert dropped > 1000
+
+
+def test_passage_of_unlike_documents_brings_few_together(spark, monkeypatch):
+    rng, held, write = random.Random(9), [], ngram_join.stage
+    passage = words(rng, 200)
+    rows = [(i, f"{words(rng, 150)} {passage} {words(rng, 150 + 2 * i)}") for i in range(60)]
+    rows += [(100 + i, " ".join(t.split()[:-10])) for i, t in rows[:20]]
+
+    def watched(df, name, **options):
+        table = write(df, name, **options)
+        if name == "members":
+            held.append(table.groupBy("key").count().agg({"count": "max"}).first()[0])
+        return table
+
+    monkeypatch.setattr(ngram_join, "stage", watched)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()}
+    assert got == components(rows, 5, 80) and sum(c < i for i, (_, c) in got.items()) == 20
+    assert held[0] <= 8
+
+
 def test_later_rounds_begin_with_few_pivots(spark, monkeypatch):
     """Copies just under the threshold share keys; few of them are compared with all others before components have grown."""
     rng, heads, write = random.Random(8), [], ngram_join.stage
