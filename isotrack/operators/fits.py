@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ from ..functions.tails import Z95, normal_two_sided
 from .models import hac_regression
 
 ALPHAS = np.logspace(-3, 3, 50)
-FEW = 16  # tasks whose sums, a row a center each, the driver adds itself; those of more are added by a shuffle
-LANE = 1024  # vectors that meet all centers at once; their memberships stay in the processor's cache
+FEW = 16  # tasks whose sums the driver adds itself; those of more are added by a shuffle
+LANE = 256  # vectors that meet all centers at once; their memberships stay in the processor's cache
 
 
 def known_rows(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -235,36 +236,49 @@ def cluster_scan(df: DataFrame, id_: str, vector: str, ks: list[int], seeds: int
     when no center moves by ``tolerance``.  xb is compactness over the least distance of centers (smaller is
     better), fpc the mean of squared memberships, ari the agreement of hard labels with the best fit of the same
     k.  Best is the smallest xb, then the largest fpc, then the smallest seed.  Ids are whole numbers, vectors complete.
+    Vectors are packed into matrices once and kept by the executors, so that a pass costs little beside its sums.
     """
     spark = df.sparkSession
-    data = cut(df.select(F.col(id_).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")))
-    fits, pieces = Fits([(k, s) for k in ks for s in range(seeds)]), data.rdd.getNumPartitions()
-    rows, dim = data.agg(F.count("*"), F.max(F.size("v"))).first()
+    data = df.select(F.col(id_).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    data = cut(data.mapInPandas(packed_vectors, "n long, dim long, ids binary, x binary"))
+    rows, dim = data.agg(F.sum("n"), F.max("dim")).first()
     if not rows:
         raise ValueError("no vectors")
-    total = int(fits.first[-1])
+    blocks = data.rdd.map(lambda r: (np.frombuffer(r.ids, np.int64), np.frombuffer(r.x).reshape(r.n, r.dim))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        out, chosen = scanned(blocks, rows, dim, Fits([(k, s) for k in ks for s in range(seeds)]), m, steps, tolerance)
+    finally:
+        blocks.unpersist()
+    schema = "k int, seed int, xb double, fpc double, iterations int, ari double, best_of_k boolean, selected boolean"
+    return spark.createDataFrame(out, schema), chosen
+
+
+def packed_vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A batch as a row: its ids, and its vectors one after the other."""
+    for pdf in batches:
+        if len(pdf):
+            x = np.concatenate(pdf["v"].to_numpy()).astype(float)
+            yield pd.DataFrame({"n": [len(pdf)], "dim": [len(x) // len(pdf)], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()]})
+
+
+def scanned(blocks: RDD, rows: int, dim: int, fits: Fits, m: float, steps: int, tolerance: float) -> tuple[list[tuple], np.ndarray]:
+    """Rows of ``cluster_scan`` and the chosen centers, from blocks of (ids, vectors)."""
+    pieces, total, ks = blocks.getNumPartitions(), int(fits.first[-1]), sorted({k for k, _ in fits.names})
     centers, live, iterations = np.zeros((total, dim)), np.ones(len(fits.names), bool), np.zeros(len(fits.names), int)
 
     def passed(statistics, width: int, total: int = total) -> np.ndarray:
         """Sum over all vectors of ``statistics`` (a matrix of ``total`` centers by ``width``)."""
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
             out, any_ = np.zeros((total, width)), False
-            for pdf in batches:
-                if len(pdf):
-                    ids, x = pdf["id"].to_numpy(), np.concatenate(pdf["v"].to_numpy()).reshape(len(pdf), -1)
-                    for k in range(0, len(x), LANE):
-                        out, any_ = out + statistics(ids[k : k + LANE], x[k : k + LANE]), True
+            for ids, x in found:
+                for k in range(0, len(x), LANE):
+                    out, any_ = out + statistics(ids[k : k + LANE], x[k : k + LANE]), True
             if any_:
-                yield pd.DataFrame({"row": np.arange(total), "s": list(out)})
-
-        parts = data.mapInPandas(run, "row int, s array<double>")
-        if pieces > FEW:
-            parts = parts.groupBy("row").agg(F.array(*[F.sum(F.get("s", F.lit(i))) for i in range(width)]).alias("s"))  # a row a center
-        out = np.zeros((total, width))
-        for r in sorted(parts.collect()):
-            out[r.row] += r.s
-        return out
+                yield out
+
+        parts = blocks.mapPartitions(run)
+        return parts.treeReduce(np.add) if pieces > FEW else sum(parts.collect())
 
     def shares(begin: bool, fits: Fits, now: np.ndarray):
         def statistics(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -319,8 +333,7 @@ def cluster_scan(df: DataFrame, id_: str, vector: str, ks: list[int], seeds: int
         a, b, chance = pairs(t.sum(1)), pairs(t.sum(0)), pairs(t.sum(1)) * pairs(t.sum(0)) / max(rows * (rows - 1) / 2, 1)
         ari = 1.0 if (a + b) / 2 == chance else (pairs(t) - chance) / ((a + b) / 2 - chance)
         out.append((k, seed, float(xb[f]), float(fpc[f]), int(iterations[f]), float(ari), f == best[k], f == chosen))
-    schema = "k int, seed int, xb double, fpc double, iterations int, ari double, best_of_k boolean, selected boolean"
-    return spark.createDataFrame(out, schema), final[fits.first[chosen] : fits.first[chosen + 1]]
+    return out, final[fits.first[chosen] : fits.first[chosen + 1]]
 
 
 def standard_vectors(df: DataFrame, id_: str, values: str) -> DataFrame:

@@ -145,6 +145,32 @@ def test_cluster_scan(spark):
         fits.cluster_scan(df.where("false"), "id", "v", [2], 1)
 
 
+def test_cluster_scan_query_runs_until_fits_settle(spark):
+    """Every fit of the query is that of a plain loop with the survey's 1,000 steps and 1e-5."""
+    from isotrack.plans.catalog import QUERIES
+    from isotrack.plans.fits import shapes
+
+    d = "/root/testdata/sf0.001"
+    rows = shapes(spark, d).select("sid", "vector").collect()
+    ids, x = np.array([r.sid for r in rows]), np.array([r.vector for r in rows])
+    got = {(r.k, r.seed): r for r in QUERIES["cluster_scan"](spark, d).collect()}
+    assert len(got) == 100 and sum(r.selected for r in got.values()) == 1
+    longest = 0
+    for (k, seed), r in got.items():
+        u, centers, step = fits.Fits([(k, seed)]).dealt(ids), np.zeros((k, 40)), 0
+        while step < 1000:
+            before, centers = centers, ((u**2).T @ x) / (u**2).sum(0)[:, None]
+            gaps = np.maximum(((x[:, None] - centers[None]) ** 2).sum(2), 1e-24)
+            u, step = (1 / gaps) / (1 / gaps).sum(1, keepdims=True), step + 1
+            if step > 1 and np.abs(centers - before).max() < 1e-5:
+                break
+        longest = max(longest, step)
+        apart = ((centers[:, None] - centers[None]) ** 2).sum(2)
+        assert r.xb == pytest.approx((u**2 * gaps).sum() / (len(x) * apart[apart > 0].min()), abs=1e-3, rel=1e-3), (k, seed)
+        assert r.fpc == pytest.approx((u * u).sum() / len(x), abs=2e-4), (k, seed)
+    assert longest > 60
+
+
 def test_standard_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 5.0]), (2, [3.0, 5.0])], "id int, x array<double>")
     got = {r.id: (r.vector, r.raw) for r in fits.standard_vectors(df, "id", "x").collect()}
