@@ -52,9 +52,10 @@ from .common import stage
 from .kernels import U, byte_table, distinct, powers, runs, signed, slices, sliding_min
 
 LENGTH, GRAM, HOT_GRAM = 50, 20, 40
-CHUNK, BUCKET, SHARD = 4 << 20, 16 << 20, 3 << 15  # bytes of text, of text again, of contexts
+CHUNK, BUCKET, SHARD = 4 << 20, 16 << 20, 3 << 14  # bytes of text, of text again, of contexts
 SLICE = 1 << 17  # bytes of text that are hashed at a time, which fit the caches
 HOT = 5_000
+STRINGS = 1 << 17  # strings that are filed one by one, at a time
 NO_ID = -(2**63)
 LISTS = "bucket long, chunk int, packed binary, local binary"
 ANSWERS = "chunk int, bucket long, shared binary, doc_id long, tkey long"
@@ -294,16 +295,16 @@ def expand_shards(chunked: DataFrame, found: DataFrame, length: int) -> DataFram
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
+            out, again = [], []
             for doc, tkey, packed, places in zip(pdf.doc_id, pdf.tkey, pdf.packed, pdf.places):
                 whole = zstandard.ZstdDecompressor().decompress(packed)
                 for p in places:
-                    text = whole[p["start"] : p["start"] + p["n"] + length - 1]
-                    if not p["hot"]:
-                        out.append((doc, tkey, p["start"], p["fp"], text))
-                        continue
-                    _, anchors, starts, counts = contexts_of([text], length, HOT_GRAM)
-                    out += [(doc, tkey, p["start"] + s, a, text[s : s + n + length - 1]) for a, s, n in zip(signed(anchors).tolist(), starts.tolist(), counts.tolist())]
+                    to = again if p["hot"] else out
+                    to.append((doc, tkey, p["start"], p["fp"], whole[p["start"] : p["start"] + p["n"] + length - 1]))
+            of, anchors, starts, counts = sliced([x[-1] for x in again], length, HOT_GRAM)
+            for i, a, s, n in zip(of.tolist(), signed(anchors).tolist(), starts.tolist(), counts.tolist()):
+                doc, tkey, start, _, text = again[i]
+                out.append((doc, tkey, start + s, a, text[s : s + n + length - 1]))
             yield pd.DataFrame(out, columns=["doc_id", "tkey", "start", "fp", "text"])
 
     rows = chunked.select("doc_id", "tkey", "packed").join(wanted, ["doc_id", "tkey"])
@@ -319,16 +320,21 @@ def expand_shards(chunked: DataFrame, found: DataFrame, length: int) -> DataFram
 
 def compare_strings(rows: DataFrame, length: int) -> DataFrame:
     """Spans of the strings, filed one by one by a 128-bit digest, that a smaller document starts: for
-    anchors whose contexts would still make too large a transform."""
+    anchors whose contexts would still make too large a transform.  An anchor's contexts are dealt out, as
+    they lie together; many are cut at a time."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for doc, tkey, start, text in zip(pdf.doc_id, pdf.tkey, pdf.start, pdf.text):
-                n = len(text) - length + 1
-                d = np.frombuffer(b"".join([hashlib.blake2b(text[i : i + length], digest_size=16).digest() for i in range(n)]), np.int64).reshape(-1, 2)
-                yield pd.DataFrame({"doc_id": doc, "tkey": tkey, "start": np.arange(start, start + n, dtype=np.int32), "d1": d[:, 0], "d2": d[:, 1]})
-
-    strings = rows.select("doc_id", "tkey", "start", "text").mapInPandas(cut, "doc_id long, tkey long, start int, d1 long, d2 long")
+            texts, count = list(pdf.text), np.array([len(t) - length + 1 for t in pdf.text], np.int64)
+            ids, keys, first = (pdf[c].to_numpy() for c in ("doc_id", "tkey", "start"))
+            for lo, hi in slices(count.tolist(), STRINGS):
+                n = count[lo:hi]
+                d = np.frombuffer(b"".join([hashlib.blake2b(t[i : i + length], digest_size=16).digest() for t in texts[lo:hi] for i in range(len(t) - length + 1)]), np.int64).reshape(-1, 2)
+                start = np.repeat(first[lo:hi] - (np.cumsum(n) - n), n) + np.arange(len(d))
+                yield pd.DataFrame({"doc_id": np.repeat(ids[lo:hi], n), "tkey": np.repeat(keys[lo:hi], n), "start": start.astype(np.int32), "d1": d[:, 0], "d2": d[:, 1]})
+
+    dealt = rows.select("doc_id", "tkey", "start", "text").repartition("doc_id", "tkey", "start")
+    strings = dealt.mapInPandas(cut, "doc_id long, tkey long, start int, d1 long, d2 long")
     strings = stage(strings, "strings")
     first = strings.groupBy("d1", "d2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
     return strings.join(first, ["d1", "d2"]).where("owner < doc_id").select("doc_id", "tkey", "start", F.lit(1).alias("n"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -290,6 +291,25 @@ def test_suffix_dedup(docs, hot, monkeypatch):
     assert got == want
 
 
+def test_suffix_dedup_of_an_anchor_in_many_contexts(spark):
+    """Strings of 20,000 contexts of one anchor, all in one partition, take no frame each; the result is that of a dictionary."""
+    rng = random.Random(12)
+    line = "".join(rng.choices("abcdef", k=45))
+    texts = [(line + "".join(rng.choices("xyz", k=rng.randint(5, 15)))).encode() for _ in range(20_000)]
+    rows = [(i, 7 * i, 3, t) for i, t in enumerate(texts)] + [(20_000, 1, 0, texts[0] * 3000)]
+    first, want = {}, set()
+    for doc, _, start, text in rows:
+        for i in range(len(text) - 49):
+            if first.setdefault(text[i : i + 50], doc) < doc:
+                want.add((doc, start + i))
+    frame = spark.createDataFrame(rows, "doc_id long, tkey long, start int, text binary").coalesce(1)
+    began = time.time()
+    got = [(r.doc_id, r.tkey, r.start, r.n) for r in suffix_dedup.compare_strings(frame, 50).collect()]
+    assert time.time() - began < 15
+    assert len(got) == len(want) and {(d, s) for d, _, s, _ in got} == want
+    assert all(k == (7 * d if d < 20_000 else 1) and n == 1 for d, k, _, n in got)
+
+
 def test_common_intervals_against_sorted_suffixes():
     rng = random.Random(5)
     parts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 30))).encode() for _ in range(30)]
